@@ -1,7 +1,7 @@
 """Registered queries and their independent SQL checks."""
 from importlib import import_module
 
-MODULES = ["basics"]
+MODULES = ["basics", "evaluation", "balance"]
 
 
 def load():

@@ -6,3 +6,8 @@ from pyspark.sql import functions as F
 def fuse(vectors: DataFrame, meta: DataFrame, key: str, vec: str, cols: list[str]) -> DataFrame:
     """Vector and metadata columns of one row as one `features` array."""
     return vectors.join(meta, key).withColumn("features", F.concat(F.col(vec), F.array(*cols)))
+
+
+def soft_vote(stacked: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean of the member probabilities of each row."""
+    return stacked.groupBy(*keys).agg(F.avg("prob").alias("prob"))
