@@ -69,8 +69,8 @@ def _blocks(df: DataFrame, parts: dict[int, int], extra: list[str]) -> DataFrame
     rows = df.withColumn("part", F.pmod(F.col("_va"), lookup[F.col("cell")]).cast("int"))
     packed = rows.groupBy("cell", "part").agg(
         F.collect_list(F.struct("_va", "_vb", "reach", "_vec", *extra)).alias("_rows"))
-    cols = [F.transform("_rows", lambda r, n=n: r[n]).alias(n) for n in ["_va", "_vb", "reach", *extra]]
-    return packed.select("cell", "part", F.flatten(F.transform("_rows", lambda r: r["_vec"])).alias("flat"), *cols)
+    cols = [F.col(f"_rows.{n}").alias(n) for n in ["_va", "_vb", "reach", *extra]]
+    return packed.select("cell", "part", F.flatten("_rows._vec").alias("flat"), *cols)
 
 
 def knn(queries: DataFrame, candidates: DataFrame, k: int, key: str = "key", vec: str = "vec",
@@ -187,8 +187,7 @@ def pack(df: DataFrame, key: str, vec: str, y: str, rows_per_block: int = 1024)
     rows = df.select(F.col(key).alias("k"), F.col(y).cast("double").alias("y"), F.col(vec).cast("array<double>").alias("v"))
     packed = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int").alias("part")).agg(
         F.collect_list(F.struct("k", "y", "v")).alias("r"))
-    return packed.select("part", F.transform("r", lambda x: x["k"]).alias("keys"), F.transform("r", lambda x: x["y"]).alias("ys"),
-                         F.flatten(F.transform("r", lambda x: x["v"])).alias("flat")), parts
+    return packed.select("part", F.col("r.k").alias("keys"), F.col("r.y").alias("ys"), F.flatten("r.v").alias("flat")), parts
 
 
 def similarity(d: np.ndarray, kernel: str) -> np.ndarray:
@@ -245,3 +244,24 @@ def _feature_sums(a: np.ndarray, b: np.ndarray, e: np.ndarray, power: float) ->
     if power == 2.0:
         return (a * a) * e.sum(axis=1)[:, None] - 2 * a * (e @ b) + e @ (b * b)
     return np.stack([(e * np.abs(a[:, f, None] - b[None, :, f]) ** power).sum(axis=1) for f in range(a.shape[1])], axis=1)
+
+
+def pack_rows(df: DataFrame, key: str, arrays: list[str], rows_per_block: int = 1024) -> tuple[DataFrame, int]:
+    """Rows hashed into bounded blocks with any array columns flattened: (part, keys, arrays...)."""
+    parts = max(1, math.ceil(df.count() / rows_per_block))
+    packed = df.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")).agg(
+        F.collect_list(F.struct(F.col(key).alias("k"), *arrays)).alias("r"))
+    return packed.select("part", F.col("r.k").alias("keys"), *[F.flatten(f"r.{a}").alias(a) for a in arrays]), parts
+
+
+def each_block_pair(blocks: DataFrame, parts: int, run, schema: str) -> DataFrame:
+    """Give every pair of blocks to `run(left, right)`, which returns one short frame per pair."""
+    names = [c for c in blocks.columns if c != "part"]
+    left = blocks.select(*[F.col(c).alias(f"l_{c}") for c in names], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def loop(batches):
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                yield run({c: r[f"l_{c}"] for c in names}, {c: r[c] for c in names})
+
+    return left.join(blocks, "part").mapInPandas(loop, schema)

@@ -9,13 +9,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raregrain.operators.ranking import exact_quantile
+
 
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Mean, median, population std of each numeric column, one pass, as long rows."""
+    """Mean, exact median, population std of each numeric column, as long rows."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"m{i}"), F.median(c).alias(f"d{i}"), F.stddev_pop(c).alias(f"s{i}")]
-    cells = ", ".join(f"'{c}', m{i}, d{i}, s{i}" for i, c in enumerate(cols))
+        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+    medians = {c: exact_quantile(df, c, 0.5) for c in cols}
+    cells = ", ".join(f"'{c}', m{i}, {medians[c]!r}D, s{i}" for i, c in enumerate(cols))
     return df.agg(*aggs).selectExpr(f"stack({len(cols)}, {cells}) as (column, mean, median, std)")
 
 
@@ -30,8 +33,7 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def median_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill NULL in each column by the exact whole-table median."""
-    med = df.agg(*[F.median(c).alias(c) for c in cols])
-    return df.withColumns({c: F.coalesce(F.col(c), med.select(c).scalar()) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(exact_quantile(df, c, 0.5))) for c in cols})
 
 
 @dataclass

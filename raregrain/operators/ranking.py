@@ -129,3 +129,41 @@ def take_hashed(df: DataFrame, key: str, seed, quota: DataFrame, strata: list[st
     """Sample without replacement: the `quota` rows of each stratum with the lowest hash."""
     work = df.withColumn("_h", hash32(seed, key)).withColumn("_b", hash_bucket("_h", bits))
     return take_first(work, strata, "_b", ["_h", key], quota, quota_col, flag).drop("_h", "_b")
+
+
+def order_statistic(df: DataFrame, col: str, rank: int, gather: int = 100_000) -> float:
+    """Exact value at a 0-based rank among the non-null values.
+
+    Each pass narrows to the one value bucket holding the rank (about 1/256 of the rows);
+    only a bucket of at most `gather` values is sorted as a list.
+    """
+    rows = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n = None
+    while True:
+        if n is None:
+            n = rows.count()
+        if n <= gather:
+            return rows.agg(F.get(F.sort_array(F.collect_list("v")), F.lit(rank)).alias("v")).first()["v"]
+        borders = value_borders(rows, "v")
+        placed = rows.withColumn("b", value_bucket("v", borders))
+        counts = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        for r in counts:
+            if rank < r["n"]:
+                if r["lo"] == r["hi"]:
+                    return r["lo"]
+                rows = rows.filter((F.col("v") >= F.lit(r["lo"])) & (F.col("v") <= F.lit(r["hi"])))
+                n = r["n"]
+                break
+            rank -= r["n"]
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> float:
+    """Exact quantile with linear interpolation between neighbouring values."""
+    n = df.select(col).filter(F.col(col).isNotNull()).count()
+    at = q * (n - 1)
+    low = int(at)
+    a = order_statistic(df, col, low)
+    if at == low:
+        return a
+    b = order_statistic(df, col, low + 1)
+    return a + (at - low) * (b - a)
