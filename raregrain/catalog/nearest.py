@@ -142,7 +142,7 @@ def weight_penalties(spark, sf):
 @query("nearest_five", f"with {nn_sql(5)} select a as key, place::int as place, b as nkey, {r6('d')} as distance from nn")
 def nearest_five(spark, sf):
     v = vecs(spark, sf)
-    return N.edges(N.knn(v, v, 5, rows_per_block=128)).select("key", "place", "nkey", C.round6("distance").alias("distance"))
+    return N.edges(N.knn(v, None, 5, rows_per_block=128)).select("key", "place", "nkey", C.round6("distance").alias("distance"))
 
 
 @query("nearest_minority_three", f"with {nn_sql(3, 'ta = 0', 'tb = 1')} select a as key, place::int as place, b as nkey, {r6('d')} as distance from nn")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raregrain.session import cut_lineage
+
 MAX_PIVOTS = 256
 
 
@@ -73,15 +75,18 @@ def _blocks(df: DataFrame, parts: dict[int, int], extra: list[str]) -> DataFrame
     return packed.select("cell", "part", F.flatten("_rows._vec").alias("flat"), *cols)
 
 
-def knn(queries: DataFrame, candidates: DataFrame, k: int, key: str = "key", vec: str = "vec",
+def knn(queries: DataFrame, candidates: DataFrame | None, k: int, key: str = "key", vec: str = "vec",
         payload: list[str] = (), metric: str = "euclidean", p: float = 2.0, pivots: int = 16,
         rows_per_block: int = 2048) -> DataFrame:
     """Add `nn` to the queries: their k nearest candidates as array<struct<distance, key, payload...>>.
 
-    The row itself (same key) is left out; equal distances are ordered by key.
+    `candidates=None` searches the queries among themselves. The row itself (same key) is
+    left out; equal distances are ordered by key.
     """
     payload = list(payload)
     spark = queries.sparkSession
+    alone = candidates is None
+    candidates = queries if alone else candidates
     base = _with_id(candidates.select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_vec"), *payload), "_vec")
     first = Window.partitionBy("_va", "_vb").orderBy("_key")
     members = (
@@ -90,21 +95,24 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, key: str = "key", vec
             F.first("_vec").alias("_vec"), F.min("_key").alias("_first"),
             F.collect_list(F.struct(F.col("_key").alias("key"), *payload)).alias("members")))
     asked = _with_id(queries.withColumn("_vec", F.col(vec).cast("array<double>")), "_vec")
-    points = asked.select("_va", "_vb", "_vec").dropDuplicates(["_va", "_vb"])
 
     # a bounded number of pivots: the candidates with the lowest fingerprints
-    chosen = members.select("_vec", "_va").orderBy("_va").limit(min(pivots, MAX_PIVOTS)).collect()
+    chosen = base.select("_vec", "_va", "_vb").orderBy("_va", "_vb", "_key").limit(min(pivots, MAX_PIVOTS)).collect()
     if not chosen:
         return queries.withColumn("nn", F.array().cast(_nn_type(candidates, key, payload)))
-    centre = np.array([r["_vec"] for r in chosen])
-    c_cells = _in_cells(members, centre, metric, p)
-    q_cells = _in_cells(points, centre, metric, p)
+    centre = np.unique(np.array([r["_vec"] for r in chosen]), axis=0)
+    c_cells = cut_lineage(_in_cells(members, centre, metric, p))
+    if alone:
+        q_cells = c_cells.select("_va", "_vb", "_vec", "cell", "reach")
+    else:
+        points = asked.select("_va", "_vb", "_vec").dropDuplicates(["_va", "_vb"])
+        q_cells = cut_lineage(_in_cells(points, centre, metric, p))
     closest = Window.partitionBy("cell").orderBy("reach")
     # per cell: size, radius, and the radius that holds its k+1 innermost candidates
     c_stat = {r["cell"]: r for r in c_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far")).collect()}
     near = {r["cell"]: r["near"] for r in c_cells.select("cell", "reach").withColumn("_r", F.row_number().over(closest))
             .filter(F.col("_r") <= k + 1).groupBy("cell").agg(F.max("reach").alias("near")).collect()}
-    q_stat = {r["cell"]: r for r in q_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far")).collect()}
+    q_stat = c_stat if alone else {r["cell"]: r for r in q_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("far")).collect()}
     gap = distances(centre, centre, metric, p)
     full = [c for c, r in c_stat.items() if r["n"] >= k + 1]
     slack = 1e-9
@@ -159,7 +167,7 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, key: str = "key", vec
         compare, f"_va bigint, _vb bigint, c_va bigint, c_vb bigint, distance double, c_first {key_type}")
     best = Window.partitionBy("_va", "_vb").orderBy("distance", "c_first")
     trimmed = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r", "c_first")
-    listed = trimmed.join(members.select(F.col("_va").alias("c_va"), F.col("_vb").alias("c_vb"), "members"), ["c_va", "c_vb"])
+    listed = trimmed.join(c_cells.select(F.col("_va").alias("c_va"), F.col("_vb").alias("c_vb"), "members"), ["c_va", "c_vb"])
     fields = ["key", *payload]
     lists = listed.groupBy("_va", "_vb").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list(F.transform(

@@ -19,6 +19,7 @@ from raregrain.functions.columns import hash32, hash_unit
 from raregrain.operators.neighbours import knn
 from raregrain.operators.ranking import hash_rank, take_first, take_hashed, value_borders, value_bucket
 from raregrain.operators.weights import class_sizes
+from raregrain.session import cut_lineage
 
 
 def _draws(df: DataFrame, count: int) -> DataFrame:
@@ -107,11 +108,11 @@ def _top_key(df: DataFrame, key: str):
     return df.agg((F.max(key) + 1).alias("k")).scalar()
 
 
-def _interpolate(seeds: DataFrame, draws: DataFrame, vec: str, seed, tag: str) -> DataFrame:
-    """Draw -> seed row by rank -> one of its neighbours -> point between the two."""
+def _interpolate(near: DataFrame, draws: DataFrame, key: str, vec: str, seed, tag: str) -> DataFrame:
+    """Draw -> its seed row -> one of the seed's neighbours -> point between the two."""
     u = hash_unit(seed, F.lit(tag + "u"), "draw")
     n = F.element_at("nn", (hash32(seed, F.lit(tag + "n"), "draw") % F.size("nn") + 1).cast("int"))
-    return draws.join(seeds, "_rank").withColumn("_n", n).withColumn("_u", u).select(
+    return draws.join(near, key).withColumn("_n", n).withColumn("_u", u).select(
         "draw", F.zip_with(F.col(vec), F.col(f"_n.{vec}"), lambda x, z: x + F.col("_u") * (z - x)).alias(vec))
 
 
@@ -120,14 +121,15 @@ def smote(df: DataFrame, key: str, vec: str, target: str, k: int = 5, n: int | N
     """Add synthetic minority rows between a minority row and one of its k minority neighbours."""
     minority, _, rare, small, big = _sides(df, target)
     n = n if n is not None else (int(alpha * big) - small if alpha else big - small)
-    near = knn(minority.select(key, vec), minority.select(key, vec), k, key, vec, [vec])
-    return _with_synthetic(df, key, vec, target, rare, _smote_rows(near, small, n, key, vec, seed, df))
+    near = knn(minority.select(key, vec), None, k, key, vec, [vec])
+    return _with_synthetic(df, key, vec, target, rare, _smote_rows(near, minority.select(key), small, n, key, vec, seed))
 
 
-def _smote_rows(near: DataFrame, seeds: int, n: int, key: str, vec: str, seed, df: DataFrame) -> DataFrame:
-    ranked = hash_rank(near, key, seed, name="_rank")
-    picks = _draws(df, n).withColumn("_rank", hash32(seed, F.lit("s"), "draw") % F.lit(max(seeds, 1)) + 1)
-    return _interpolate(ranked, picks, vec, seed, "s")
+def _smote_rows(near: DataFrame, seeds: DataFrame, size: int, n: int, key: str, vec: str, seed) -> DataFrame:
+    """n draws over the ranked seed keys, each resolved against the seed's neighbour list."""
+    ranked = hash_rank(seeds, key, seed, name="_rank")
+    picks = _draws(near, n).withColumn("_rank", hash32(seed, F.lit("s"), "draw") % F.lit(max(size, 1)) + 1)
+    return _interpolate(near, picks.join(ranked, "_rank").drop("_rank"), key, vec, seed, "s")
 
 
 def _with_synthetic(df: DataFrame, key: str, vec: str, target: str, rare: int, rows: DataFrame) -> DataFrame:
@@ -140,11 +142,11 @@ def adasyn(df: DataFrame, key: str, vec: str, target: str, k: int = 5, seed=42)
     """Draws per minority row in proportion to the majority share among its k neighbours."""
     minority, _, rare, small, big = _sides(df, target)
     all_near = knn(minority.select(key, vec), df.select(key, vec, target), k, key, vec, [target])
-    share = all_near.select(key, (F.size(F.filter("nn", lambda x: x[target] != rare)) / F.lit(k)).alias("_share"))
+    share = cut_lineage(all_near.select(key, (F.size(F.filter("nn", lambda x: x[target] != rare)) / F.lit(k)).alias("_share")))
     total = share.agg(F.sum("_share").alias("t")).first()["t"] or 0.0
     if total == 0.0:
         raise ValueError("no minority row has a majority neighbour")
-    near = knn(minority.select(key, vec), minority.select(key, vec), k, key, vec, [vec]).join(share, key)
+    near = knn(minority.select(key, vec), None, k, key, vec, [vec]).join(share, key)
     todo = near.withColumn("_g", F.round(F.col("_share") * F.lit((big - small) / total)).cast("int")).filter("_g > 0")
     each = todo.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_g"))))
     u = hash_unit(seed, F.lit("au"), key, "_j")
@@ -152,7 +154,7 @@ def adasyn(df: DataFrame, key: str, vec: str, target: str, k: int = 5, seed=42)
     made = each.withColumn("_n", nb).withColumn("_u", u).select(
         F.concat_ws("/", F.col(key).cast("string"), F.col("_j").cast("string")).alias("_name"),
         F.zip_with(F.col(vec), F.col(f"_n.{vec}"), lambda x, z: x + F.col("_u") * (z - x)).alias(vec))
-    numbered = hash_rank(made, "_name", seed, name="_rank").withColumn("draw", (F.col("_rank") - 1).cast("bigint"))
+    numbered = hash_rank(cut_lineage(made), "_name", seed, name="_rank").withColumn("draw", (F.col("_rank") - 1).cast("bigint"))
     return _with_synthetic(df, key, vec, target, rare, numbered)
 
 
@@ -167,12 +169,12 @@ def danger_rows(df: DataFrame, key: str, vec: str, target: str, m: int = 10) ->
 def borderline_smote(df: DataFrame, key: str, vec: str, target: str, k: int = 5, m: int = 10, seed=42) -> DataFrame:
     """SMOTE whose seeds are only the danger rows; neighbours come from the whole minority."""
     minority, _, rare, small, big = _sides(df, target)
-    danger = danger_rows(df, key, vec, target, m).select(key, vec)
+    danger = cut_lineage(danger_rows(df, key, vec, target, m).select(key, vec))
     seeds = danger.count()
     if seeds == 0:
         return _with_synthetic(df, key, vec, target, rare, _draws(df, 0).withColumn(vec, F.array().cast("array<double>")))
     near = knn(danger, minority.select(key, vec), k, key, vec, [vec])
-    return _with_synthetic(df, key, vec, target, rare, _smote_rows(near, seeds, big - small, key, vec, seed, df))
+    return _with_synthetic(df, key, vec, target, rare, _smote_rows(near, danger.select(key), seeds, big - small, key, vec, seed))
 
 
 def class_profiles(df: DataFrame, cols: list[str], target: str) -> DataFrame:
@@ -193,11 +195,11 @@ def smoten(df: DataFrame, key: str, cols: list[str], target: str, k: int = 5, se
         side = profiles.filter(F.col("column") == c).select(F.col("value").alias(c), F.array("p0", "p1").alias(f"_p_{c}"))
         coded = coded.join(side, c)
     coded = coded.select(key, *cols, F.concat(*[f"_p_{c}" for c in cols]).alias("_vec"))
-    near = knn(coded, coded, k, key, "_vec", list(cols), metric="cityblock")
+    near = knn(coded, None, k, key, "_vec", list(cols), metric="cityblock")
     voted = near.select(key, *[_most_frequent(c).alias(c) for c in cols])
-    ranked = hash_rank(voted, key, seed, name="_rank")
+    ranked = hash_rank(minority.select(key), key, seed, name="_rank")
     picks = _draws(df, big - small).withColumn("_rank", hash32(seed, F.lit("s"), "draw") % F.lit(max(small, 1)) + 1)
-    made = picks.join(ranked, "_rank").select((F.col("draw") + _top_key(df, key)).alias(key), *cols,
+    made = picks.join(ranked, "_rank").join(voted, key).drop(key).select((F.col("draw") + _top_key(df, key)).alias(key), *cols,
                                               F.lit(rare).alias(target), F.lit(True).alias("synthetic"))
     return df.select(key, *cols, F.col(target).cast("int").alias(target), F.lit(False).alias("synthetic")).unionByName(made)
 
@@ -219,7 +221,7 @@ def kmeans_smote(df: DataFrame, key: str, vec: str, target: str, k: int = 5, clu
     minority, _, rare, small, big = _sides(df, target)
     points = df.select(key, F.col(vec).cast("array<double>").alias(vec), F.col(target).cast("int").alias(target))
     fitted = KMeans(k=clusters, seed=int(seed), featuresCol="_f", predictionCol="_cluster").fit(points.withColumn("_f", array_to_vector(vec)))
-    placed = fitted.transform(points.withColumn("_f", array_to_vector(vec))).drop("_f")
+    placed = cut_lineage(fitted.transform(points.withColumn("_f", array_to_vector(vec))).drop("_f"))
     bar = small / (small + big) if threshold == "auto" else float(threshold)
     # the mean pairwise squared distance of a set follows from its per-dimension sums
     dims = len(fitted.clusterCenters()[0])
@@ -240,8 +242,8 @@ def kmeans_smote(df: DataFrame, key: str, vec: str, target: str, k: int = 5, clu
         n = left if at == len(stats) - 1 else min(left, int(round(todo * w / sum(weights))))
         left -= n
         members = rare_part.filter(F.col("_cluster") == cluster).select(key, vec)
-        near = knn(members, members, k, key, vec, [vec])
-        part = _smote_rows(near, m, n, key, vec, f"{seed}/{cluster}", df).withColumn("draw", F.col("draw") + (todo - left - n))
+        near = knn(members, None, k, key, vec, [vec])
+        part = _smote_rows(near, members.select(key), m, n, key, vec, f"{seed}/{cluster}").withColumn("draw", F.col("draw") + (todo - left - n))
         made = part if made is None else made.unionByName(part)
     return _with_synthetic(df, key, vec, target, rare, made)
 
@@ -251,7 +253,7 @@ def near_miss(df: DataFrame, key: str, vec: str, target: str, k: int = 3) -> Dat
     minority, majority, rare, small, _ = _sides(df, target)
     near = knn(majority.select(key, vec, target), minority.select(key, vec), k, key, vec)
     scored = near.withColumn("mean_distance", F.aggregate("nn", F.lit(0.0), lambda s, x: s + x["distance"]) / F.size("nn")).drop("nn")
-    kept = lowest_values(scored, "mean_distance", key, small)
+    kept = lowest_values(cut_lineage(scored), "mean_distance", key, small)
     return minority.select(key, vec, F.col(target).cast("int").alias(target), F.lit(None).cast("double").alias("mean_distance")).unionByName(
         kept.select(key, vec, F.col(target).cast("int").alias(target), "mean_distance"))
 
@@ -265,8 +267,8 @@ def lowest_values(df: DataFrame, col: str, key: str, n: int) -> DataFrame:
 
 def tomek_links(df: DataFrame, key: str, vec: str, target: str) -> DataFrame:
     """Pairs of opposite class that are each other's nearest row."""
-    one = knn(df.select(key, vec, target), df.select(key, vec, target), 1, key, vec, [target])
-    near = one.select(F.col(key).alias("a"), F.col(target).alias("a_target"), F.col("nn")[0]["key"].alias("b"), F.col("nn")[0][target].alias("b_target"))
+    one = knn(df.select(key, vec, target), None, 1, key, vec, [target])
+    near = cut_lineage(one.select(F.col(key).alias("a"), F.col(target).alias("a_target"), F.col("nn")[0]["key"].alias("b"), F.col("nn")[0][target].alias("b_target")))
     back = near.select(F.col("a").alias("b"), F.col("b").alias("a"))
     return near.filter(F.col("a_target") != F.col("b_target")).join(back, ["a", "b"])
 
@@ -281,17 +283,17 @@ def tomek(df: DataFrame, key: str, vec: str, target: str, both: bool = False) ->
 
 def edited_nearest(df: DataFrame, key: str, vec: str, target: str, k: int = 3) -> DataFrame:
     """Keep rows whose k neighbours all share their class."""
-    near = knn(df.select(key, vec, target), df.select(key, vec, target), k, key, vec, [target])
+    near = knn(df.select(key, vec, target), None, k, key, vec, [target])
     clash = near.filter(F.exists("nn", lambda x: x[target] != F.col(target))).select(key)
     return df.join(clash, key, "left_anti")
 
 
 def smote_tomek(df: DataFrame, key: str, vec: str, target: str, k: int = 5, seed=42) -> DataFrame:
-    return tomek(smote(df, key, vec, target, k, seed=seed), key, vec, target, both=True)
+    return tomek(cut_lineage(smote(df, key, vec, target, k, seed=seed)), key, vec, target, both=True)
 
 
 def smote_enn(df: DataFrame, key: str, vec: str, target: str, k: int = 5, seed=42) -> DataFrame:
-    return edited_nearest(smote(df, key, vec, target, k, seed=seed), key, vec, target)
+    return edited_nearest(cut_lineage(smote(df, key, vec, target, k, seed=seed)), key, vec, target)
 
 
 def cluster_centroids(df: DataFrame, key: str, vec: str, target: str, seed=42, rows_per_part: int = 20000, steps: int = 25) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +24,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and return a frame that reads them.
+    """Write the rows as a table in the shared checkpoint folder and return a frame that reads it.
 
-    Loops call this once per round, so the plan stays small and a lost executor
-    re-reads the checkpoint instead of replaying the loop.
+    Loops call this once per round and operators call it for an input they read several
+    times. The plan stays small, the planner knows the table's size, and a lost executor
+    re-reads files instead of replaying the work.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
