@@ -1,7 +1,7 @@
 """Registered queries and their independent SQL checks."""
 from importlib import import_module
 
-MODULES = ["basics", "evaluation", "balance", "nearest", "anomalies"]
+MODULES = ["basics", "evaluation", "balance", "nearest", "anomalies", "models"]
 
 
 def load():
