@@ -78,9 +78,10 @@ def adaboost(df: DataFrame, n_estimators: int = 50, learning_rate: float = 1.0,
         member = tree(part, depth, weight="w", seed=seed + t)
         y = F.col("target")
         scored = member.score(rows, "_p")
-        miss = ((F.col("_p") > 0.5).cast("int") != y).cast("double")
-        stats = scored.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("err")).first()
-        err = stats["err"]
+        miss = ((F.col("_p") > 0.5).cast("int") != y)
+        # weight held by each (class, missed) cell: at most four numbers per round
+        held = {(r["target"], r["m"]): r["s"] for r in scored.groupBy("target", miss.alias("m")).agg(F.sum("w").alias("s")).collect()}
+        err = sum(v for (_, m), v in held.items() if m) / sum(held.values())
         if not fitted.real and err >= 0.5:
             if not fitted.members:
                 fitted.members, fitted.alphas = [member], [1.0]
@@ -93,23 +94,29 @@ def adaboost(df: DataFrame, n_estimators: int = 50, learning_rate: float = 1.0,
         if fitted.real:
             p = F.least(F.greatest(F.col("_p"), F.lit(TINY)), F.lit(1 - TINY))
             right = F.when(y == 1, F.log(p) - F.log(F.lit(1.0) - p)).otherwise(F.log(F.lit(1.0) - p) - F.log(p))
-            exponent = F.lit(-0.5 * learning_rate) * right
-        elif cost == "adacost":
-            c = F.when(y == rare, F.lit(1.0)).otherwise(F.lit(class_cost))
-            exponent = F.lit(alpha) * F.when(miss > 0, F.lit(0.5) + c * 0.5).otherwise(-(F.lit(0.5) - c * 0.5))
-        else:
-            exponent = F.lit(alpha) * miss
-        w = F.col("w") * F.exp(exponent)
-        if cost == "adauboost":
-            w = w * F.when((miss > 0) & (y == rare), F.lit(cost_factor)).otherwise(F.lit(1.0))
-        rows = scored.withColumn("w", w).drop("_p")
-        total = rows.agg(F.sum("w").alias("s")).first()["s"]
-        rows = rows.withColumn("w", F.col("w") / F.lit(total))
+            rows = cut_lineage(scored.withColumn("w", F.col("w") * F.exp(F.lit(-0.5 * learning_rate) * right)).drop("_p"))
+            rows = rows.withColumn("w", F.col("w") / rows.agg(F.sum("w").alias("s")).scalar())
+            continue
+        factor = {cell: _boost_factor(alpha, *cell, rare, cost, cost_factor, class_cost) for cell in held}
+        total = sum(factor[cell] * held[cell] for cell in held)
+        f = F.lit(1.0)
+        for (label, m), v in factor.items():
+            f = F.when((y == label) & (miss == F.lit(m)), F.lit(v / total)).otherwise(f)
+        rows = scored.withColumn("w", F.col("w") * f).drop("_p")
         if (t + 1) % REWRITE_EVERY == 0:
             rows = cut_lineage(rows)
     return fitted
 
 
+def _boost_factor(alpha: float, label: int, missed: bool, rare: int, cost: str | None, cost_factor: float, class_cost: float) -> float:
+    """Factor on the weight of a (class, missed) cell after one round."""
+    if cost == "adacost":
+        c = 1.0 if label == rare else class_cost
+        return math.exp(alpha * (0.5 + 0.5 * c)) if missed else math.exp(-alpha * (0.5 - 0.5 * c))
+    grown = math.exp(alpha) if missed else 1.0
+    return grown * cost_factor if cost == "adauboost" and missed and label == rare else grown
+
+
 def _key_w(df: DataFrame) -> DataFrame:
     return df.select("key", "vec", "target", "w")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import hash32
 from raregrain.operators.ranking import hash_bucket, running_sums, value_borders, value_bucket
+from raregrain.session import cut_lineage
 
 METRICS = ["accuracy_score", "f1_score", "roc_auc_score", "geometric_mean_score",
            "sensitivity_score", "specificity_score", "pauc_score"]
@@ -47,28 +48,26 @@ def label_metrics(counts: DataFrame) -> DataFrame:
         "roc_auc_score": (sens + spec) / 2})
 
 
-def score_cells(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return scored.groupBy(*by, "score").agg(
-        F.sum(F.col("target").cast("bigint")).alias("pos"), F.sum(1 - F.col("target").cast("bigint")).alias("neg"))
+def score_cells(scored: DataFrame, by: list[str], keep: list[str] = ()) -> DataFrame:
+    """Positives and negatives per distinct score, from the only pass over the scored rows.
+
+    The cells are written once: borders, bucket totals and curves all read them.
+    """
+    return cut_lineage(scored.groupBy(*by, "score", *keep).agg(
+        F.sum(F.col("target").cast("bigint")).alias("pos"), F.sum(1 - F.col("target").cast("bigint")).alias("neg")))
 
 
-def _cumulative(scored: DataFrame, by: list[str], descending: bool) -> DataFrame:
-    borders = value_borders(scored, "score")
-    cells = score_cells(scored, by).withColumn("_b", value_bucket("score", borders))
+def _cumulative(cells: DataFrame, by: list[str], descending: bool) -> DataFrame:
+    """Cells with cumulative counts in score order and their group's totals."""
+    placed = cells.withColumn("_b", value_bucket("score", value_borders(cells, "score")))
     order = [F.col("score").desc() if descending else F.col("score")]
-    running = running_sums(cells, by, "_b", order, {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, descending)
-    sizes = scored.groupBy(*by).agg(F.sum(F.col("target").cast("bigint")).alias("n_pos"),
-                                    F.sum(1 - F.col("target").cast("bigint")).alias("n_neg"))
-    if by:
-        # one short row per group; joined by size estimate, not by hint
-        return running.drop("_b").join(sizes, by)
-    return running.drop("_b").join(F.broadcast(sizes))  # a global aggregate: exactly one row
+    return running_sums(placed, by, "_b", order, {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, descending,
+                        totals={"cum_pos": "n_pos", "cum_neg": "n_neg"}).drop("_b")
 
 
 def roc(scored: DataFrame, by: list[str]) -> DataFrame:
     """ROC points, one per distinct score, from the highest score down."""
-    c = _cumulative(scored, by, descending=True)
+    c = _cumulative(score_cells(scored, by), by, descending=True)
     return c.select(*by, "score", F.col("cum_neg").alias("fp"), F.col("cum_pos").alias("tp"),
                     F.try_divide(F.col("cum_neg").cast("double"), F.col("n_neg").cast("double")).alias("fpr"),
                     F.try_divide(F.col("cum_pos").cast("double"), F.col("n_pos").cast("double")).alias("tpr"))
@@ -76,7 +75,7 @@ def roc(scored: DataFrame, by: list[str]) -> DataFrame:
 
 def auc(scored: DataFrame, by: list[str]) -> DataFrame:
     """Area under the ROC curve by trapezoids over tie-collapsed points."""
-    c = _cumulative(scored, by, descending=True)
+    c = _cumulative(score_cells(scored, by), by, descending=True)
     cell = F.col("neg") * (F.col("cum_pos") * 2 - F.col("pos")) / F.lit(2.0)
     return c.groupBy(*by).agg(
         F.coalesce(F.try_divide(F.sum(cell), F.max(F.col("n_pos") * F.col("n_neg")).cast("double")), F.lit(0.0)).alias("auc"))
@@ -88,8 +87,12 @@ def pauc(scored: DataFrame, by: list[str], min_tpr: float = 0.8, name: str = "pa
     Flipping the score is ordering by it upwards, which keeps tiny scores apart.
     The last cell is cut by linear interpolation. A group with one class scores 0.
     """
+    return _pauc_of_cells(score_cells(scored, by), by, min_tpr, name)
+
+
+def _pauc_of_cells(cells: DataFrame, by: list[str], min_tpr: float, name: str) -> DataFrame:
     cut = F.lit(abs(1 - min_tpr))
-    c = _cumulative(scored, by, descending=False)
+    c = _cumulative(cells, by, descending=False)
     d = c.select(*by,
                  F.try_divide((F.col("cum_pos") - F.col("pos")).cast("double"), F.col("n_pos").cast("double")).alias("x0"),
                  F.try_divide(F.col("cum_pos").cast("double"), F.col("n_pos").cast("double")).alias("x1"),
@@ -109,25 +112,30 @@ def mean_tpr_above(scored: DataFrame, by: list[str], key: str, min_tpr: float =
     Rows with equal scores follow the seeded hash of their key. Cells of one score and
     one hash bucket are summed first, so a score shared by many rows is spread out.
     """
-    rows = scored.withColumn("_h", hash32(seed, key)).withColumn("_hb", hash_bucket("_h", 10))
-    borders = value_borders(scored, "score")
-    cells = rows.groupBy(*by, "score", "_hb").agg(F.sum(F.col("target").cast("bigint")).alias("pos"))
-    cells = cells.withColumn("_b", value_bucket("score", borders))
-    cum = running_sums(cells, by, "_b", [F.col("score").desc(), "_hb"], {"cum_pos": F.col("pos")}, descending=True)
-    starts = cum.select(*by, "score", "_hb", (F.col("cum_pos") - F.col("pos")).alias("_start"))
+    rows = scored.select(*by, "score", key, "target", hash32(seed, key).alias("_h")).withColumn("_hb", hash_bucket("_h", 10))
+    cells = cut_lineage(rows.groupBy(*by, "score", "_hb").agg(F.sum(F.col("target").cast("bigint")).alias("pos")))
+    placed = cells.withColumn("_b", value_bucket("score", value_borders(cells, "score")))
+    cum = running_sums(placed, by, "_b", [F.col("score").desc(), "_hb"], {"cum_pos": F.col("pos")}, descending=True, totals={"cum_pos": "n_pos"})
+    starts = cum.select(*by, "score", "_hb", "n_pos", (F.col("cum_pos") - F.col("pos")).alias("_start"))
     keys = by + ["score", "_hb"]
     inside = Window.partitionBy(*keys).orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
     stepped = rows.join(starts, keys).withColumn("_tp", F.sum(F.col("target").cast("bigint")).over(inside) + F.col("_start"))
-    sizes = scored.groupBy(*by).agg(F.sum(F.col("target").cast("bigint")).alias("n_pos"))
-    joined = stepped.join(sizes, by) if by else stepped.join(F.broadcast(sizes))
     tpr = F.try_divide(F.col("_tp").cast("double"), F.col("n_pos").cast("double"))
-    return joined.groupBy(*by).agg(
+    return stepped.groupBy(*by).agg(
         F.coalesce(F.avg(F.when((F.col("target") == 0) & (tpr >= F.lit(min_tpr)), tpr)), F.lit(0.0)).alias("area_above"))
 
 
 def all_metrics(scored: DataFrame, by: list[str], min_tpr: float = 0.8) -> DataFrame:
     """Every metric per group, as long rows (by..., metric, value)."""
-    wide = label_metrics(confusion(scored, by)).join(pauc(scored, by, min_tpr), by)
+    cells = score_cells(scored, by, ["pred"])
+    p, pos, neg = F.col("pred"), F.col("pos"), F.col("neg")
+
+    def total(value, label):
+        return F.coalesce(F.sum(F.when(p == label, value)), F.lit(0))
+
+    counts = cells.groupBy(*by).agg(total(neg, 0).alias("tn"), total(neg, 1).alias("fp"), total(pos, 0).alias("fn"), total(pos, 1).alias("tp"))
+    by_score = cells.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    wide = label_metrics(counts).join(_pauc_of_cells(by_score, by, min_tpr, "pauc_score"), by)
     cells = ", ".join(f"'{m}', {m}" for m in METRICS)
     return wide.selectExpr(*by, f"stack({len(METRICS)}, {cells}) as (metric, value)")
 

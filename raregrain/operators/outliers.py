@@ -111,11 +111,9 @@ def loda(df: DataFrame, key: str = "key", vec: str = "vec", cuts: int = 100, bin
 
 def ecdf(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """Share of rows at or below each distinct value: (by..., value, n, upto, total)."""
-    borders = value_borders(df, col)
-    cells = df.groupBy(*by, F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("n")).withColumn("_b", value_bucket("x", borders))
-    totals = cells.groupBy(*by).agg(F.sum("n").alias("total"))
-    running = running_sums(cells, by, "_b", ["x"], {"upto": F.col("n")}).drop("_b")
-    return running.join(totals, by) if by else running.join(F.broadcast(totals))
+    cells = cut_lineage(df.groupBy(*by, F.col(col).alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    placed = cells.withColumn("_b", value_bucket("x", value_borders(cells, "x")))
+    return running_sums(placed, by, "_b", ["x"], {"upto": F.col("n")}, totals={"upto": "total"}).drop("_b")
 
 
 def copod(df: DataFrame, key: str = "key", vec: str = "vec") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raregrain.operators.ranking import exact_quantile
+from raregrain.operators.ranking import exact_quantiles
 
 
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
-    medians = {c: exact_quantile(df, c, 0.5) for c in cols}
+    medians = exact_quantiles(df, dict.fromkeys(cols, 0.5))
     cells = ", ".join(f"'{c}', m{i}, {medians[c]!r}D, s{i}" for i, c in enumerate(cols))
     return df.agg(*aggs).selectExpr(f"stack({len(cols)}, {cells}) as (column, mean, median, std)")
 
@@ -33,7 +33,8 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def median_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill NULL in each column by the exact whole-table median."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(exact_quantile(df, c, 0.5))) for c in cols})
+    medians = exact_quantiles(df, dict.fromkeys(cols, 0.5))
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in cols})
 
 
 @dataclass

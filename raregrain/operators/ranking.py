@@ -59,23 +59,29 @@ def bucket_of(value: float, borders: list[float]) -> int:
 
 
 def running_sums(df: DataFrame, by: list[str], bucket: str, order: list, sums: dict[str, Column],
-                 descending: bool = False) -> DataFrame:
-    """Add, per row, the sums over all rows up to and including it (bucket first, then `order`)."""
+                 descending: bool = False, totals: dict[str, str] | None = None) -> DataFrame:
+    """Add, per row, the sums over all rows up to and including it (bucket first, then `order`).
+
+    `totals` maps a sum's name to a column for the group's grand total, which the bucket
+    table gives for free.
+    """
     work = df
     for name, expr in sums.items():
         work = work.withColumn(f"_v_{name}", expr)
     keys = by + [bucket]
-    totals = work.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    per_bucket = work.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     border = F.col(bucket).desc() if descending else F.col(bucket)
     # one row per (group, bucket): a short list even when `by` is empty
     before = Window.partitionBy(*by).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    grand = totals or {}
+    offsets = per_bucket.select(
+        *keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(label) for n, label in grand.items()]
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = work.join(offsets, keys)
     return out.select(
-        *df.columns, *[(F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}")).alias(n) for n in sums]
+        *df.columns, *grand.values(), *[(F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}")).alias(n) for n in sums]
     )
 
 
@@ -157,13 +163,40 @@ def order_statistic(df: DataFrame, col: str, rank: int, gather: int = 100_000) -
             rank -= r["n"]
 
 
+def exact_quantiles(df: DataFrame, wanted: dict[str, float], gather: int = 100_000, margin: float = 0.005) -> dict[str, float]:
+    """Exact quantile of each column with linear interpolation, all columns together.
+
+    One pass brackets each quantile, one counts around the bracket, one reads the values
+    inside it. A bracket too large to gather is narrowed further by `order_statistic`.
+    """
+    cols = list(wanted)
+    brackets = {c: df.approxQuantile(c, [max(0.0, q - margin), min(1.0, q + margin)], margin / 2) for c, q in wanted.items()}
+    aggs = []
+    for i, c in enumerate(cols):
+        lo, hi = (brackets[c] or [0.0, 0.0])
+        aggs += [F.count(c).alias(f"n{i}"), F.count_if(F.col(c) < lo).alias(f"b{i}"), F.count_if(F.col(c).between(lo, hi)).alias(f"i{i}")]
+    row = df.agg(*aggs).first()
+    ranks, lists = {}, []
+    for i, c in enumerate(cols):
+        at = wanted[c] * (row[f"n{i}"] - 1)
+        low, high = int(at), min(int(at) + 1, row[f"n{i}"] - 1)
+        inside = row[f"b{i}"] <= low and high < row[f"b{i}"] + row[f"i{i}"]
+        ranks[c] = (at, low, high, inside and row[f"i{i}"] <= gather)
+        if ranks[c][3]:
+            values = F.sort_array(F.collect_list(F.when(F.col(c).between(*brackets[c]), F.col(c))))
+            lists += [F.get(values, F.lit(low - row[f"b{i}"])).alias(f"l{i}"), F.get(values, F.lit(high - row[f"b{i}"])).alias(f"h{i}")]
+    found = df.agg(*lists).first() if lists else None
+    out = {}
+    for i, c in enumerate(cols):
+        at, low, high, gathered = ranks[c]
+        if row[f"n{i}"] == 0:
+            out[c] = None
+            continue
+        a = float(found[f"l{i}"]) if gathered else order_statistic(df, c, low)
+        b = float(found[f"h{i}"]) if gathered else (a if at == low else order_statistic(df, c, high))
+        out[c] = a + (at - low) * (b - a)
+    return out
+
+
 def exact_quantile(df: DataFrame, col: str, q: float) -> float:
-    """Exact quantile with linear interpolation between neighbouring values."""
-    n = df.select(col).filter(F.col(col).isNotNull()).count()
-    at = q * (n - 1)
-    low = int(at)
-    a = order_statistic(df, col, low)
-    if at == low:
-        return a
-    b = order_statistic(df, col, low + 1)
-    return a + (at - low) * (b - a)
+    return exact_quantiles(df, {col: q})[col]
