@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raregrain.functions.columns import sigmoid
@@ -29,8 +29,9 @@ TINY = 2.220446049250313e-16
 
 def in_parallel(jobs: list[Callable], threads: int = THREADS) -> list:
     """Run independent Spark jobs side by side, results in order."""
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(wrap(j)) for j in jobs]]
 
 
 # ---- boosting --------------------------------------------------------------------------
@@ -171,9 +172,9 @@ def adauboost(df: DataFrame, **params) -> Boosted:
 # ---- bagging ---------------------------------------------------------------------------
 
 def _bags(df: DataFrame, members: int, strategy: str, seed: int) -> DataFrame:
-    """All member draws in one table, written once and laid out by member."""
+    """All member draws in one table, written once, one folder per member."""
     draws = R.balanced_bootstrap(df.select("key", "vec", F.col("target").cast("int").alias("target")), "key", "target", members, strategy, seed)
-    return cut_lineage(draws)
+    return cut_lineage(draws, "member")
 
 
 def _bagged(df: DataFrame, n: int, strategy: str, seed: int, fit: Callable[[DataFrame, int], object]) -> Voted:

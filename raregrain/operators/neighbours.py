@@ -230,7 +230,8 @@ def pair_sums(blocks: DataFrame, parts: int, weights, metric: str = "euclidean",
                        "nearest": np.where(same, np.inf, d).min(axis=1), "s": s.sum(axis=1), "sy": s @ y}
                 if gradient:
                     # d s / d raw, by the chain rule through d = raw^(1/power)
-                    slope = -s * (2 * d if kernel == "rbf" else 1.0) * (d / raw) / power
+                    ratio = 1.0 if power == 1.0 else d / raw
+                    slope = -s * (2 * d if kernel == "rbf" else 1.0) * ratio / power
                     out["u"] = list(_feature_sums(a, b, slope, power))
                     out["v"] = list(_feature_sums(a, b, slope * y[None, :], power))
                 yield pd.DataFrame(out)

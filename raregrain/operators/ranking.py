@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from raregrain.functions.columns import as_col, hash32
 
 HASH_BITS = 12
-VALUE_BUCKETS = 256
+
+
+def bucket_count(df: DataFrame, at_least: int = 64, at_most: int = 4096) -> int:
+    """Buckets for one ordered pass: a few per shuffle partition the session is sized for."""
+    return max(at_least, min(at_most, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def hash_bucket(hash_col: str | Column, bits: int = HASH_BITS) -> Column:
@@ -23,12 +27,13 @@ def hash_bucket(hash_col: str | Column, bits: int = HASH_BITS) -> Column:
     return F.shiftright(as_col(hash_col), 32 - bits)
 
 
-def value_borders(df: DataFrame, value: str, buckets: int = VALUE_BUCKETS) -> list[float]:
-    """Approximate quantiles of a numeric column: at most `buckets` numbers, read once.
+def value_borders(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Approximate quantiles of a numeric column: at most 4096 numbers, read once.
 
     They are fixed as literals, so every later evaluation (also a re-run after a
     lost executor) places a value in the same bucket.
     """
+    buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]
     return sorted(set(df.approxQuantile(value, probs, 0.25 / buckets)))
 
@@ -41,7 +46,7 @@ def value_bucket(value: str | Column, borders: list[float]) -> Column:
     size = 1
     while size <= len(borders):
         size *= 2
-    padded = F.array(*[F.lit(float(b)) for b in borders + [float("inf")] * (size - 1 - len(borders))])
+    padded = F.expr("array(" + ", ".join([f"{float(b)!r}D" for b in borders] + ["double('inf')"] * (size - 1 - len(borders))) + ")")
     steps = []
     while size > 1:
         size //= 2
@@ -140,27 +145,26 @@ def take_hashed(df: DataFrame, key: str, seed, quota: DataFrame, strata: list[st
 def order_statistic(df: DataFrame, col: str, rank: int, gather: int = 100_000) -> float:
     """Exact value at a 0-based rank among the non-null values.
 
-    Each pass narrows to the one value bucket holding the rank (about 1/256 of the rows);
-    only a bucket of at most `gather` values is sorted as a list.
+    Each pass narrows to the one value bucket holding the rank; its lowest value, which is
+    where a value shared by many rows ends up, is counted apart. Only a bucket of at most
+    `gather` values is sorted as a list.
     """
     rows = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = None
-    while True:
-        if n is None:
-            n = rows.count()
-        if n <= gather:
-            return rows.agg(F.get(F.sort_array(F.collect_list("v")), F.lit(rank)).alias("v")).first()["v"]
-        borders = value_borders(rows, "v")
-        placed = rows.withColumn("b", value_bucket("v", borders))
+    n = rows.count()
+    while n > gather:
+        placed = rows.withColumn("b", value_bucket("v", value_borders(rows, "v")))
         counts = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
         for r in counts:
             if rank < r["n"]:
-                if r["lo"] == r["hi"]:
-                    return r["lo"]
-                rows = rows.filter((F.col("v") >= F.lit(r["lo"])) & (F.col("v") <= F.lit(r["hi"])))
-                n = r["n"]
                 break
             rank -= r["n"]
+        inside = rows.filter(F.col("v").between(r["lo"], r["hi"]))
+        lowest = r["n"] if r["lo"] == r["hi"] else inside.filter(F.col("v") == r["lo"]).count()
+        if rank < lowest:
+            return r["lo"]
+        rank -= lowest
+        rows, n = inside.filter(F.col("v") > r["lo"]), r["n"] - lowest
+    return rows.agg(F.get(F.sort_array(F.collect_list("v")), F.lit(rank)).alias("v")).first()["v"]
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, float], gather: int = 100_000, margin: float = 0.005) -> dict[str, float]:

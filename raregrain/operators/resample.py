@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import hash32, hash_unit
 from raregrain.operators.neighbours import knn
-from raregrain.operators.ranking import hash_rank, take_first, take_hashed, value_borders, value_bucket
+from raregrain.operators.ranking import hash_bucket, hash_rank, order_statistic, take_first, take_hashed, value_borders, value_bucket
 from raregrain.operators.weights import class_sizes
 from raregrain.session import cut_lineage
 
+DRAWS_PER_PIECE = 1000
+
 
 def _draws(df: DataFrame, count: int) -> DataFrame:
     """`count` numbered draws, spread over the cluster."""
@@ -148,7 +150,10 @@ def adasyn(df: DataFrame, key: str, vec: str, target: str, k: int = 5, seed=42)
         raise ValueError("no minority row has a majority neighbour")
     near = knn(minority.select(key, vec), None, k, key, vec, [vec]).join(share, key)
     todo = near.withColumn("_g", F.round(F.col("_share") * F.lit((big - small) / total)).cast("int")).filter("_g > 0")
-    each = todo.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_g"))))
+    # a row asked for very many draws is first cut into pieces that spread over the cluster
+    pieces = todo.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("_g") - 1) / DRAWS_PER_PIECE).cast("int")))).repartition(key, "_c")
+    first = F.col("_c") * DRAWS_PER_PIECE + 1
+    each = pieces.withColumn("_j", F.explode(F.sequence(first, F.least(first + (DRAWS_PER_PIECE - 1), F.col("_g")))))
     u = hash_unit(seed, F.lit("au"), key, "_j")
     nb = F.element_at("nn", (hash32(seed, F.lit("an"), key, "_j") % F.size("nn") + 1).cast("int"))
     made = each.withColumn("_n", nb).withColumn("_u", u).select(
@@ -259,10 +264,20 @@ def near_miss(df: DataFrame, key: str, vec: str, target: str, k: int = 3) -> Dat
 
 
 def lowest_values(df: DataFrame, col: str, key: str, n: int) -> DataFrame:
-    """The n rows with the lowest value (ties by key); only the bucket at the cut is sorted."""
-    work = df.withColumn("_b", value_bucket(col, value_borders(df, col))).withColumn("_all", F.lit(0))
-    quota = df.sparkSession.createDataFrame([(0, n)], "_all int, quota bigint")
-    return take_first(work, ["_all"], "_b", [col, key], quota).drop("_b", "_all")
+    """The n rows with the lowest value, ties by key (by key hash when keys are not numbers).
+
+    The cut value is found exactly first. Rows below it pass straight through, and rows
+    equal to it, however many, are cut by key buckets.
+    """
+    if n >= df.count():
+        return df
+    cut = order_statistic(df, col, max(n - 1, 0))
+    below, at = df.filter(F.col(col) < cut), df.filter(F.col(col) == cut)
+    quota = df.sparkSession.createDataFrame([(0, n - below.count())], "_all int, quota bigint")
+    numeric = dict(df.dtypes)[key] in ("int", "bigint", "smallint", "tinyint", "double", "float")
+    bucket, order = (value_bucket(key, value_borders(at, key)), [key]) if numeric else (hash_bucket(hash32(0, key), 16), [hash32(0, key), key])
+    kept = take_first(at.withColumn("_b", bucket).withColumn("_all", F.lit(0)), ["_all"], "_b", order, quota)
+    return below.unionByName(kept.select(*df.columns))
 
 
 def tomek_links(df: DataFrame, key: str, vec: str, target: str) -> DataFrame:

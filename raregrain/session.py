@@ -23,15 +23,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *layout: str) -> DataFrame:
     """Write the rows as a table in the shared checkpoint folder and return a frame that reads it.
 
     Loops call this once per round and operators call it for an input they read several
     times. The plan stays small, the planner knows the table's size, and a lost executor
-    re-reads files instead of replaying the work.
+    re-reads files instead of replaying the work. `layout` columns become folders, so that
+    a filter on them reads only its part.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*layout) if layout else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
