@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raregrain.catalog.fixtures import CASES, SHORT, VECS, cases, query, r6, short_vecs, table, vecs, h32
+from raregrain.catalog.fixtures import CASES, PAIRS, VECS, cases, query, r6, short_vecs, table, vecs, h32
 from raregrain.catalog.nearest import nn_sql
 from raregrain.functions import columns as C
 from raregrain.operators import outliers as O
@@ -62,7 +62,12 @@ def cof(spark, sf):
     return out(O.cof(O.neighbour_lists(vecs(spark, sf), "key", "vec", 10, with_vec=True)))
 
 
-@query("subspace_outliers")
+@query("subspace_outliers", f"""with {nn_sql(20)}, sh as (select x.a as key, y.a as rkey, count(*)::int as shared from nn x join nn y on x.b = y.b and x.a <> y.a group by all),
+  z as (select v.key, w.key as rkey, coalesce(shared, 0)::int as shared from vecs v join vecs w on v.key <> w.key left join sh on sh.key = v.key and sh.rkey = w.key),
+  ref as (select key, rkey from z qualify row_number() over (partition by key order by shared desc, rkey) <= 10),
+  st as (select ref.key, i, avg(vec[i]) as m, var_pop(vec[i]) as v from ref join vecs on vecs.key = rkey, range(1, 65) r(i) group by ref.key, i),
+  nr as (select *, v < 0.8::double * avg(v) over (partition by key) as narrow from st)
+  select nr.key, {r6('coalesce(sqrt(sum(case when narrow then (vec[i] - m) * (vec[i] - m) else 0 end)) / nullif(count(*) filter (narrow), 0), 0)')} as score from nr join vecs on vecs.key = nr.key group by nr.key""")
 def sod(spark, sf):
     v = vecs(spark, sf)
     return out(O.sod(v, O.neighbour_lists(v, "key", "vec", 20)))
@@ -80,7 +85,12 @@ def sos(spark, sf):
     return out(O.sos(O.neighbour_lists(vecs(spark, sf), "key", "vec", 20)))
 
 
-@query("correlation_integral_outliers")
+@query("correlation_integral_outliers", f"""with {VECS}, {PAIRS}, dd as (select a, b, d from pairs union all select key, key, 0 from vecs), md as (select sum(d) / count(*) as m from pairs),
+  rd as (select unnest([0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.4])::double * m as r from md),
+  ct as (select a, r, count(*) filter (d <= 0.5 * r)::double as n from dd, rd group by a, r),
+  mo as (select dd.a, ct.r, count(*)::double as c, sum(n) as s, sum(n * n) as q from dd join ct on ct.a = dd.b where dd.d <= ct.r group by dd.a, ct.r),
+  ra as (select mo.a, case when c >= 20 then (s / c - n) / nullif(sqrt(greatest(q / c - (s / c) * (s / c), 0)), 0) end as x from mo join ct on ct.a = mo.a and ct.r = mo.r)
+  select a as key, {r6('coalesce(max(x), 0)')} as score from ra group by a""")
 def loci(spark, sf):
     return out(O.loci(vecs(spark, sf), rows_per_block=256))
 

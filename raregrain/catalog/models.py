@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from raregrain.catalog.fixtures import cases, query, short_vecs, table
+from raregrain.catalog.fixtures import PAIRS, SHORT, cases, query, r6, short_vecs, table
 from raregrain.functions import columns as C
 from raregrain.operators import learners as L
 from raregrain.operators import metrics as M
@@ -78,6 +78,10 @@ def _sampled(name, **params):
 
 
 query("model_smote_svc")(_sampled("sampling_smote_svc", max_iter=10))
+query("model_adasyn_boosted_trees")(_sampled("sampling_adasyn_xgboost", n_estimators=2))
+query("model_borderline_svc")(_sampled("sampling_borderlinesmote_svc", max_iter=5))
+query("model_near_miss_svc")(_sampled("sampling_near_miss", max_iter=5))
+query("model_centroids_boosted_trees")(_sampled("sampling_cluster_centroids_xgboost", n_estimators=2))
 query("model_tomek_boosted_trees")(_sampled("sampling_tomek_links_xgboost", n_estimators=3))
 query("model_detector_as_classifier")(_sampled("pyod_hbos"))
 
@@ -133,7 +137,10 @@ def weighted_selection(spark, sf):
     return fitted.transform(short_vecs(spark, sf)).select("key", F.size("vec").alias("width"), C.round6(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
-@query("weighted_neighbour_gradient")
+@query("weighted_neighbour_gradient", f"""with {SHORT}, {PAIRS}, p as (select a, any_value(ta) as y, sum(exp(-d)) as s, sum(exp(-d) * tb) / sum(exp(-d)) as p from pairs group by a),
+  uv as (select a, f, sum(-exp(-d) / (2 * d) * (x.vec[f] - z.vec[f]) * (x.vec[f] - z.vec[f])) as u, sum(-exp(-d) / (2 * d) * tb * (x.vec[f] - z.vec[f]) * (x.vec[f] - z.vec[f])) as v
+    from pairs join vecs x on x.key = a join vecs z on z.key = b, range(1, 9) r(f) group by a, f)
+  select (f - 1)::int as feature, {r6('avg(2 * (p - y) / s * (v - p * u))')} as slope from uv join p using (a) group by f union all select -1, {r6('avg((p - y) * (p - y))')} from p""")
 def weighted_gradient(spark, sf):
     v = short_vecs(spark, sf)
     sel = WeightedKnnSelector(4, kernel="exp", data_type="float64", scaling=False)

@@ -211,7 +211,16 @@ def _shape(df):
     return df.select("key", "target", F.col("synthetic"))
 
 
-@query("adasyn")
+ADASYN = f"""{nn_sql(5, 'ta = 1')}, sh as (select a as key, sum(1 - tb) / 5.0::double as r from nn group by a),
+  g as (select key, round(r * (((select count(*) from vecs where target = 0) - (select count(*) from vecs where target = 1)) / (select sum(r) from sh)))::bigint as g from sh),
+  near as (select *, row_number() over (partition by a order by d, b) as place from pairs where ta = 1 and tb = 1 qualify place <= 5),
+  dr as (select key, unnest(range(1, g + 1)) as j from g), nm as (select key, j, key || '/' || j as name from dr),
+  rk as (select *, row_number() over (order by {h32("'42'", 'name')}, name) - 1 as draw, {h32("'42'", "'an'", 'key', 'j')} % 5 + 1 as place, {h32("'42'", "'au'", 'key', 'j')} / 4294967296.0::double as u from nm),
+  made as (select draw + (select max(key) + 1 from vecs) as key, list_transform(list_zip(v.vec, w.vec), lambda p: p[1] + u * (p[2] - p[1])) as vec
+    from rk join vecs v on v.key = rk.key join near on near.a = rk.key and near.place = rk.place join vecs w on w.key = near.b)"""
+
+
+@query("adasyn", f"with {ADASYN} {OUT}")
 def adasyn(spark, sf):
     return _resampled(R.adasyn(vecs(spark, sf), "key", "vec", "target"))
 
@@ -226,7 +235,17 @@ def class_profiles(spark, sf):
     return R.class_profiles(doc_cases(spark, sf), ["lang", "source"], "target").select("column", "value", C.round6("p0").alias("p0"), C.round6("p1").alias("p1"))
 
 
-@query("smoten")
+SMOTEN = f"""d as (select doc_id as key, lang, source, toxic as target from labels join documents using (doc_id)),
+  pl as (select lang, avg((target = 0)::int) as l0, avg((target = 1)::int) as l1 from d group by 1), ps as (select source, avg((target = 0)::int) as s0, avg((target = 1)::int) as s1 from d group by 1),
+  m as (select key, lang, source, l0, l1, s0, s1 from d join pl using (lang) join ps using (source) where target = 1),
+  nn as (select a.key as a, b.key as b, b.lang, b.source, abs(a.l0 - b.l0) + abs(a.l1 - b.l1) + abs(a.s0 - b.s0) + abs(a.s1 - b.s1) as d from m a join m b on a.key <> b.key
+    qualify row_number() over (partition by a.key order by abs(a.l0 - b.l0) + abs(a.l1 - b.l1) + abs(a.s0 - b.s0) + abs(a.s1 - b.s1), b.key) <= 5),
+  vl as (select a, lang from nn group by a, lang qualify row_number() over (partition by a order by count(*) desc, lang) = 1), vs as (select a, source from nn group by a, source qualify row_number() over (partition by a order by count(*) desc, source) = 1),
+  seeds as (select key, row_number() over (order by {h32("'42'", 'key')}, key) as r from m), dr as (select unnest(range((select count(*) filter (target = 0) - count(*) filter (target = 1) from d))) as draw)"""
+
+
+@query("smoten", f"""with {SMOTEN} select key, lang, source, target, false as synthetic from d union all
+  select draw + (select max(key) + 1 from d), vl.lang, vs.source, 1, true from dr join seeds on seeds.r = {h32("'42'", "'s'", 'draw')} % (select count(*) from seeds) + 1 join vl on vl.a = seeds.key join vs on vs.a = seeds.key""")
 def smoten(spark, sf):
     return R.smoten(doc_cases(spark, sf), "key", ["lang", "source"], "target")
 
@@ -241,12 +260,18 @@ def cluster_centroids(spark, sf):
     return _resampled(R.cluster_centroids(vecs(spark, sf), "key", "vec", "target"))
 
 
-@query("smote_tomek")
+GROWN = f"""{SMOTE_SQL.format(seeds=SEEDS_ALL)}, grown as (select key, vec, target, false as synthetic from vecs union all select key, vec, 1, true from made),
+  gp as (select a.key as a, b.key as b, a.target as ta, b.target as tb, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1]-z[2])*(z[1]-z[2])))) as d from grown a join grown b on a.key <> b.key)"""
+
+
+@query("smote_tomek", f"""with {GROWN}, g1 as (select * from gp qualify row_number() over (partition by a order by d, b) = 1), lk as (select x.a from g1 x join g1 y on x.b = y.a and y.b = x.a where x.ta <> x.tb)
+  select key, target, synthetic from grown where key not in (select a from lk)""")
 def smote_tomek(spark, sf):
     return _shape(R.smote_tomek(vecs(spark, sf), "key", "vec", "target"))
 
 
-@query("smote_edited")
+@query("smote_edited", f"""with {GROWN}, g3 as (select * from gp qualify row_number() over (partition by a order by d, b) <= 3)
+  select key, target, synthetic from grown where key not in (select a from g3 where ta <> tb)""")
 def smote_enn(spark, sf):
     return _shape(R.smote_enn(vecs(spark, sf), "key", "vec", "target"))
 
@@ -258,7 +283,12 @@ def hardness_bins(spark, sf):
     return R.hardness_bins(s, "target", "score").select("event_id", "bin")
 
 
-@query("self_paced_sample")
+@query("self_paced_sample", f"""with {SCORED}, s as (select event_id, target, score, abs(score - target) as h from scored where trial = 1 and target = 0),
+  b as (select *, least(floor((h - (select min(h) from s)) * 5 / ((select max(h) from s) - (select min(h) from s))), 4)::int as bin from s),
+  st as (select bin, count(*) as n, 1 / (avg(h) + tan(pi() * 2 / 10) + 1e-12) as w from b group by bin),
+  q as (select bin, least(n, round((select count(*) from scored where trial = 1 and target = 1) * w / sum(w) over ()))::bigint as q from st)
+  select event_id, target, score from scored where trial = 1 and target = 1 union all
+  select event_id, target, score from (select b.*, q, row_number() over (partition by b.bin order by {h32("'42/2'", 'event_id')}, event_id) as r from b join q using (bin)) where r <= q""")
 def self_paced(spark, sf):
     return R.self_paced_under(scored(spark, sf).filter("trial = 1"), "event_id", "target", "score", 2, 5).select("event_id", "target", "score")
 
