@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import sigmoid
 from raregrain.operators import resample as R
-from raregrain.operators.learners import Voted, random_forest, tree
+from raregrain.operators.learners import Voted, random_forest, tree, with_features
 from raregrain.operators.neighbours import knn
 from raregrain.operators.ranking import hash_rank
 from raregrain.operators.weights import class_sizes
@@ -44,7 +44,7 @@ class Boosted:
 
     def decision(self, df: DataFrame, name: str):
         """(rows with member probabilities, combined margin)."""
-        out = df
+        out = with_features(df)
         for i, m in enumerate(self.members):
             out = m.score(out, f"{name}_{i}")
         total = F.lit(0.0)
@@ -236,13 +236,14 @@ def balance_cascade(df: DataFrame, n_estimators: int = 10, depth: int = 10, crit
     rows = df.select("key", "vec", F.col("target").cast("int").alias("target"))
     left, fitted = rows, Voted()
     for t in range(n_estimators):
-        part = R.random_under(left, "key", "target", 1.0, f"{seed}/{t}") if t < n_estimators - 1 or ratio < 1 else left
+        part = R.random_under(left, "key", "target", 1.0, f"{seed}/{t}")
         fitted.members.append(tree(part, depth, criterion, seed=seed + t))
         if t < n_estimators - 1:
             n_left = left.filter(F.col("target") != rare).count()
             if n_left <= min(neg, pos):
                 break
-            left = cut_lineage(R.cascade_keep(fitted.score(left, "_p"), "key", "target", "_p", ratio, n_estimators).drop("_p"))
+            scored = cut_lineage(fitted.score(left, "_p"))
+            left = cut_lineage(R.cascade_keep(scored, "key", "target", "_p", ratio, n_estimators).drop("_p"))
     return fitted
 
 

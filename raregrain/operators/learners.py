@@ -22,8 +22,12 @@ from raregrain.operators.weights import with_weight
 MAX_TREE_DEPTH = 30  # the deepest tree MLlib grows; larger requests are clipped
 
 
+FEATURES = "_fv"
+
+
 def with_features(df: DataFrame, vec: str = "vec") -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col(vec).cast("array<double>")))
+    """Add the ML vector once; members of an ensemble share it."""
+    return df if FEATURES in df.columns else df.withColumn(FEATURES, array_to_vector(F.col(vec).cast("array<double>")))
 
 
 def fuse(vectors: DataFrame, meta: DataFrame, key: str, vec: str, cols: list[str]) -> DataFrame:
@@ -45,9 +49,7 @@ class Fitted:
     prepare: object = None
 
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
-        rows = with_features(df, self.vec)
-        if self.prepare is not None:
-            rows = self.prepare(rows)
+        rows = self.prepare(df) if self.prepare is not None else with_features(df, self.vec)
         out = self.model.transform(rows)
         p = vector_to_array("probability")[1] if "probability" in out.columns else sigmoid(vector_to_array("rawPrediction")[1])
         return out.select(*df.columns, p.alias(name))
@@ -60,7 +62,7 @@ class Voted:
     members: list = field(default_factory=list)
 
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
-        out = df
+        out = with_features(df)
         for i, m in enumerate(self.members):
             out = m.score(out, f"{name}_{i}")
         mean = sum((F.col(f"{name}_{i}") for i in range(len(self.members))), F.lit(0.0)) / len(self.members)
@@ -70,7 +72,7 @@ class Voted:
 def _fit(estimator, df: DataFrame, weight: str | None = None) -> Fitted:
     if weight:
         estimator = estimator.setWeightCol(weight)
-    return Fitted(estimator.setFeaturesCol("features").setLabelCol("target").fit(with_features(df)))
+    return Fitted(estimator.setFeaturesCol(FEATURES).setLabelCol("target").fit(with_features(df)))
 
 
 def _subset(max_features) -> str:
@@ -112,7 +114,7 @@ def fourier(dims: int, width: int, gamma: float, seed: int):
     def lift(v: pd.Series) -> pd.Series:
         return pd.Series(list(np.sqrt(2.0 / width) * np.cos(np.stack(v.to_numpy()) @ w + b))) if len(v) else v
 
-    return lambda df: df.withColumn("features", array_to_vector(lift("vec")))
+    return lambda df: df.withColumn("_lifted", array_to_vector(lift("vec")))
 
 
 def svc(df: DataFrame, C: float = 1.0, gamma: float | str = "scale", class_weight=None, width: int = 128, max_iter: int = 50, seed: int = 1000) -> Fitted:
@@ -125,7 +127,7 @@ def svc(df: DataFrame, C: float = 1.0, gamma: float | str = "scale", class_weigh
     else:
         n = df.count()
     lift = fourier(dims, width, float(gamma), seed)
-    model = LinearSVC(maxIter=max_iter, regParam=1.0 / (C * n), weightCol="w", labelCol="target", featuresCol="features").fit(lift(rows))
+    model = LinearSVC(maxIter=max_iter, regParam=1.0 / (C * n), weightCol="w", labelCol="target", featuresCol="_lifted").fit(lift(rows))
     return Fitted(model, prepare=lift)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import hash32
 from raregrain.operators.neighbours import distances, each_block_pair, edges, knn, pack_rows, pair_sums, pack
-from raregrain.operators.ranking import exact_quantile, hash_bucket, hash_rank, order_statistic, running_sums, value_borders, value_bucket
+from raregrain.operators.ranking import exact_quantile, hash_bucket, hash_rank, order_statistic, running_sums, take_hashed, value_borders, value_bucket
 from raregrain.session import cut_lineage
 
 # Fixed value: default share of outliers.
@@ -459,9 +459,13 @@ def isolation_forest(df: DataFrame, key: str = "key", vec: str = "vec", n_estima
     rows = df.select(key, F.col(vec).cast("array<double>").alias("x"))
     n, dims = rows.count(), len(df.select(vec).first()[0])
     size = min(max_samples, n)
-    ranked = hash_rank(rows, key, seed, name="_rank")
+    # trees draw from a pool of at most n_estimators * max_samples hashed rows; other rows never move
+    pool_size = min(n, n_estimators * size)
+    quota = df.sparkSession.createDataFrame([(0, pool_size)], "_all int, quota bigint")
+    pool = cut_lineage(take_hashed(rows.withColumn("_all", F.lit(0)), key, seed, quota, ["_all"]).drop("_all"))
+    ranked = hash_rank(pool, key, seed, name="_rank")
     picks = df.sparkSession.range(n_estimators * size).select(
-        (F.col("id") / size).cast("int").alias("tree"), (hash32(seed, F.lit("if"), "id") % n + 1).alias("_rank")).dropDuplicates(["tree", "_rank"])
+        (F.col("id") / size).cast("int").alias("tree"), (hash32(seed, F.lit("if"), "id") % pool_size + 1).alias("_rank")).dropDuplicates(["tree", "_rank"])
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])

@@ -24,7 +24,7 @@ def bucket_count(df: DataFrame, at_least: int = 64, at_most: int = 4096) -> int:
 
 def hash_bucket(hash_col: str | Column, bits: int = HASH_BITS) -> Column:
     """Leading bits of a 32-bit hash: uniform and ordered like the hash itself."""
-    return F.shiftright(as_col(hash_col), 32 - bits)
+    return F.coalesce(F.shiftright(as_col(hash_col), 32 - bits), F.lit(0))  # never NULL, so joins on it add no filter
 
 
 def value_borders(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -51,11 +51,11 @@ def value_bucket(value: str | Column, borders: list[float]) -> Column:
     while size > 1:
         size //= 2
         steps.append(size)
-    return F.aggregate(
+    return F.coalesce(F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda at, step: at + F.when(F.get(padded, at + step - 1) <= v, step).otherwise(F.lit(0)),
-    )
+    ), F.lit(0))
 
 
 def bucket_of(value: float, borders: list[float]) -> int:
@@ -106,7 +106,8 @@ def take_first(df: DataFrame, strata: list[str], bucket: str, order: list, quota
     Rows in buckets before the cut pass straight through; only the one bucket per
     stratum that holds the cut is shuffled and ranked. A stratum without a quota row is
     kept whole. With `flag`, all rows stay and the flag says which ones are chosen.
-    `quota` must have one row per stratum, so it is small by construction.
+    `quota` must have one row per stratum, so it is small by construction; the cuts found,
+    also one short row per stratum, are read once and fixed.
     """
     counts = df.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*strata).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
@@ -121,7 +122,8 @@ def take_first(df: DataFrame, strata: list[str], bucket: str, order: list, quota
         )
         .select(*strata, F.col("_cut.b").alias("_cb"), (F.col("_cut.quota") - F.col("_cut.before")).alias("_need"))
     )
-    marked = df.join(F.broadcast(cuts), strata, "left")
+    fixed = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+    marked = df.join(F.broadcast(fixed), strata, "left")
     whole = F.col("_cb").isNull()
     sure = whole | (F.col(bucket) < F.col("_cb"))
     edge = Window.partitionBy(*strata).orderBy(*order)

@@ -73,7 +73,7 @@ def balanced_bootstrap(df: DataFrame, key: str, target: str, members: int, strat
     """One balanced draw per ensemble member, as rows (member, copy, ...).
 
     Classes named by the strategy are drawn with replacement at the minority's size,
-    the other class is kept whole for each member.
+    the other class is kept whole for each member. Keys must be unique.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
@@ -86,11 +86,14 @@ def balanced_bootstrap(df: DataFrame, key: str, target: str, members: int, strat
     for label in (0, 1):
         rows = df.filter(F.col(target) == label)
         if role[label] in STRATEGIES[strategy]:
-            ranked = hash_rank(rows, key, seed, name="_rank")
+            # only keys are ranked; the few drawn keys are written first, so that their known
+            # size lets the planner avoid shuffling the wide rows they are looked up in
+            ranked = hash_rank(rows.select(key), key, seed, name="_rank")
             picks = _draws(df, members * small).select(
                 (F.col("draw") / small).cast("int").alias("member"), (F.col("draw") % small).alias("copy"),
                 (hash32(seed, F.lit(label), "draw") % F.lit(max(size[label], 1)) + 1).alias("_rank"))
-            part = picks.join(ranked, "_rank").select("member", "copy", *df.columns)
+            drawn = cut_lineage(picks.join(ranked, "_rank").select("member", "copy", key))
+            part = drawn.join(rows, key).select("member", "copy", *df.columns)
         else:
             part = rows.select(F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"),
                                F.lit(0).cast("bigint").alias("copy"), *df.columns)

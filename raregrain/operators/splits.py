@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import hash32
 from raregrain.operators.ranking import hash_bucket, hash_rank, take_hashed
+from raregrain.session import cut_lineage
 
 
 def group_labels(df: DataFrame, key: str, group: str, target: str) -> DataFrame:
@@ -31,7 +32,7 @@ def _stratum_quota(groups: DataFrame, test_share: float) -> DataFrame:
 
 def group_holdout(df: DataFrame, key: str, group: str, target: str, ratio: float = 0.8, seed=42) -> DataFrame:
     """Add `split` ('train' or 'val'): whole groups, stratified by the group label."""
-    groups = group_labels(df, key, group, target)
+    groups = cut_lineage(group_labels(df, key, group, target))
     flagged = take_hashed(groups, group, seed, _stratum_quota(groups, 1 - ratio), ["group_label"], flag="_val")
     side = flagged.select(group, F.when(F.col("_val"), "val").otherwise("train").alias("split"))
     return df.join(side, group)
@@ -44,7 +45,7 @@ def group_folds(df: DataFrame, group: str, target: str, k: int = 5, seed=42) ->
     by level (positives, then rows, then hash bucket), so no window holds all groups.
     """
     groups = df.groupBy(group).agg(F.sum(F.col(target).cast("bigint")).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    groups = groups.withColumn("_h", hash32(seed, group)).withColumn("_b", hash_bucket("_h"))
+    groups = cut_lineage(groups.withColumn("_h", hash32(seed, group)).withColumn("_b", hash_bucket("_h")))
     counts = groups.groupBy("_p", "_n", "_b").agg(F.count(F.lit(1)).alias("_c"))
     by_rows = counts.groupBy("_p", "_n").agg(F.sum("_c").alias("_c"))
     by_pos = by_rows.groupBy("_p").agg(F.sum("_c").alias("_c"))
