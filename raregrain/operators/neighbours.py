@@ -122,48 +122,62 @@ def knn(queries: DataFrame, candidates: DataFrame | None, k: int, key: str = "ke
     c_parts = {c: max(1, math.ceil(r["n"] / rows_per_block)) for c, r in c_stat.items()}
     q_parts = {c: max(1, math.ceil(r["n"] / rows_per_block)) for c, r in q_stat.items()}
 
-    # at most MAX_PIVOTS short rows: which cells each query cell has to look at
+    # at most MAX_PIVOTS short rows: which query blocks have to see a candidate cell
     plan = spark.createDataFrame(
-        [(a, [(b, c_parts[b]) for b in bs]) for a, bs in pairs],
-        "cell int, look array<struct<c_cell: int, parts: int>>")
-    q_blocks = _blocks(q_cells, q_parts, []).join(F.broadcast(plan), "cell").withColumn("look", F.explode("look"))
-    q_side = q_blocks.select(
-        F.col("cell").alias("q_cell"), F.col("flat").alias("q_flat"), F.col("_va").alias("q_va"), F.col("_vb").alias("q_vb"),
-        F.col("reach").alias("q_reach"), F.col("look.c_cell").alias("cell"),
-        F.explode(F.sequence(F.lit(0), F.col("look.parts") - 1)).alias("part"))
-    c_side = _blocks(c_cells, c_parts, ["_first"])
+        [(b, [(a, q_parts[a]) for a, bs in pairs if b in bs]) for b in c_stat],
+        "cell int, asked array<struct<q_cell: int, parts: int>>")
+    c_side = _blocks(c_cells, c_parts, ["_first"]).join(F.broadcast(plan), "cell").withColumn("asked", F.explode("asked")).select(
+        F.col("cell").alias("c_cell"), F.col("flat").alias("c_flat"), F.col("_va").alias("c_va"), F.col("_vb").alias("c_vb"),
+        F.col("_first").alias("c_first"), F.col("asked.q_cell").alias("cell"),
+        F.explode(F.sequence(F.lit(0), F.col("asked.parts") - 1)).alias("part"))
+    q_side = _blocks(q_cells, q_parts, [])
     far = {c: r["far"] for c, r in c_stat.items()}
     key_type = dict(candidates.select(F.col(key).alias("k")).dtypes)["k"]
 
+    def best_of(i, d, first):
+        """Positions of each row's k+1 best, by distance then key."""
+        order = np.lexsort((first, d, i))
+        starts = np.r_[0, np.flatnonzero(np.diff(i[order])) + 1]
+        place = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
+        return order[place <= k]
+
+    def one_pair(r):
+        """Best candidates of one block for the live rows of one query block."""
+        q, c = _as_matrix(r.flat, len(r.q_va)), _as_matrix(r.c_flat, len(r.c_va))
+        # rows that the cell border already rules out are skipped
+        low = distances(q, centre[[r.c_cell]], metric, p)[:, 0] - far[r.c_cell]
+        live = np.flatnonzero(low <= np.asarray(r.reach) + limit[r.cell] + 1e-7)
+        if not len(live):
+            return None
+        d = distances(q[live], c, metric, p)
+        bar = np.partition(d, min(k, len(c) - 1), axis=1)[:, min(k, len(c) - 1)]
+        i, j = np.nonzero(d <= (bar + 1e-6)[:, None])
+        return live[i], _exact(q[live][i], c[j], metric, p), np.asarray(r.c_first)[j], np.asarray(r.c_va)[j], np.asarray(r.c_vb)[j]
+
     def compare(batches):
+        """Candidate blocks stream past a query block; only its k+1 best are held."""
+        at, held, ids = None, None, None
+
+        def done():
+            i, d, first, va, vb = held
+            return pd.DataFrame({"_va": ids[0][i], "_vb": ids[1][i], "c_va": va, "c_vb": vb, "distance": d, "c_first": first})
+
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                q, c = _as_matrix(r.q_flat, len(r.q_va)), _as_matrix(r.flat, len(r.c_va))
-                first_key = np.asarray(r.c_first)
-                # rows that the cell border already rules out are skipped
-                low = distances(q, centre[[r.cell]], metric, p)[:, 0] - far[r.cell]
-                live = np.flatnonzero(low <= np.asarray(r.q_reach) + limit[r.q_cell] + 1e-7)
-                if not len(live):
+            for r in batch.rename(columns={"_va": "q_va", "_vb": "q_vb"}).itertuples(index=False):
+                if (r.cell, r.part) != at:
+                    if held is not None:
+                        yield done()
+                    at, held, ids = (r.cell, r.part), None, (np.asarray(r.q_va), np.asarray(r.q_vb))
+                new = one_pair(r)
+                if new is None:
                     continue
-                d = distances(q[live], c, metric, p)
-                take = min(k + 1, len(c))
-                bar = np.partition(d, take - 1, axis=1)[:, take - 1]
-                i, j = np.nonzero(d <= (bar + 1e-6)[:, None])
-                exact = _exact(q[live][i], c[j], metric, p)
-                order = np.lexsort((first_key[j], exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                starts = np.r_[0, np.flatnonzero(np.diff(i)) + 1]
-                place = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
-                keep = place < take
-                i, j, exact = i[keep], j[keep], exact[keep]
-                yield pd.DataFrame({"_va": np.asarray(r.q_va)[live][i], "_vb": np.asarray(r.q_vb)[live][i],
-                                    "c_va": np.asarray(r.c_va)[j], "c_vb": np.asarray(r.c_vb)[j],
-                                    "distance": exact, "c_first": first_key[j]})
-
-    joined = q_side.join(
-        c_side.select("cell", "part", "flat", F.col("_va").alias("c_va"), F.col("_vb").alias("c_vb"), F.col("_first").alias("c_first")),
-        ["cell", "part"])
-    found = joined.mapInPandas(
+                both = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+                keep = best_of(*both[:3])
+                held = tuple(x[keep] for x in both)
+        if held is not None:
+            yield done()
+
+    found = q_side.join(c_side, ["cell", "part"]).mapInPandas(
         compare, f"_va bigint, _vb bigint, c_va bigint, c_vb bigint, distance double, c_first {key_type}")
     best = Window.partitionBy("_va", "_vb").orderBy("distance", "c_first")
     trimmed = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r", "c_first")
@@ -212,34 +226,51 @@ def pair_sums(blocks: DataFrame, parts: int, weights, metric: str = "euclidean",
     """
     w = np.asarray(weights, dtype=float)
     key_type = dict(blocks.dtypes)["keys"][len("array<"):-1]
-    left = blocks.select(F.col("keys").alias("lk"), F.col("flat").alias("lf"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    left = blocks.select("part", F.col("keys").alias("lk"), F.col("flat").alias("lf"))
+    right = blocks.select("keys", "ys", "flat", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def one_pair(r) -> dict:
+        a, b = _as_matrix(r.lf, len(r.lk)), _as_matrix(r.flat, len(r.keys))
+        y, same = np.asarray(r.ys, dtype=float), np.asarray(r.lk)[:, None] == np.asarray(r.keys)[None, :]
+        power = {"euclidean": 2.0, "cityblock": 1.0}.get(metric, p)
+        raw = distances(a, b, metric, p, w) ** power
+        if power != 1.0:
+            raw = np.maximum(raw, eps)
+        d = raw ** (1.0 / power)
+        s = np.where(same, 0.0, similarity(d, kernel))
+        out = {"n": (~same).sum(axis=1), "dist": np.where(same, 0.0, d).sum(axis=1),
+               "nearest": np.where(same, np.inf, d).min(axis=1), "s": s.sum(axis=1), "sy": s @ y}
+        if gradient:
+            # d s / d raw, by the chain rule through d = raw^(1/power)
+            ratio = 1.0 if power == 1.0 else d / raw
+            slope = -s * (2 * d if kernel == "rbf" else 1.0) * ratio / power
+            out["u"] = _feature_sums(a, b, slope, power)
+            out["v"] = _feature_sums(a, b, slope * y[None, :], power)
+        return out
 
     def run(batches):
+        """All blocks stream past a left block; its sums leave once per run of rows."""
+        at, keys, held = None, None, None
+
+        def done():
+            return pd.DataFrame({"key": keys, **{n: list(x) if x.ndim > 1 else x for n, x in held.items()}})
+
         for batch in batches:
             for r in batch.itertuples(index=False):
-                a, b = _as_matrix(r.lf, len(r.lk)), _as_matrix(r.flat, len(r.keys))
-                y, same = np.asarray(r.ys, dtype=float), np.asarray(r.lk)[:, None] == np.asarray(r.keys)[None, :]
-                power = {"euclidean": 2.0, "cityblock": 1.0}.get(metric, p)
-                raw = distances(a, b, metric, p, w) ** power
-                if power != 1.0:
-                    raw = np.maximum(raw, eps)
-                d = raw ** (1.0 / power)
-                s = np.where(same, 0.0, similarity(d, kernel))
-                d0 = np.where(same, 0.0, d)
-                out = {"key": r.lk, "n": (~same).sum(axis=1), "dist": d0.sum(axis=1),
-                       "nearest": np.where(same, np.inf, d).min(axis=1), "s": s.sum(axis=1), "sy": s @ y}
-                if gradient:
-                    # d s / d raw, by the chain rule through d = raw^(1/power)
-                    ratio = 1.0 if power == 1.0 else d / raw
-                    slope = -s * (2 * d if kernel == "rbf" else 1.0) * ratio / power
-                    out["u"] = list(_feature_sums(a, b, slope, power))
-                    out["v"] = list(_feature_sums(a, b, slope * y[None, :], power))
-                yield pd.DataFrame(out)
+                new = one_pair(r)
+                if r.part != at:
+                    if held is not None:
+                        yield done()
+                    at, keys, held = r.part, r.lk, new
+                else:
+                    held = {n: np.minimum(x, new[n]) if n == "nearest" else x + new[n] for n, x in held.items()}
+        if held is not None:
+            yield done()
 
     schema = f"key {key_type}, n bigint, dist double, nearest double, s double, sy double"
     if gradient:
         schema += ", u array<double>, v array<double>"
-    part = left.join(blocks, "part").mapInPandas(run, schema)
+    part = left.join(right, "part").mapInPandas(run, schema)
     aggs = [F.sum("n").alias("n"), F.sum("dist").alias("dist"), F.min("nearest").alias("nearest"),
             F.sum("s").alias("s"), F.sum("sy").alias("sy")]
     if gradient:
