@@ -1,6 +1,8 @@
 """Column expressions that several operators share. Everything here stays inside codegen."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ def as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def doubles(values) -> Column:
+    """Constant array of doubles (nested lists become nested arrays), built as one expression."""
+    def text(v):
+        if isinstance(v, (list, tuple)):
+            return "array(" + ", ".join(text(x) for x in v) + ")"
+        return f"{float(v)!r}D" if math.isfinite(v) else f"double('{float(v)}')"
+    return F.expr(text(list(values)))
+
+
 def safe_div(a, b) -> Column:
     """NULL instead of the ANSI division error when the divisor is zero."""
     return F.try_divide(as_col(a).cast("double"), as_col(b).cast("double"))

@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from raregrain.functions.columns import hash32
+from raregrain.functions.columns import doubles, hash32
 from raregrain.operators.neighbours import distances, each_block_pair, edges, knn, pack_rows, pair_sums, pack
 from raregrain.operators.ranking import exact_quantile, hash_bucket, hash_rank, order_statistic, running_sums, take_hashed, value_borders, value_bucket
 from raregrain.session import cut_lineage
@@ -55,7 +55,7 @@ class Histograms:
 
     def bin_of(self, x, i):
         bins = len(self.density[0])
-        at = F.floor((x - F.get(F.lit(self.low), i)) / F.get(F.lit(self.width), i))
+        at = F.floor((x - F.get(doubles(self.low), i)) / F.get(doubles(self.width), i))
         return F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).cast("int")
 
     def log_scores(self, vec: str, log: str, alpha: float, tol: float = 0.5):
@@ -66,9 +66,9 @@ class Histograms:
         empty = f(0.0)
 
         def one(x, i):
-            at = (x - F.get(F.lit(self.low), i)) / F.get(F.lit(self.width), i)
+            at = (x - F.get(doubles(self.low), i)) / F.get(doubles(self.width), i)
             far = (at < -tol) | (at > bins + tol)
-            return F.when(far, F.lit(empty)).otherwise(F.get(F.get(F.lit(table), i), self.bin_of(x, i)))
+            return F.when(far, F.lit(empty)).otherwise(F.get(F.get(doubles(table), i), self.bin_of(x, i)))
 
         return F.transform(vec, one)
 
@@ -337,7 +337,7 @@ def cblof(df: DataFrame, key: str = "key", vec: str = "vec", n_clusters: int = 8
         upto += s
         if upto >= alpha * n or (i + 1 < len(sizes) and s >= beta * sizes[i + 1][0]):
             break
-    own = F.sqrt(F.aggregate(F.zip_with("_x", F.get(F.lit([[float(v) for v in c] for c in centres]), F.col("_c")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    own = F.sqrt(F.aggregate(F.zip_with("_x", F.get(doubles(centres.tolist()), F.col("_c")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     d = F.when(F.col("_c").isin(large), own).otherwise(_nearest_of(centres[large])("_x"))
     if use_weights:
         by = dict((c, s) for s, c in sizes)
@@ -349,7 +349,7 @@ def pca_score(df: DataFrame, key: str = "key", vec: str = "vec") -> DataFrame:
     """Sum over components of squared projection over eigenvalue, on standardised columns."""
     s = feature_summary(df, vec)
     std = np.where(s["std"] > 0, s["std"], 1.0)
-    mean_l, std_l = F.lit([float(v) for v in s["mean"]]), F.lit([float(v) for v in std])
+    mean_l, std_l = doubles(s["mean"].tolist()), doubles(std.tolist())
     scaled = F.transform(F.col(vec).cast("array<double>"), lambda x, i: (x - F.get(mean_l, i)) / F.get(std_l, i))
     rows = df.select(key, array_to_vector(scaled).alias("_f"))
     dims = len(std)
@@ -357,7 +357,7 @@ def pca_score(df: DataFrame, key: str = "key", vec: str = "vec") -> DataFrame:
     total = float((s["std"] > 0).sum()) * s["n"] / max(s["n"] - 1, 1)
     eig = [max(float(v) * total, 1e-12) for v in fitted.explainedVariance.toArray()]
     keep = [1.0 / e if e > 1e-9 else 0.0 for e in eig]
-    return fitted.transform(rows).select(key, F.aggregate(F.zip_with(vector_to_array("_p"), F.lit(keep), lambda p, w: p * p * w), F.lit(0.0), lambda a, x: a + x).alias("score"))
+    return fitted.transform(rows).select(key, F.aggregate(F.zip_with(vector_to_array("_p"), doubles(keep), lambda p, w: p * p * w), F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def mean_and_covariance(df: DataFrame, vec: str, centred: bool = False) -> tuple[np.ndarray, np.ndarray]:

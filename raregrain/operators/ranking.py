@@ -12,7 +12,7 @@ import bisect
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raregrain.functions.columns import as_col, hash32
+from raregrain.functions.columns import as_col, doubles, hash32
 
 HASH_BITS = 12
 
@@ -46,7 +46,7 @@ def value_bucket(value: str | Column, borders: list[float]) -> Column:
     size = 1
     while size <= len(borders):
         size *= 2
-    padded = F.expr("array(" + ", ".join([f"{float(b)!r}D" for b in borders] + ["double('inf')"] * (size - 1 - len(borders))) + ")")
+    padded = doubles(borders + [float("inf")] * (size - 1 - len(borders)))
     steps = []
     while size > 1:
         size //= 2

@@ -1,4 +1,8 @@
-"""Parameter grids of the presets. Fixed values; shared lists are named once."""
+"""Parameter grids of the presets. Fixed values; shared lists are named once.
+
+Left out are settings that choose a library's internal routine and do not change what is
+computed here: solver, tree splitter, neighbour index, warm start, cost-complexity pruning.
+"""
 from __future__ import annotations
 
 N = [10, 50, 100, 150, 200]
