@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregrain.llm import decontam, host_reputation, host_rules, sql
+from raregrain.llm import decontam, host_reputation, host_rules, mix_schedule, random_battery, sql
 from raregrain.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -15,6 +15,18 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_schedule.taken(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = random_battery.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return rows.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                       F.sha2(random_battery.listed(base), 256).alias("base_sha256"), random_battery.listed(F.col("spans")).alias("spans"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -32,5 +44,6 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op8_decontaminate, op9_url_reputation, op10_host_rules)}
-ORACLES = {"op8_decontaminate": sql.OP8, "op9_url_reputation": sql.OP9, "op10_host_rules": sql.OP10}
+QUERIES = {f.__name__: f for f in (
+    op3_mix_sources, op6_secret_battery, op8_decontaminate, op9_url_reputation, op10_host_rules)}
+ORACLES = {"op3_mix_sources": sql.OP3, "op8_decontaminate": sql.OP8, "op9_url_reputation": sql.OP9, "op10_host_rules": sql.OP10}

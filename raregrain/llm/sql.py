@@ -76,3 +76,21 @@ host_u as (select hosts.*, m from hosts, grand),
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (low > 0.5) as kept
 from f join host_p on f.host is not distinct from host_p.host
 """
+
+OP3 = r"""
+with d as (select row_number() over () as row_id, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+  md5(concat_ws('|', 'mix', coalesce(cast(doc_id as varchar), ''))) as h from documents),
+src as (select source, cast(sum(size) as bigint) as source_size from d group by 1),
+numbered as (select *, row_number() over (order by source nulls last) - 1 as s from src),
+weighed as (select *, case s % 3 when 0 then 5 when 1 then 2 else 1 end as w, cast(2 * source_size as double) as cap from numbered),
+ordered as (select *, 1.5 * sum(source_size) over () as total, row_number() over (order by cap / w, s) as o from weighed),
+filled as (select *, cast(total as double) - coalesce(sum(cap) over (order by o rows between unbounded preceding and 1 preceding), 0) as rest,
+  sum(w) over (order by o desc) as ws from ordered),
+free as (select o as first_free, rest / ws as level from filled where cap > w * (rest / ws) order by o limit 1),
+aimed as (select source, source_size, case when first_free is null or o < first_free then cap else w * level end as target from filled left join free on true),
+placed as (select d.*, source_size, target, cast(floor(target) as bigint) as quota,
+  sum(size) over (partition by d.source order by h, doc_id, size, row_id rows unbounded preceding) as stop
+  from d join aimed on d.source is not distinct from aimed.source)
+select doc_id, size, source_size, target, cast(
+  greatest(least(stop, quota) - (stop - size), 0) + greatest(least(stop + source_size, quota) - (stop + source_size - size), 0) as bigint) as taken from placed
+"""
