@@ -1,12 +1,22 @@
 """Helpers shared by the text operators: reading tables, shared tables, sized joins, text kernels."""
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raregrain.session import cut_lineage
 
+def travels(name: str) -> None:
+    """Functions of this module go to the executors whole, which then need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+travels(__name__)
+
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: Rows up to which a side is broadcast after it has been counted.

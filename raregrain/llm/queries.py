@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregrain.llm import decontam, host_reputation, host_rules, mix_schedule, random_battery, sql
+from raregrain.llm import decontam, host_reputation, host_rules, lsh_forest, mix_schedule, random_battery, sql
 from raregrain.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -19,6 +19,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule.taken(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = random_battery.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "random")
@@ -45,5 +49,5 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_mix_sources, op6_secret_battery, op8_decontaminate, op9_url_reputation, op10_host_rules)}
+    op3_mix_sources, op4_lsh_forest, op6_secret_battery, op8_decontaminate, op9_url_reputation, op10_host_rules)}
 ORACLES = {"op3_mix_sources": sql.OP3, "op8_decontaminate": sql.OP8, "op9_url_reputation": sql.OP9, "op10_host_rules": sql.OP10}
