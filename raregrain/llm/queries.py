@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregrain.llm import decontam, host_reputation, host_rules, lsh_forest, mix_schedule, random_battery, sql
+from raregrain.llm import decontam, host_reputation, host_rules, importance, lang_bloom, lsh_forest, mix_schedule, nb_toxicity, random_battery, sql
 from raregrain.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -15,6 +15,11 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
 
 
+def op2_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lang_bloom.identify(docs, lang_bloom.fit(docs))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule.taken(table(spark, sf_dir, "documents")).drop("source")
 
@@ -23,6 +28,11 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return importance.resample(table(spark, sf_dir, "documents"), good)
+
+
 def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = random_battery.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "random")
@@ -31,6 +41,11 @@ def op6_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(random_battery.listed(base), 256).alias("base_sha256"), random_battery.listed(F.col("spans")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nb_toxicity.score(docs, nb_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,5 +64,6 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_mix_sources, op4_lsh_forest, op6_secret_battery, op8_decontaminate, op9_url_reputation, op10_host_rules)}
+    op2_language_bloom, op3_mix_sources, op4_lsh_forest, op5_importance_resampling, op6_secret_battery, op7_toxicity,
+    op8_decontaminate, op9_url_reputation, op10_host_rules)}
 ORACLES = {"op3_mix_sources": sql.OP3, "op8_decontaminate": sql.OP8, "op9_url_reputation": sql.OP9, "op10_host_rules": sql.OP10}
