@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raregrain.llm.common import BROADCAST_ROWS, shared
+from raregrain.llm.common import BROADCAST_ROWS, shared, sized
 
 WORD_CHARS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased.
@@ -114,3 +114,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         "doc_id", "_t", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", F.expr("array()").cast("array<string>")).alias("item_ids"),
         F.coalesce("hits", F.expr("array()").cast("array<struct<begin:int,len:int>>")).alias("hits"))
+
+
+def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of `docs` in which no window of an item occurs."""
+    hit = shared(occurrences(docs.select("doc_id", "text"), windows_of(items, window), window, shingle, bound).select("doc_id", "_t").distinct())
+    hit = sized(hit.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")), most=500_000)
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_u")), "left_anti")

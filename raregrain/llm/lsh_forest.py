@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raregrain.llm.common import byte_view, mix, shared, shingle_hashes, travels, word_hashes
+from raregrain.llm.common import byte_view, mix, shared, shingle_hashes, sized, travels, word_hashes
 from raregrain.llm.components import components
 
 travels(__name__)
@@ -253,3 +253,19 @@ def _runs(nodes: DataFrame, trees: int, depth: int, base: int, longest: int) ->
             break
         rows = shared(keyed.join(sizes.filter(F.col("m") > longest).select("run"), "run", "left_semi"))
     return out
+
+
+def one_per_group(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` that stay when one document of each near-duplicate group does; of rows with one id, one stays.
+
+    Texts do not move: the ids to drop are broadcast within a bound, and joined by id beyond it.
+    """
+    found = shared(near_duplicates(docs.select("doc_id", "text"), **how))
+    drop = found.filter("not kept").select("doc_id").distinct()
+    kept = docs.join(sized(drop, most=500_000), "doc_id", "left_anti")
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    n = again.count()
+    if not n:
+        return kept
+    again = sized(again, n)
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -141,3 +141,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they are, that the model does not predict to be toxic."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(text).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregrain.llm import decontam, host_reputation, host_rules, importance, lang_bloom, lsh_forest, mix_schedule, nb_toxicity, random_battery, sql
+from raregrain.llm import chat_tree, decontam, host_reputation, host_rules, importance, lang_bloom, lsh_forest, mix_schedule, nb_toxicity, random_battery, sql
 from raregrain.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -15,6 +15,13 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
 
 
+def op1_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
+    return chat_tree.digests(chat_tree.read_back(*chat_tree.build(turns.unionByName(extra))))
+
+
 def op2_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lang_bloom.identify(docs, lang_bloom.fit(docs))
@@ -64,6 +71,6 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_bloom, op3_mix_sources, op4_lsh_forest, op5_importance_resampling, op6_secret_battery, op7_toxicity,
+    op1_prefix_tree, op2_language_bloom, op3_mix_sources, op4_lsh_forest, op5_importance_resampling, op6_secret_battery, op7_toxicity,
     op8_decontaminate, op9_url_reputation, op10_host_rules)}
-ORACLES = {"op3_mix_sources": sql.OP3, "op8_decontaminate": sql.OP8, "op9_url_reputation": sql.OP9, "op10_host_rules": sql.OP10}
+ORACLES = {"op1_prefix_tree": sql.OP1, "op3_mix_sources": sql.OP3, "op8_decontaminate": sql.OP8, "op9_url_reputation": sql.OP9, "op10_host_rules": sql.OP10}

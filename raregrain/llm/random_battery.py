@@ -191,3 +191,14 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
             F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)))
             .otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))))
+
+
+def without_secrets(docs: DataFrame, q: float = Q, mark: str = "[SECRET]") -> DataFrame:
+    """All rows of `docs`, with the spans found in `text` replaced by `mark` and `n_chars`, if there, counted anew."""
+    found = shared(secret_spans(docs.select("doc_id", "text"), q).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "spans"))
+    own = docs.columns
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_u")), "left")
+    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans"), mark)))
+    if "n_chars" in own:
+        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*own)

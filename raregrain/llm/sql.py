@@ -94,3 +94,14 @@ placed as (select d.*, source_size, target, cast(floor(target) as bigint) as quo
 select doc_id, size, source_size, target, cast(
   greatest(least(stop, quota) - (stop - size), 0) + greatest(least(stop + source_size, quota) - (stop + source_size - size), 0) as bigint) as taken from placed
 """
+
+OP1 = r"""
+with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f as (select *, length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + length(role) + 32
+  + len(regexp_extract_all(text, '<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) as chars from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars
+from f group by conv_id
+"""
