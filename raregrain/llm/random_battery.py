@@ -5,9 +5,9 @@ encoding is inferred, and three tests ask whether its symbols could be uniform r
 encoding's alphabet: chi-squared of the symbol counts, runs above and below the alphabet's middle, and
 lag-1 serial correlation; Fisher's method joins their p-values. Whether a band of lengths may report
 at all, and from which p-value on, is decided by false-discovery control: the corpus's own long plain
-words, of at most the band's length and put through the same tests, give the share of ordinary text
-that reaches a p-value, and the lowest p-value is taken at which the expected share of ordinary
-strings among the reported ones is at most `q`.
+words, of about the band's length or shorter and tested as if they were in the encoding, give the share of
+ordinary text that reaches a p-value, and the lowest p-value is taken at which the expected share of
+ordinary strings among the reported ones is at most `q`.
 
 Defined cases: null text is empty; empty texts have no spans; repeated rows get equal results; runs of
 digits only and plain words are no keys; runs shorter than `MIN_LENGTH` are left to the base kinds.
@@ -43,6 +43,11 @@ ENCODINGS = [
     ("base64url", "^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("mixed", ".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/"),
 ]
+#: Plain words are tested as strings of these encodings; encodings that no word can be in borrow another's result.
+AS_ENCODED = ["base32", "base36", "base62", "base64", "base64url"]
+BORROWS = {"hex": "base36", "HEX": "base32", "mixed": "base64url"}
+#: Plain words of a band and those below it are pooled until there are so many.
+REFERENCES = 200
 #: Lower ends of the bands of lengths.
 BANDS = [12, 20, 24, 32, 48, 64, 128]
 GRID = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05]
@@ -61,11 +66,11 @@ def _two_sided(z: Column) -> Column:
 
 
 def with_randomness(rows: DataFrame, token: str = "token") -> DataFrame:
-    """Adds encoding, n (symbols) and p: the joint p-value of "drawn uniformly from the encoding's alphabet"."""
+    """Adds encoding (unless there), n (symbols) and p: the joint p-value of "drawn uniformly from the encoding's alphabet"."""
     body = F.regexp_replace(token, "=+$", "")
     name = F.coalesce(*[F.when(F.col(token).rlike(p), F.lit(e)) for e, p, _ in ENCODINGS])
     alphabet = F.coalesce(*[F.when(F.col("encoding") == e, F.lit(a)) for e, _, a in ENCODINGS])
-    x = rows.withColumn("encoding", name).withColumn("_body", body).withColumn("_abc", alphabet)
+    x = (rows if "encoding" in rows.columns else rows.withColumn("encoding", name)).withColumn("_body", body).withColumn("_abc", alphabet)
     x = x.withColumn("_k", F.length("_abc").cast("double")).withColumn("n", F.length("_body").cast("double"))
     x = x.withColumn("_i", F.expr("transform(split(_body, ''), c -> cast(instr(_abc, c) - 1 as double))")).withColumn("_mid", F.col("_k") / 2)
     squares = F.expr("aggregate(transform(split(_abc, ''), c -> n - length(replace(_body, c, ''))), 0D, (a, c) -> a + c * c)")
@@ -119,24 +124,34 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return flat.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).select("doc_id", "_t", "kind", "start", "end", "passes", "token")
 
 
-def thresholds(candidates: DataFrame, ordinary: DataFrame, q: float = Q) -> dict[int, float]:
-    """Per band of lengths the lowest p-value of `GRID` from which on strings may be reported; no entry: none.
+def as_encoded(words: DataFrame) -> DataFrame:
+    """Each plain word as a string of every encoding of `AS_ENCODED`, in that encoding's case."""
+    case = {"base32": F.upper("token"), "base36": F.lower("token")}
+    return words.select(F.explode(F.array(*[F.struct(F.lit(e).alias("encoding"), case.get(e, F.col("token")).alias("token")) for e in AS_ENCODED])).alias("x")).select("x.*")
 
-    Both inputs have `len` and `p`. Counts per band and grid step, a few dozen numbers, reach the driver.
+
+def thresholds(candidates: DataFrame, ordinary: DataFrame, q: float = Q) -> dict[tuple[str, int], float]:
+    """Per encoding and band of lengths the lowest p-value of `GRID` from which on strings may be reported; no entry: none.
+
+    Both inputs have `encoding`, `len` and `p`. Counts per encoding, band and grid step reach the driver, a few hundred numbers.
     """
     def counts(rows):
-        got = rows.select(_band(F.col("len")).alias("band"), "p").groupBy("band").agg(
+        got = rows.select("encoding", _band(F.col("len")).alias("band"), "p").groupBy("encoding", "band").agg(
             F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("p") >= t).alias(f"g{i}") for i, t in enumerate(GRID)]).collect()
-        return {r["band"]: r for r in got}
+        return {(r["encoding"], r["band"]): r for r in got}
     seen, plain = counts(candidates), counts(ordinary)
     cut = {}
-    for band, r in seen.items():
-        below = [plain[b] for b in plain if b <= band]  # the tests only gain power with length
-        n0 = sum(x["n"] for x in below)
+    for (encoding, band), r in seen.items():
+        pool = []
+        for b in range(band, -1, -1):  # the tests gain power with length, so shorter words only make the estimate careful
+            x = plain.get((BORROWS.get(encoding, encoding), b))
+            if x and sum(y["n"] for y in pool) < REFERENCES:
+                pool.append(x)
+        n0 = sum(x["n"] for x in pool)
         for i, t in enumerate(GRID):
-            share = (sum(x[f"g{i}"] for x in below) + 1) / (n0 + 1)
+            share = (sum(x[f"g{i}"] for x in pool) + 1) / (n0 + 1)
             if r[f"g{i}"] and r["n"] * share / r[f"g{i}"] <= q:
-                cut[band] = t
+                cut[encoding, band] = t
                 break
     return cut
 
@@ -151,13 +166,13 @@ def secret_spans(docs: DataFrame, q: float = Q) -> DataFrame:
     places = shared(found_spans(own).filter("passes"))
     # each distinct string is tested once, however often it stands in the corpus
     tested = shared(with_randomness(places.filter("kind = 'random'").groupBy("token").agg(F.count(F.lit(1)).alias("times")))
-                    .select("token", "p", F.length("token").alias("len")))
+                    .select("token", "encoding", "p", F.length("token").alias("len")))
     plain = own.select(F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({PLAIN})"), 1)).alias("token")).filter(
         F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    cut = thresholds(tested, with_randomness(plain).select("p", F.length("token").alias("len")), q)
+    cut = thresholds(tested, with_randomness(as_encoded(plain)).select("encoding", "p", F.length("token").alias("len")), q)
     limit = F.lit(None).cast("double")
-    for band, t in cut.items():
-        limit = F.when(_band(F.col("len")) == band, F.lit(t)).otherwise(limit)
+    for (encoding, band), t in cut.items():
+        limit = F.when((F.col("encoding") == encoding) & (_band(F.col("len")) == band), F.lit(t)).otherwise(limit)
     random = tested.filter(F.col("p") >= limit).select("token")
     base = places.filter("kind != 'random'").drop("token", "passes")
     chosen = places.filter("kind = 'random'").join(random, "token", "left_semi").select(*base.columns)
@@ -196,9 +211,9 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def without_secrets(docs: DataFrame, q: float = Q, mark: str = "[SECRET]") -> DataFrame:
     """All rows of `docs`, with the spans found in `text` replaced by `mark` and `n_chars`, if there, counted anew."""
     found = shared(secret_spans(docs.select("doc_id", "text"), q).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), "spans"))
-    own = docs.columns
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_u")), "left")
-    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans"), mark)))
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*own)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # columns of any name stay out of the way
+    out = whole.join(found, F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("row.text") == F.col("_u")), "left")
+    changed = F.col("row").withField("text", redacted(F.col("row.text"), F.col("spans"), mark))
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length(redacted(F.col("row.text"), F.col("spans"), mark)).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(changed).alias("row")).select("row.*")
