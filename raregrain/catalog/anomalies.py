@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raregrain.catalog.fixtures import CASES, PAIRS, VECS, cases, query, r6, short_vecs, table, vecs, h32
+from raregrain.catalog.fixtures import CASES, PAIRS, VECS, cases, h32, query, r6, table, vecs
 from raregrain.catalog.nearest import nn_sql
 from raregrain.functions import columns as C
 from raregrain.operators import outliers as O
@@ -107,7 +107,7 @@ def pca(spark, sf):
 
 @query("robust_covariance_outliers")
 def mcd(spark, sf):
-    return out(O.mcd(short_vecs(spark, sf)))
+    return out(O.mcd(vecs(spark, sf)))
 
 
 @query("projection_histogram_outliers")

@@ -149,10 +149,11 @@ def label_recode(spark, sf):
     return D.recode_label(cases(spark, sf), "target").select("event_id", "target")
 
 
-@query("named_matrix_columns", f"with {VECS} select key, {r6('vec[1]')} as a, {r6('vec[2]')} as b, {r6('vec[3]')} as c from vecs")
+@query("named_matrix_columns", f"with {VECS} select key, {', '.join(r6(f'vec[{i}]') + f' as v{i}' for i in range(1, 65))} from vecs")
 def named_matrix(spark, sf):
-    out = P.named_columns(vecs(spark, sf), "vec", ["a", "b", "c"])
-    return out.select("key", *[C.round6(c).alias(c) for c in "abc"])
+    names = [f"v{i}" for i in range(1, 65)]
+    out = P.named_columns(vecs(spark, sf), "vec", names)
+    return out.select("key", *[C.round6(c).alias(c) for c in names])
 
 
 @query("matrix_columns_by_index", f"with {VECS} select key, {r6('vec[6]')} as first, {r6('vec[1]')} as second, {r6('vec[64]')} as third from vecs")

@@ -84,15 +84,6 @@ def vecs(spark, sf) -> DataFrame:
 
 
 VECS = "vecs as (select vec_id as key, embedding::double[] as vec, (label = 0)::int as target from embeddings)"
-SMALL_DIMS = 8
-
-
-def short_vecs(spark, sf) -> DataFrame:
-    """The first few coordinates of every vector: all rows, fewer columns."""
-    return vecs(spark, sf).withColumn("vec", F.slice("vec", 1, SMALL_DIMS))
-
-
-SHORT = f"vecs as (select vec_id as key, (embedding::double[])[1:{SMALL_DIMS}] as vec, (label = 0)::int as target from embeddings)"
 PAIRS = """pairs as (select a.key as a, b.key as b, a.target as ta, b.target as tb,
   sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1]-z[2])*(z[1]-z[2])))) as d
   from vecs a join vecs b on a.key <> b.key)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from raregrain.catalog.fixtures import PAIRS, SHORT, cases, query, r6, short_vecs, table
+from raregrain.catalog.fixtures import PAIRS, VECS, cases, query, r6, table, vecs
 from raregrain.functions import columns as C
 from raregrain.operators import learners as L
 from raregrain.operators import metrics as M
@@ -66,13 +66,13 @@ for _query, _name, _params in (
 
 @query("model_detector_features")
 def xgbod(spark, sf):
-    rows = cut_lineage(short_vecs(spark, sf))
+    rows = cut_lineage(vecs(spark, sf))
     return summary(build("pyod_xgbod", {"n_estimators": 3}).fit(rows).score(rows))
 
 
 def _sampled(name, **params):
     def run(spark, sf):
-        rows = cut_lineage(short_vecs(spark, sf))
+        rows = cut_lineage(vecs(spark, sf))
         return summary(build(name, params).fit(rows).score(rows))
     return run
 
@@ -133,17 +133,17 @@ def batch(spark, sf):
 
 @query("weighted_neighbour_selection")
 def weighted_selection(spark, sf):
-    fitted = WeightedKnnSelector(4, n_iters=3, kernel="exp", data_type="float64", apply_weights=True, n_iters_weights=2).fit(short_vecs(spark, sf))
-    return fitted.transform(short_vecs(spark, sf)).select("key", F.size("vec").alias("width"), C.round6(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    fitted = WeightedKnnSelector(4, n_iters=3, kernel="exp", data_type="float64", apply_weights=True, n_iters_weights=2).fit(vecs(spark, sf))
+    return fitted.transform(vecs(spark, sf)).select("key", F.size("vec").alias("width"), C.round6(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
-@query("weighted_neighbour_gradient", f"""with {SHORT}, {PAIRS}, p as (select a, any_value(ta) as y, sum(exp(-d)) as s, sum(exp(-d) * tb) / sum(exp(-d)) as p from pairs group by a),
+@query("weighted_neighbour_gradient", f"""with {VECS}, {PAIRS}, p as (select a, any_value(ta) as y, sum(exp(-d)) as s, sum(exp(-d) * tb) / sum(exp(-d)) as p from pairs group by a),
   uv as (select a, f, sum(-exp(-d) / (2 * d) * (x.vec[f] - z.vec[f]) * (x.vec[f] - z.vec[f])) as u, sum(-exp(-d) / (2 * d) * tb * (x.vec[f] - z.vec[f]) * (x.vec[f] - z.vec[f])) as v
-    from pairs join vecs x on x.key = a join vecs z on z.key = b, range(1, 9) r(f) group by a, f)
+    from pairs join vecs x on x.key = a join vecs z on z.key = b, range(1, 65) r(f) group by a, f)
   select (f - 1)::int as feature, {r6('avg(2 * (p - y) / s * (v - p * u))')} as slope from uv join p using (a) group by f union all select -1, {r6('avg((p - y) * (p - y))')} from p""")
 def weighted_gradient(spark, sf):
-    v = short_vecs(spark, sf)
+    v = vecs(spark, sf)
     sel = WeightedKnnSelector(4, kernel="exp", data_type="float64", scaling=False)
     blocks, parts = pack(v, "key", "vec", "target", 256)
-    err, g = sel.gradient(blocks, parts, v.select("key", F.col("target").cast("double").alias("y")), np.ones(8))
+    err, g = sel.gradient(blocks, parts, v.select("key", F.col("target").cast("double").alias("y")), np.ones(64))
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(g)] + [(-1, float(err))], "feature int, slope double").withColumn("slope", C.round6("slope"))

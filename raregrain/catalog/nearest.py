@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from raregrain.catalog.fixtures import CASES, PAIRS, SHORT, VECS, cases, docs, h32, query, r6, scored, SCORED, short_vecs, table, vecs
+from raregrain.catalog.fixtures import CASES, PAIRS, SCORED, VECS, cases, docs, h32, query, r6, scored, table, vecs
 from raregrain.functions import columns as C
 from raregrain.operators import neighbours as N
 from raregrain.operators import resample as R
@@ -123,12 +123,12 @@ for _name, _d, _metric, _p, _kern in (("euclidean_all_pairs_exp", _E, "euclidean
     query(_name, f"with {VECS}, {_kernel_sql(_d, _kern)} select a as key, n, {r6('mean_distance')} as mean_distance, {r6('nearest')} as nearest, {r6('s')} as s, {r6('prediction')} as prediction from ks")(_kernel_query(_metric, _p, _kern))
 
 
-@query("leave_one_out_errors", f"""with {SHORT}, pw as (select a.key as a, a.target as ta, b.target as tb, sqrt(greatest(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1]-z[2])*(z[1]-z[2]))), 1e-300)) as d from vecs a join vecs b on a.key <> b.key),
+@query("leave_one_out_errors", f"""with {VECS}, pw as (select a.key as a, a.target as ta, b.target as tb, sqrt(greatest(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1]-z[2])*(z[1]-z[2]))), 1e-300)) as d from vecs a join vecs b on a.key <> b.key),
   p as (select a, ta as y, sum(exp(-d) * tb) / sum(exp(-d)) as p from pw group by all)
   select {r6('avg((y-p)*(y-p))')} as mse, {r6('avg(abs(y-p))')} as mae, {r6('avg(case when abs(y-p) <= 0.2::double then 0.5*(y-p)*(y-p) else 0.2::double*abs(y-p) - 0.5*0.2::double*0.2::double end)')} as huber, {r6('avg(-ln(greatest(1 - abs(y-p), 1e-300)))')} as ce from p""")
 def loo_errors(spark, sf):
     from raregrain.operators.wknn import loo_predictions, mean_errors
-    return mean_errors(loo_predictions(short_vecs(spark, sf), "key", "vec", "target", [1.0] * 8), delta=0.2).select(*[C.round6(c).alias(c) for c in ("mse", "mae", "huber", "ce")])
+    return mean_errors(loo_predictions(vecs(spark, sf), "key", "vec", "target", [1.0] * 64), delta=0.2).select(*[C.round6(c).alias(c) for c in ("mse", "mae", "huber", "ce")])
 
 
 @query("weight_penalties", f"""with {VECS}, w as (select i, abs(avg(vec[i])) as w from vecs, range(1, 65) r(i) group by i)
@@ -172,6 +172,12 @@ def smote(spark, sf):
     return _resampled(R.smote(vecs(spark, sf), "key", "vec", "target"))
 
 
+@query("smote_text_keys", f"""with {SMOTE_SQL.format(seeds=SEEDS_ALL)}, topped as (select *, (select max(cast(key as varchar)) from vecs) || '/' || (key - 1 - (select max(key) from vecs)) as name from made)
+  select cast(key as varchar) as key, target, false as synthetic, {r6('list_sum(vec)')} as total, {r6('vec[1]')} as first from vecs union all select name, 1, true, {r6('list_sum(vec)')}, {r6('vec[1]')} from topped""")
+def smote_text_keys(spark, sf):
+    return _resampled(R.smote(vecs(spark, sf).withColumn("key", F.col("key").cast("string")), "key", "vec", "target"))
+
+
 @query("danger_rows", f"with {VECS}, {PAIRS}, {DANGER} select key, majority_near::int as majority_near from danger")
 def danger(spark, sf):
     return R.danger_rows(vecs(spark, sf), "key", "vec", "target").select("key", "majority_near")
@@ -255,7 +261,18 @@ def kmeans_smote(spark, sf):
     return _resampled(R.kmeans_smote(vecs(spark, sf), "key", "vec", "target", k=3, clusters=3, threshold=0.01))
 
 
-@query("cluster_centroids")
+def _lloyd(i: int) -> str:
+    """One round: every majority row to its nearest centre, every centre to its rows' mean."""
+    return f"""r{i} as (select m.key, c.num, m.vec from maj m, c{i - 1} c qualify row_number() over (partition by m.key
+    order by list_sum(list_transform(list_zip(m.vec, c.vec), lambda z: (z[1]-z[2])*(z[1]-z[2]))), c.num) = 1),
+  m{i} as (select num, list(x order by d) as vec from (select num, d, avg(vec[d]) as x from r{i}, range(1, 65) t(d) group by num, d) group by num),
+  c{i} as (select c.num, coalesce(m.vec, c.vec) as vec from c{i - 1} c left join m{i} m using (num))"""
+
+
+@query("cluster_centroids", f"""with {VECS}, maj as (select key, vec, row_number() over (order by {h32("'42'", 'key')}, key) - 1 as num from vecs where target = 0),
+  c0 as (select num, vec from maj where num < (select count(*) from vecs where target = 1)), {', '.join(_lloyd(i) for i in range(1, 6))}
+  select key, target, false as synthetic, {r6('list_sum(vec)')} as total, {r6('vec[1]')} as first from vecs where target = 1 union all
+  select num + (select max(key) + 1 from vecs), 0, true, {r6('list_sum(vec)')}, {r6('vec[1]')} from c5""")
 def cluster_centroids(spark, sf):
     return _resampled(R.cluster_centroids(vecs(spark, sf), "key", "vec", "target"))
 

@@ -172,7 +172,8 @@ def fit_resampled(stages: list, train: DataFrame):
 
 
 def named_columns(df: DataFrame, col: str, names: list[str], is_vector: bool = False) -> DataFrame:
-    """Give names back to the columns of a matrix."""
+    """Give names back to the columns of a matrix. A row whose width differs from the number of names is an error."""
     v = vector_to_array(col) if is_vector else F.col(col)
-    return df.withColumn("_v", v).select(
+    wrong = F.raise_error(F.concat(F.lit(f"{len(names)} names for a matrix of width "), F.size("_v").cast("string")))
+    return df.withColumn("_v", v).withColumn("_v", F.when(F.size("_v") == len(names), F.col("_v")).otherwise(wrong)).select(
         *[c for c in df.columns if c != col], *[F.col("_v")[i].alias(n) for i, n in enumerate(names)])

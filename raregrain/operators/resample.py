@@ -109,8 +109,12 @@ def _sides(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame, int, int,
     return df.filter(F.col(target) == rare), df.filter(F.col(target) != rare), rare, min(neg, pos), max(neg, pos)
 
 
-def _top_key(df: DataFrame, key: str):
-    return df.agg((F.max(key) + 1).alias("k")).scalar()
+def _new_key(df: DataFrame, key: str, number):
+    """Keys that no row has: beyond the largest number, or the largest text with the number after it."""
+    kind = dict(df.dtypes)[key]
+    if kind == "string":
+        return F.concat(df.agg(F.max(key).alias("k")).scalar(), F.lit("/"), number.cast("string"))
+    return (number + df.agg((F.max(key) + 1).alias("k")).scalar()).cast(kind)
 
 
 def _interpolate(near: DataFrame, draws: DataFrame, key: str, vec: str, seed, tag: str) -> DataFrame:
@@ -139,7 +143,7 @@ def _smote_rows(near: DataFrame, seeds: DataFrame, size: int, n: int, key: str,
 
 def _with_synthetic(df: DataFrame, key: str, vec: str, target: str, rare: int, rows: DataFrame) -> DataFrame:
     base = df.select(key, F.col(vec).cast("array<double>").alias(vec), F.col(target).cast("int").alias(target), F.lit(False).alias("synthetic"))
-    made = rows.select((F.col("draw") + _top_key(df, key)).alias(key), vec, F.lit(rare).alias(target), F.lit(True).alias("synthetic"))
+    made = rows.select(_new_key(df, key, F.col("draw")).alias(key), vec, F.lit(rare).alias(target), F.lit(True).alias("synthetic"))
     return base.unionByName(made)
 
 
@@ -207,7 +211,7 @@ def smoten(df: DataFrame, key: str, cols: list[str], target: str, k: int = 5, se
     voted = near.select(key, *[_most_frequent(c).alias(c) for c in cols])
     ranked = hash_rank(minority.select(key), key, seed, name="_rank")
     picks = _draws(df, big - small).withColumn("_rank", hash32(seed, F.lit("s"), "draw") % F.lit(max(small, 1)) + 1)
-    made = picks.join(ranked, "_rank").join(voted, key).drop(key).select((F.col("draw") + _top_key(df, key)).alias(key), *cols,
+    made = picks.join(ranked, "_rank").join(voted, key).drop(key).select(_new_key(df, key, F.col("draw")).alias(key), *cols,
                                               F.lit(rare).alias(target), F.lit(True).alias("synthetic"))
     return df.select(key, *cols, F.col(target).cast("int").alias(target), F.lit(False).alias("synthetic")).unionByName(made)
 
@@ -314,35 +318,27 @@ def smote_enn(df: DataFrame, key: str, vec: str, target: str, k: int = 5, seed=4
     return edited_nearest(cut_lineage(smote(df, key, vec, target, k, seed=seed)), key, vec, target)
 
 
-def cluster_centroids(df: DataFrame, key: str, vec: str, target: str, seed=42, rows_per_part: int = 20000, steps: int = 25) -> DataFrame:
+def cluster_centroids(df: DataFrame, key: str, vec: str, target: str, steps: int = 5, seed=42) -> DataFrame:
     """Replace the majority by as many K-means centres as there are minority rows.
 
-    The majority is hashed into bounded parts; each part is clustered by one task into its
-    share of the centres, so neither the rows nor the centres meet in one place.
+    Lloyd rounds as joins and aggregates: centres start at the majority rows of lowest hash, every row finds
+    its nearest centre by the exact search, and a centre moves to its rows' mean (an empty one stays). The
+    result does not depend on the number of rows or partitions.
     """
-    minority, majority, rare, small, big = _sides(df, target)
-    parts = max(1, min(math.ceil(big / rows_per_part), small))
-    share = F.lit(small // parts) + (F.col("_part") < small % parts).cast("int")
-    rows = majority.select(F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit(parts)).cast("int").alias("_part"), F.col(vec).cast("array<double>").alias(vec)).withColumn("_k", share)
-
-    def lloyd(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf[vec].to_numpy())
-        k = min(int(pdf["_k"].iloc[0]), len(x))
-        rng = np.random.default_rng(int(pdf["_part"].iloc[0]) + 1)
-        x = x[np.lexsort(x.T)]
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(steps):
-            at = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]).argmin(axis=1)
-            n = np.bincount(at, minlength=k)
-            sums = np.zeros_like(c)
-            np.add.at(sums, at, x)
-            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-        return pd.DataFrame({"part": pdf["_part"].iloc[0], "at": np.arange(k), vec: list(c)})
-
-    centres = rows.groupBy("_part").applyInPandas(lloyd, f"part int, at int, {vec} array<double>")
+    minority, majority, rare, small, _ = _sides(df, target)
+    dims = len(df.select(vec).first()[0])
+    rows = cut_lineage(majority.select(F.concat(F.lit("row/"), F.col(key).cast("string")).alias("_k"), F.col(vec).cast("array<double>").alias(vec), F.col(key).alias("_own")))
+    first = hash_rank(rows, "_own", seed, name="_rank").filter(F.col("_rank") <= small)
+    # centres and rows have keys of their own kind, as the search leaves out a row's own key
+    centres = cut_lineage(first.select((F.col("_rank") - 1).cast("bigint").alias("_at"), vec))
+    for _ in range(steps):
+        named = centres.select(F.concat(F.lit("centre/"), F.lpad(F.col("_at").cast("string"), 19, "0")).alias("_k"), vec, "_at")
+        near = knn(rows.select("_k", vec), named, 1, "_k", vec, ["_at"])
+        moved = near.select(F.col("nn")[0]["_at"].alias("_at"), vec).groupBy("_at").agg(
+            F.array(*[F.avg(F.col(vec)[i]) for i in range(dims)]).alias("_mean"))
+        centres = cut_lineage(centres.join(moved, "_at", "left").select("_at", F.coalesce("_mean", vec).alias(vec)))
     base = minority.select(key, F.col(vec).cast("array<double>").alias(vec), F.col(target).cast("int").alias(target), F.lit(False).alias("synthetic"))
-    made = centres.select((F.col("part") + F.col("at").cast("bigint") * parts + _top_key(df, key)).cast(dict(df.dtypes)[key]).alias(key), vec,
-                          F.lit(1 - rare).alias(target), F.lit(True).alias("synthetic"))
+    made = centres.select(_new_key(df, key, F.col("_at")).alias(key), vec, F.lit(1 - rare).alias(target), F.lit(True).alias("synthetic"))
     return base.unionByName(made)
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import round_half_away, safe_div
 
-# Size of the candidate pool, quotient guard, correlation floor.
-POOL = 5000
+# Quotient guard, correlation floor.
 MIQ_GUARD = 0.0001
 CORRELATION_FLOOR = 0.001
 
@@ -79,12 +78,13 @@ def correlations(df: DataFrame, cols: list[str], against: str) -> dict[str, floa
     return {c: float(row[c] or 0.0) for c in cols}
 
 
-def mrmr(df: DataFrame, cols: list[str], target: str, method: str = "MIQ", k: int = 10, pool: int = POOL) -> DataFrame:
+def mrmr(df: DataFrame, cols: list[str], target: str, method: str = "MIQ", k: int = 10, pool: int | None = None) -> DataFrame:
     """Minimum-redundancy maximum-relevance picks: (place, feature, score).
 
     MID: relevance - mean redundancy; MIQ: quotient; FCQ: F statistic over mean absolute
     correlation. Relevance is computed once; each round adds one pass that measures the
     last pick against the remaining candidates. The driver holds one number per feature.
+    `pool` limits the candidates to so many of the most relevant; by default all can be picked.
     """
     if method not in ("MID", "MIQ", "FCQ"):
         raise ValueError(f"unknown method {method}")
