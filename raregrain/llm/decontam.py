@@ -120,4 +120,4 @@ def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, s
     """The rows of `docs` in which no window of an item occurs."""
     hit = shared(occurrences(docs.select("doc_id", "text"), windows_of(items, window), window, shingle, bound).select("doc_id", "_t").distinct())
     hit = sized(hit.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")), most=500_000)
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_u")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_d"]) & (F.xxhash64(docs["text"]) == hit["_u"]), "left_anti")

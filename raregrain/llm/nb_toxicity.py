@@ -22,33 +22,51 @@ travels(__name__)
 
 SIZES = (3, 4, 5)
 BITS = 18
+#: Code points that are worked on at a time.
+PIECE = 1 << 18
 #: At most about so many labelled documents of each class are learnt from (chosen by a hash of the id).
 FIT_DOCS = 4000
 PENALTY, SMOOTH, INPUTS = 5e-4, 10.0, 4096
 
 
+def _once(b: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Each number once; `last` is scratch space with a place for every number."""
+    i = np.arange(len(b))
+    last[b] = i
+    return b[last[b] == i]
+
+
 def present(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the n-grams present in each text, one text after the other, and each text's first index (plus the end)."""
+    """Numbers of the n-grams present in each text, one text after the other, and each text's first index (plus the end).
+
+    Repeats go after every piece, so a long text needs no more than one piece and a number for each bucket.
+    """
     step = np.uint64(64 - BITS)
+    last = np.zeros(1 << BITS, np.int32)
     parts: list[list[np.ndarray]] = [[] for _ in texts]
-    for piece in pieces(texts, max(SIZES)):
-        for size in SIZES:
-            h, owner = piece.grams(size)
-            b = (h >> step).astype(np.int64)
-            first = np.searchsorted(owner, np.arange(len(texts) + 1))
-            for d in np.flatnonzero(np.diff(first)):
-                parts[d].append(b[first[d]:first[d + 1]])
-    last = np.zeros(1 << BITS, np.int64)
-    out, counts = [], np.zeros(len(texts), np.int64)
-    for d, own in enumerate(parts):
-        if own:
-            b = np.concatenate(own)
-            i = np.arange(len(b))
-            last[b] = i
-            b = b[last[b] == i]  # each number where it stands last
-            out.append(b)
-            counts[d] = len(b)
-    return np.concatenate(out) if out else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(counts)])
+    for piece in pieces(texts, max(SIZES), PIECE):
+        grams = [piece.grams(size) for size in SIZES]
+        b, owner = np.concatenate([(h >> step).astype(np.int32) for h, _ in grams]), np.concatenate([o for _, o in grams])
+        order = np.argsort(owner, kind="stable")
+        b, owner = b[order], owner[order]
+        own, at = np.unique(owner, return_index=True)
+        for d, x in zip(own.tolist(), np.split(b, at[1:]), strict=True):
+            x = np.concatenate([*parts[d], x]) if parts[d] else x
+            parts[d] = [_once(x, last)]
+    counts = [len(own[0]) if own else 0 for own in parts]
+    return np.concatenate([own[0] for own in parts if own] or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def _slices(texts: list[str | None]):
+    """Bounds of successive texts that have about `PIECE` code points together."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= PIECE:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 class Model:
@@ -58,6 +76,9 @@ class Model:
         self.weights, self.intercept = weights.astype(np.float32), intercept
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        return np.concatenate([self._scores(texts[a:b]) for a, b in _slices(texts)] or [np.zeros(0)])
+
+    def _scores(self, texts: list[str | None]) -> np.ndarray:
         flat, first = present(texts)
         w = self.weights[flat].astype(np.float64)
         used = ~np.isnan(w)
@@ -83,9 +104,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
 
     def features(batches):
         for batch in batches:
-            flat, first = present(batch.column("text").to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), lists], names=["toxic", "weight", "grams"])
+            texts = batch.column("text").to_pylist()
+            for a, b in _slices(texts):
+                flat, first = present(texts[a:b])
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic")[a:b], batch.column("weight")[a:b], lists], names=["toxic", "weight", "grams"])
 
     rows = docs.select("doc_id", "text").join(sized(asked), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "weight", "text")
     sample = shared(rows.mapInArrow(features, "toxic int, weight double, grams array<int>"))
