@@ -6,6 +6,7 @@ thread pool; boosting keeps one weight column and rewrites it every few rounds.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import sigmoid
 from raregrain.operators import resample as R
-from raregrain.operators.learners import Voted, random_forest, tree, with_features
+from raregrain.operators.learners import FEATURES, Voted, random_forest, tree, with_features
 from raregrain.operators.neighbours import knn
 from raregrain.operators.ranking import hash_rank
 from raregrain.operators.weights import class_sizes
@@ -122,8 +123,11 @@ def _key_w(df: DataFrame) -> DataFrame:
     return df.select("key", "vec", "target", "w")
 
 
-def rusboost(df: DataFrame, n_estimators: int = 50, learning_rate: float = 1.0, algorithm: str = "SAMME", seed: int = 1000, **_) -> Boosted:
-    """Each round is fitted on a fresh balanced under-sample."""
+def rusboost(df: DataFrame, n_estimators: int = 50, learning_rate: float = 1.0, algorithm: str = "SAMME",
+             sampling_strategy: str = "auto", seed: int = 1000) -> Boosted:
+    """Each round is fitted on a fresh balanced under-sample. The strategies name the same class when there are two."""
+    if sampling_strategy not in ("auto", "majority", "not minority"):
+        raise ValueError(f"unknown strategy {sampling_strategy}")
     return adaboost(df, n_estimators, learning_rate, algorithm, seed=seed,
                     resample=lambda rows, t: R.random_under(rows, "key", "target", 1.0, f"{seed}/{t}"))
 
@@ -182,29 +186,60 @@ def _bagged(df: DataFrame, n: int, strategy: str, seed: int, fit: Callable[[Data
     return Voted(in_parallel([lambda i=i: fit(bags.filter(F.col("member") == i), i) for i in range(n)]))
 
 
-def easy_ensemble(df: DataFrame, n_estimators: int = 10, rounds: int = 30, seed: int = 1000, **_) -> Voted:
-    """Bag of boosted trees, one per balanced draw."""
-    return _bagged(df, n_estimators, "auto", seed, lambda part, i: adaboost(part, rounds, seed=seed + i))
+@dataclass
+class Projected:
+    """A member that was fitted on some of the vector's columns."""
+
+    member: object
+    cols: list
+
+    def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
+        out = self.member.score(_narrow(df, self.cols), name)
+        return out.withColumn("vec", F.col("_whole")).select(*[c for c in df.columns if c != FEATURES], name)
+
+
+def _narrow(df: DataFrame, cols: list) -> DataFrame:
+    return df.drop(FEATURES).withColumn("_whole", F.col("vec")).withColumn("vec", F.array(*[F.get("_whole", F.lit(i)) for i in cols]))
+
+
+def _width(max_features, dims: int) -> int:
+    """Number of columns that a member sees: a count, a share, or a rule by name; None: all."""
+    if max_features in ("auto", "sqrt", "log2"):
+        return max(1, int(math.log2(dims) if max_features == "log2" else math.sqrt(dims)))
+    return dims if max_features is None else max(1, min(dims, int(max_features * dims) if isinstance(max_features, float) else max_features))
+
+
+def easy_ensemble(df: DataFrame, n_estimators: int = 10, rounds: int = 30, max_features=None, seed: int = 1000) -> Voted:
+    """Bag of boosted trees, one per balanced draw; with `max_features`, each on its own random columns."""
+    dims = len(df.select("vec").first()[0])
+    width = _width(max_features, dims)
+
+    def member(part, i):
+        if width == dims:
+            return adaboost(part, rounds, seed=seed + i)
+        cols = sorted(random.Random(seed + i).sample(range(dims), width))
+        return Projected(adaboost(_narrow(part, cols).drop("_whole"), rounds, seed=seed + i), cols)
+    return _bagged(df, n_estimators, "auto", seed, member)
 
 
 def balanced_random_forest(df: DataFrame, n_estimators: int = 100, max_depth: int | None = 10, max_features="auto", criterion: str = "gini",
-                           sampling_strategy: str = "auto", min_rows: int = 1, seed: int = 1000, **_) -> Voted:
+                           sampling_strategy: str = "auto", min_rows: int = 1, seed: int = 1000) -> Voted:
     """One randomised tree per balanced draw."""
     return _bagged(df, n_estimators, sampling_strategy, seed, lambda part, i: random_forest(
         part, 1, max_depth, max_features, criterion, min_rows, bootstrap=False, seed=seed + i))
 
 
-def balanced_bagging(df: DataFrame, n_estimators: int = 10, sampling_strategy: str = "auto", max_features=None, depth: int = 10, seed: int = 1000, **_) -> Voted:
+def balanced_bagging(df: DataFrame, n_estimators: int = 10, sampling_strategy: str = "auto", max_features=None, depth: int = 10, seed: int = 1000) -> Voted:
     """One tree per balanced draw; `max_features` columns per split when given."""
     return _bagged(df, n_estimators, sampling_strategy, seed, lambda part, i: random_forest(
         part, 1, depth, max_features, bootstrap=False, seed=seed + i))
 
 
-def under_bagging(df: DataFrame, n_estimators: int = 50, max_features=None, depth: int = 10, seed: int = 1000, **_) -> Voted:
+def under_bagging(df: DataFrame, n_estimators: int = 50, max_features=None, depth: int = 10, seed: int = 1000) -> Voted:
     return balanced_bagging(df, n_estimators, "majority", max_features, depth, seed)
 
 
-def smote_bagging(df: DataFrame, n_estimators: int = 10, k_neighbors: int = 5, depth: int = 10, max_features=None, seed: int = 1000, **_) -> Voted:
+def smote_bagging(df: DataFrame, n_estimators: int = 10, k_neighbors: int = 5, depth: int = 10, max_features=None, seed: int = 1000) -> Voted:
     """Member b draws b/B of its minority rows with replacement and makes the rest synthetically."""
     neg, pos = class_sizes(df)
     rare, small, big = (1, pos, neg) if pos <= neg else (0, neg, pos)
@@ -228,7 +263,7 @@ def smote_bagging(df: DataFrame, n_estimators: int = 10, k_neighbors: int = 5, d
     return Voted(in_parallel([lambda b=b: one(b) for b in range(n_estimators)]))
 
 
-def balance_cascade(df: DataFrame, n_estimators: int = 10, depth: int = 10, criterion: str = "gini", seed: int = 1000, **_) -> Voted:
+def balance_cascade(df: DataFrame, n_estimators: int = 10, depth: int = 10, criterion: str = "gini", seed: int = 1000) -> Voted:
     """After each member, drop the majority rows the ensemble already classifies best."""
     neg, pos = class_sizes(df)
     ratio = min(neg, pos) / max(neg, pos)
@@ -247,7 +282,7 @@ def balance_cascade(df: DataFrame, n_estimators: int = 10, depth: int = 10, crit
     return fitted
 
 
-def self_paced_ensemble(df: DataFrame, n_estimators: int = 10, depth: int = 10, criterion: str = "gini", bins: int = 5, seed: int = 1000, **_) -> Voted:
+def self_paced_ensemble(df: DataFrame, n_estimators: int = 10, depth: int = 10, criterion: str = "gini", bins: int = 5, seed: int = 1000) -> Voted:
     """Each member sees a majority sample chosen by hardness under the members so far."""
     rows = df.select("key", "vec", F.col("target").cast("int").alias("target"))
     fitted = Voted([tree(R.random_under(rows, "key", "target", 1.0, seed), depth, criterion, seed=seed)])

@@ -4,6 +4,7 @@ A fitted model is anything with `score(df, name)`, which adds a probability colu
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -95,8 +96,12 @@ def random_forest(df: DataFrame, n_estimators: int = 100, max_depth: int | None
 
 
 def boosted_trees(df: DataFrame, n_estimators: int = 20, learning_rate: float = 0.1, max_depth: int = 5, subsample: float = 1.0,
-                  colsample_bytree: float = 1.0, gamma: float = 0.0, min_rows: int = 1, scale_pos_weight: float = 1.0, seed: int = 1000) -> Fitted:
-    """Gradient-boosted trees under the usual vendor parameter names."""
+                  colsample_bytree: float = 1.0, gamma: float = 0.0, min_child_weight: float | None = None, min_rows: int = 1, scale_pos_weight: float = 1.0, seed: int = 1000) -> Fitted:
+    """Gradient-boosted trees under the usual vendor parameter names.
+
+    A child's weight is its number of rows here (`min_child_weight` rounds up to `min_rows`).
+    """
+    min_rows = max(min_rows, math.ceil(min_child_weight or 0))
     df = with_weight(df, scheme={0: 1.0, 1: scale_pos_weight}, name="w") if scale_pos_weight != 1.0 else df
     est = GBTClassifier(maxIter=n_estimators, stepSize=min(learning_rate, 1.0), maxDepth=min(max_depth, MAX_TREE_DEPTH), subsamplingRate=subsample,
                         featureSubsetStrategy="all" if colsample_bytree >= 1 else str(colsample_bytree), minInfoGain=gamma,

@@ -453,12 +453,12 @@ def _grow(x: np.ndarray, rng, limit: int, cols: np.ndarray) -> dict[str, list]:
     return nodes
 
 
-def isolation_forest(df: DataFrame, key: str = "key", vec: str = "vec", n_estimators: int = 100, max_samples: int = 256,
+def isolation_forest(df: DataFrame, key: str = "key", vec: str = "vec", n_estimators: int = 100, max_samples: int | float | str = 256,
                      max_features: float = 1.0, seed: int = 0) -> DataFrame:
     """2^(-mean path / c(sample)). Trees grow in parallel on bounded hashed samples, then score in batches."""
     rows = df.select(key, F.col(vec).cast("array<double>").alias("x"))
     n, dims = rows.count(), len(df.select(vec).first()[0])
-    size = min(max_samples, n)
+    size = min(256, n) if max_samples == "auto" else max(1, int(max_samples * n)) if isinstance(max_samples, float) else min(max_samples, n)
     # trees draw from a pool of at most n_estimators * max_samples hashed rows; other rows never move
     pool_size = min(n, n_estimators * size)
     quota = df.sparkSession.createDataFrame([(0, pool_size)], "_all int, quota bigint")

@@ -1,7 +1,8 @@
 """Parameter grids of the presets. Fixed values; shared lists are named once.
 
-Left out are settings that choose a library's internal routine and do not change what is
-computed here: solver, tree splitter, neighbour index, warm start, cost-complexity pruning.
+Left out are a library's internal routines (solver, neighbour index, warm start) and settings
+without a counterpart here, although they change the model: tree splitter, cost-complexity
+pruning, the deviation detector's other measures, the LOCI detector's smallest neighbourhood.
 """
 from __future__ import annotations
 
