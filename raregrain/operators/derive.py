@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raregrain.functions.columns import EPS
+from raregrain.session import join_by_key
 
 # Column names and formulas of the measurement table.
 NUMERIC_COLUMNS = [
@@ -127,13 +128,13 @@ def labelled(df: DataFrame, features: list[str], key: str, group: str, target: s
 def group_normalise(df: DataFrame, cols: list[str], group: str, eps: float = EPS) -> DataFrame:
     """(x - group mean) / (group sample std + eps) for all columns, plus the group size.
 
-    The statistics come from one partially combined aggregation joined back, so a
-    group holding a large share of the rows is never sorted or buffered in one task.
+    The statistics come from one partially combined aggregation joined back; groups that hold very
+    many rows are joined by broadcast, so their rows never meet in one task.
     """
     stats = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("count_per_group"),
         *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    out = df.join(stats, group)
+    out = join_by_key(df, stats, [group], "count_per_group")
     return out.select(
         *df.columns, "count_per_group",
         *[((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(eps))).alias(f"{c}_group_norm") for c in cols])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from raregrain.functions.columns import doubles, hash32
 from raregrain.operators.neighbours import distances, each_block_pair, edges, knn, pack_rows, pair_sums, pack
 from raregrain.operators.ranking import exact_quantile, hash_bucket, hash_rank, order_statistic, running_sums, take_hashed, value_borders, value_bucket
-from raregrain.session import cut_lineage
+from raregrain.session import cut_lineage, join_by_key
 
 # Fixed value: default share of outliers.
 CONTAMINATION = 0.0001
@@ -123,8 +123,9 @@ def copod(df: DataFrame, key: str = "key", vec: str = "vec") -> DataFrame:
     skew = long.groupBy("f").agg(F.skewness("x").alias("skew"))
     left = -F.log(F.col("upto") / F.col("total"))
     right = -F.log((F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
-    tails = table.join(skew, "f").select("f", "x", left.alias("l"), right.alias("r"), F.when(F.col("skew") < 0, left).otherwise(right).alias("c"))
-    return long.join(tails, ["f", "x"]).groupBy(key).agg(F.greatest(F.sum("l"), F.sum("r"), F.sum("c")).alias("score"))
+    tails = table.join(skew, "f").select("f", "x", left.alias("l"), right.alias("r"), F.when(F.col("skew") < 0, left).otherwise(right).alias("c"), "n")
+    # a value that very many rows share does not gather them
+    return join_by_key(long, tails, ["f", "x"], "n").groupBy(key).agg(F.greatest(F.sum("l"), F.sum("r"), F.sum("c")).alias("score"))
 
 
 # ---- neighbours ------------------------------------------------------------------------

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import hash32
 from raregrain.operators.ranking import hash_bucket, hash_rank, take_hashed
-from raregrain.session import cut_lineage
+from raregrain.session import cut_lineage, join_by_key
 
 
 def group_labels(df: DataFrame, key: str, group: str, target: str) -> DataFrame:
     """Each group with the label of its first row in key order."""
-    return df.groupBy(group).agg(F.min_by(target, key).alias("group_label"))
+    return _labels(df, key, group, target).drop("_n")
+
+
+def _labels(df: DataFrame, key: str, group: str, target: str) -> DataFrame:
+    return df.groupBy(group).agg(F.min_by(target, key).alias("group_label"), F.count(F.lit(1)).alias("_n"))
 
 
 def _stratum_quota(groups: DataFrame, test_share: float) -> DataFrame:
@@ -32,10 +36,10 @@ def _stratum_quota(groups: DataFrame, test_share: float) -> DataFrame:
 
 def group_holdout(df: DataFrame, key: str, group: str, target: str, ratio: float = 0.8, seed=42) -> DataFrame:
     """Add `split` ('train' or 'val'): whole groups, stratified by the group label."""
-    groups = cut_lineage(group_labels(df, key, group, target))
+    groups = cut_lineage(_labels(df, key, group, target))
     flagged = take_hashed(groups, group, seed, _stratum_quota(groups, 1 - ratio), ["group_label"], flag="_val")
-    side = flagged.select(group, F.when(F.col("_val"), "val").otherwise("train").alias("split"))
-    return df.join(side, group)
+    side = flagged.select(group, F.when(F.col("_val"), "val").otherwise("train").alias("split"), "_n")
+    return join_by_key(df, side, [group], "_n").drop("_n")
 
 
 def group_folds(df: DataFrame, group: str, target: str, k: int = 5, seed=42) -> DataFrame:
@@ -64,7 +68,7 @@ def group_folds(df: DataFrame, group: str, target: str, k: int = 5, seed=42) ->
         "_at", F.row_number().over(inside) - 1 + F.col("_o1") + F.col("_o2") + F.col("_o3"))
     turn = F.col("_at") % (2 * k)
     fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
-    return df.join(placed.select(group, fold.alias("fold")), group)
+    return join_by_key(df, placed.select(group, fold.alias("fold"), "_n"), [group], "_n").drop("_n")
 
 
 def row_folds(df: DataFrame, key: str, target: str, k: int = 5, seed=42) -> DataFrame:

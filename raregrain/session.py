@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -37,3 +38,17 @@ def cut_lineage(df: DataFrame, *layout: str) -> DataFrame:
     writer = df.write.partitionBy(*layout) if layout else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def join_by_key(df: DataFrame, side: DataFrame, keys: list[str], rows: str, small: int = 100_000, hot: int = 1_000_000) -> DataFrame:
+    """Inner join with a table of one row per key, whose column `rows` says how many rows of `df` the key has.
+
+    A side counted to be small is broadcast. Of a larger one only the hot keys are, of which there are
+    at most (rows of `df`) / `hot`; the other keys meet by a shuffle in which no key is large.
+    """
+    side = cut_lineage(side)
+    if side.count() <= small:
+        return df.join(F.broadcast(side), keys)
+    top = side.filter(F.col(rows) > hot)
+    rest = df.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(side.filter(F.col(rows) <= hot), keys)
+    return df.join(F.broadcast(top), keys).unionByName(rest)

@@ -184,3 +184,12 @@ def test_hash_rank_and_take_hashed_agree(spark):
     assert kept == {k for k in range(500) if (k % 3 == 0 and ranked[k] <= 10) or k % 3 == 2}
     flags = R.take_hashed(df, "key", 7, quota, ["s"], flag="f").collect()
     assert len(flags) == 500 and {r["key"] for r in flags if r["f"]} == kept
+
+
+def test_join_by_key_gives_the_same_rows_whichever_way_it_goes(spark):
+    from raregrain.session import join_by_key
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 20}") for i in range(200)] + [(900, None)], "i int, g string")
+    side = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(df.join(side, "g").collect())
+    for small, hot in ((100, 1), (0, 50), (0, 10_000)):
+        assert sorted(join_by_key(df, side, ["g"], "n", small, hot).collect()) == want
