@@ -92,6 +92,19 @@ def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+def portions(batches, text: str = "text", limit: int = 1 << 20):
+    """Arrow batches cut so that each has about `limit` bytes of text, or one row."""
+    for batch in batches:
+        _, offsets = byte_view(batch.column(text))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+        if not batch.num_rows:
+            yield batch
+
+
 def _tables(lower: bool) -> tuple[np.ndarray, np.ndarray]:
     is_word = np.ones(256, bool)
     is_word[[32, 9, 10, 11, 12, 13]] = False

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raregrain.llm.common import byte_view, mix, shared, sized, travels, word_hashes
+from raregrain.llm.common import byte_view, mix, portions, shared, sized, travels, word_hashes
 from raregrain.operators.ranking import order_statistic
 
 travels(__name__)
@@ -47,7 +47,7 @@ def log_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
 
     def tally(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             b, owner = buckets_of(batch.column("text"))
             raw += np.bincount(b, minlength=BUCKETS)
             target += np.bincount(b[batch.column("good").to_numpy()[owner] == 1], minlength=BUCKETS)
@@ -69,9 +69,10 @@ def resample(docs: DataFrame, good: DataFrame, k: int | None = None, fraction: f
     ratio = log_ratios(docs, good)
 
     def weigh(batches):
-        for batch in batches:
+        for batch in portions(batches):
             b, owner = buckets_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.bincount(owner, ratio[b], batch.num_rows) if batch.num_rows else np.zeros(0))],
+            sums = np.bincount(owner, ratio[b], batch.num_rows).astype(np.float64)  # whole numbers where no text has a word
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums)],
                                              names=["doc_id", "log_weight"])
 
     rows = docs.select("doc_id", "text")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raregrain.llm.common import held_out, learnable, mix, shared, travels
+from raregrain.llm.common import held_out, learnable, mix, portions, shared, travels
 from raregrain.llm.grams import pieces
 
 travels(__name__)
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
     import pyarrow as pa
 
     def predict(batches):
-        for batch in batches:
+        for batch in portions(batches):
             pred, score = model.decide(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                                              names=["doc_id", "held_out", "lang_pred", "score"])

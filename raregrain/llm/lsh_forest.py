@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raregrain.llm.common import byte_view, mix, shared, shingle_hashes, sized, travels, word_hashes
+from raregrain.llm.common import byte_view, mix, portions, shared, shingle_hashes, sized, travels, word_hashes
 from raregrain.llm.components import components
 
 travels(__name__)
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, trees: int = TREES, depth:
     import pyarrow as pa
 
     def sign(batches):
-        for batch in batches:
+        for batch in portions(batches):
             flat, first = shingle_sets(batch.column("text"), size)
             counts = np.diff(first)
             full = np.flatnonzero(counts)
@@ -120,19 +120,30 @@ def _partners(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray
                 yield i, j[good], shared_values[good]
 
 
+def _groups(pdf):
+    """The groups (run, lo, hi) that share a bin, one after the other."""
+    if len(pdf):
+        yield from (g for _, g in pdf.groupby(["run", "lo", "hi"], sort=False))
+
+
+def _binned(rows: DataFrame, per_bin: int = 1000) -> DataFrame:
+    """Adds `bin`: groups are dealt to bins of about `per_bin` rows, as a call for each small group would cost more than its work."""
+    bins = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // per_bin + 1)
+    return rows.withColumn("bin", F.pmod(F.xxhash64("run", "lo", "hi"), F.lit(bins)))
+
+
 def _unpack(pdf, values: int):
     sig = np.frombuffer(b"".join(pdf["sig"]), ">u2").reshape(len(pdf), values)
     comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
     return sig, pdf["n_shingles"].to_numpy(), comp, pdf["side"].to_numpy()
 
 
-def links_in(pdf, size: int, values: int, percent: int, slack: float):
+def links_in(pdf, size: int, values: int, percent: int, slack: float) -> list[tuple]:
     """Verified links within one run of classes: pairs in order of likeness, each confirmed on the full sets
     unless its ends are connected already, so at most one link less than there are components."""
-    import pandas as pd
     import pyarrow as pa
 
-    pdf = pdf.drop_duplicates("c").reset_index(drop=True) if (pdf["side"] < 0).all() else pdf.reset_index(drop=True)
+    pdf = pdf.reset_index(drop=True)
     sig, n, comp, side = _unpack(pdf, values)
     found = [(-s, i, j) for i, js, ss in _partners(sig, n, comp, side, percent, slack) for j, s in zip(js.tolist(), ss.tolist(), strict=True)]
     found.sort()
@@ -155,7 +166,7 @@ def links_in(pdf, size: int, values: int, percent: int, slack: float):
         if a != b and _similar(own(i), own(j), percent):
             parent[a] = b
             out.append((pdf["c"].iat[i], pdf["c"].iat[j]))
-    return pd.DataFrame(out, columns=["u", "v"]).astype({"u": pdf["c"].dtype, "v": pdf["c"].dtype})
+    return out
 
 
 def _cut(rows: DataFrame, piece: int, weight: int) -> DataFrame:
@@ -190,36 +201,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, tre
     kind = dict(nodes.dtypes)["c"]
     members = nodes.select("c", "th", "n_shingles", "sig")
 
+    # rows that repeat an id and its text must meet their group once; most tables have none
+    repeats = known.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count() > 0
+
+    def links(pdf):
+        import pandas as pd
+
+        found = [x for g in _groups(pdf) for x in links_in(g, size, values, percent, slack)]
+        return pd.DataFrame(found, columns=["u", "v"]).astype({"u": pdf["c"].dtype, "v": pdf["c"].dtype})
+
     def verified(rows: DataFrame) -> DataFrame:
-        """`rows`: c, comp, run, lo, hi, side. The texts of just these classes go to their groups."""
-        wanted = rows.join(members, "c")
-        asked = wanted.select("c", "th").distinct()
-        bodies = texts.join(asked, ["c", "th"], "left_semi").dropDuplicates(["c", "th"])
-        return shared(wanted.join(bodies, ["c", "th"]).select("run", "lo", "hi", "side", "c", "comp", "n_shingles", "sig", "text")
-                      .groupBy("run", "lo", "hi").applyInPandas(lambda pdf: links_in(pdf, size, values, percent, slack), f"u {kind}, v {kind}"))
+        """`rows`: c, comp, run, lo, hi, side. The texts of just these classes go to their groups; which texts
+        these are is broadcast within a bound, so that the others do not move."""
+        wanted = _binned(rows).join(members, "c")
+        asked = shared(rows.select("c").distinct().join(nodes.select("c", "th"), "c"))
+        bodies = texts.join(sized(asked, most=500_000), ["c", "th"], "left_semi")
+        bodies = bodies.dropDuplicates(["c", "th"]) if repeats else bodies
+        return shared(wanted.join(bodies, ["c", "th"]).select("bin", "run", "lo", "hi", "side", "c", "comp", "n_shingles", "sig", "text")
+                      .groupBy("bin").applyInPandas(links, f"u {kind}, v {kind}"))
 
     # first links: each class in the longest of its runs, cut into pieces that share the run's lowest class
     home = runs.groupBy("c").agg(F.max(F.struct("m", "run", "w", "first")).alias("r")).select("c", "r.*")
     pieces = _cut(home, piece, weight)
     hubs = pieces.filter("parts > 1").groupBy("run", "part").agg(F.first("first").alias("c")).select("run", "part", "c")
     rows = pieces.select("run", "part", "c").unionByName(hubs).distinct()
-    first = verified(rows.select("run", F.col("part").alias("lo"), F.col("part").alias("hi"), F.lit(-1).alias("side"), "c", F.col("c").alias("comp")))
+    first = verified(shared(rows.select("run", F.col("part").alias("lo"), F.col("part").alias("hi"), F.lit(-1).alias("side"), "c", F.col("c").alias("comp"))))
     comp = shared(components(first))
 
     # what is left: runs that still hold more than one component
     placed = shared(runs.join(comp, runs["c"] == comp["node"], "left").select(runs["*"], F.coalesce("component", "c").alias("comp")))
     mixed = placed.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("run")
-    open_rows = _grid(_cut(placed.join(mixed, "run", "left_semi"), piece, weight)).select("run", "lo", "hi", "side", "c", "comp")
+    open_rows = shared(_grid(_cut(placed.join(mixed, "run", "left_semi"), piece, weight)).select("run", "lo", "hi", "side", "c", "comp"))
 
     def promising(pdf):
-        sig, n, comp_, side = _unpack(pdf, values)
-        hit = np.zeros(len(pdf), bool)
-        for i, js, _ in _partners(sig, n, comp_, side, percent, slack):
-            hit[i] = True
-            hit[js] = True
-        return pdf.loc[hit, ["run", "lo", "hi", "side", "c", "comp"]]
-
-    likely = shared(open_rows.join(nodes.select("c", "n_shingles", "sig"), "c").groupBy("run", "lo", "hi").applyInPandas(
+        import pandas as pd
+
+        parts = [pdf.iloc[:0]]
+        for g in _groups(pdf):
+            sig, n, comp_, side = _unpack(g, values)
+            hit = np.zeros(len(g), bool)
+            for i, js, _ in _partners(sig, n, comp_, side, percent, slack):
+                hit[i] = True
+                hit[js] = True
+            if hit.any():
+                parts.append(g.loc[hit])
+        return pd.concat(parts)[["run", "lo", "hi", "side", "c", "comp"]]
+
+    likely = shared(_binned(open_rows).join(nodes.select("c", "n_shingles", "sig"), "c").groupBy("bin").applyInPandas(
         promising, f"run bigint, lo int, hi int, side int, c {kind}, comp {kind}"))
     second = verified(likely)
     every = shared(components(first.unionByName(second)))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raregrain.llm.common import held_out, learnable, shared, sized, travels
+from raregrain.llm.common import held_out, learnable, portions, shared, sized, travels
 from raregrain.llm.grams import pieces
 
 travels(__name__)
@@ -50,7 +50,7 @@ def present(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(owner, kind="stable")
         b, owner = b[order], owner[order]
         own, at = np.unique(owner, return_index=True)
-        for d, x in zip(own.tolist(), np.split(b, at[1:]), strict=True):
+        for d, x in zip(own.tolist(), np.split(b, at[1:]) if len(own) else [], strict=True):
             x = np.concatenate([*parts[d], x]) if parts[d] else x
             parts[d] = [_once(x, last)]
     counts = [len(own[0]) if own else 0 for own in parts]
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     asked = shared(marks.filter(unit < part).withColumn("weight", 1 / part))
 
     def features(batches):
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch.column("text").to_pylist()
             for a, b in _slices(texts):
                 flat, first = present(texts[a:b])
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             s = model.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
@@ -171,7 +171,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches, text):
             yield batch.filter(pa.array(model.scores(batch.column(text).to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
