@@ -2,8 +2,8 @@
 
 1. Documents with equal shingle sets are one class. Its signature has `TREES` labels of `DEPTH` values.
 2. Every tree sorts all classes by label. Neighbours in that order that share at least `BASE` leading
-   values are candidates; where many classes share a prefix the sort reads on to greater depth, so a
-   class meets those with the longest common prefix. Each class keeps the partner with the most shared
+   values are candidates; where many classes share a prefix the sort reads on to greater depth for first
+   links, so a class meets those with the longest common prefix first. Each class keeps the partner with the most shared
    depth over all trees and its lowest partner; these are verified and joined to components.
 3. What those links did not connect: within each prefix, classes of different components meet each other, all of
    them, if their sizes and full signatures allow the similarity, and are verified as well.
@@ -183,12 +183,13 @@ def _grid(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH,
-                    base: int = BASE, piece: int = PIECE, weight: int = 1 << 21, slack: float = 0.15) -> DataFrame:
+                    base: int = BASE, piece: int = PIECE, weight: int = 1 << 21, slack: float = 0.15, longest: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document.
 
     `slack` is how far the share of equal signature values may lie below the similarity before a pair
     is not verified (over four and a half standard deviations with 128 values). A run of classes
-    is cut into pieces of bounded rows and shingles; runs too long for a grid of pieces are read to greater depth.
+    is cut into pieces of bounded rows and shingles. Where a run has more than `longest` classes (16 pieces), first
+    links come from the runs at greater depth; what they leave open is compared in the grid of the run at `base`.
     """
     values = trees * depth
     sigs = shared(signatures(docs, size, trees, depth))
@@ -196,7 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, tre
     # one row per distinct set, represented by its lowest id
     nodes = shared(known.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
                    .select("fp", F.col("r.doc_id").alias("c"), F.col("r.th").alias("th"), "n_shingles", "sig"))
-    runs = shared(_runs(nodes, trees, depth, base, 16 * piece))
+    longest = 16 * piece if longest is None else longest
+    runs = shared(_runs(nodes, trees, depth, base, longest))
     texts = docs.select(F.col("doc_id").alias("c"), F.xxhash64("text").alias("th"), "text")
     kind = dict(nodes.dtypes)["c"]
     members = nodes.select("c", "th", "n_shingles", "sig")
@@ -220,16 +222,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, tre
         return shared(wanted.join(bodies, ["c", "th"]).select("bin", "run", "lo", "hi", "side", "c", "comp", "n_shingles", "sig", "text")
                       .groupBy("bin").applyInPandas(links, f"u {kind}, v {kind}"))
 
-    # first links: each class in the longest of its runs, cut into pieces that share the run's lowest class
-    home = runs.groupBy("c").agg(F.max(F.struct("m", "run", "w", "first")).alias("r")).select("c", "r.*")
+    # first links: each class in the longest of its runs that are not crowded (or the shortest crowded one), cut into
+    # pieces that share the run's lowest class
+    fits = F.when(F.col("m") <= longest, F.col("m")).otherwise(-F.col("m")).alias("fits")
+    home = runs.groupBy("c").agg(F.max(F.struct(fits, "run", "m", "w", "first")).alias("r")).select("c", "r.*")
     pieces = _cut(home, piece, weight)
     hubs = pieces.filter("parts > 1").groupBy("run", "part").agg(F.first("first").alias("c")).select("run", "part", "c")
     rows = pieces.select("run", "part", "c").unionByName(hubs).distinct()
     first = verified(shared(rows.select("run", F.col("part").alias("lo"), F.col("part").alias("hi"), F.lit(-1).alias("side"), "c", F.col("c").alias("comp"))))
     comp = shared(components(first))
 
-    # what is left: runs that still hold more than one component
-    placed = shared(runs.join(comp, runs["c"] == comp["node"], "left").select(runs["*"], F.coalesce("component", "c").alias("comp")))
+    # what is left: runs at `base`, crowded or not, that still hold more than one component (deeper ones lie within them)
+    whole = runs.filter("at_base")
+    placed = shared(whole.join(comp, whole["c"] == comp["node"], "left").select(whole["*"], F.coalesce("component", "c").alias("comp")))
     mixed = placed.groupBy("run").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("run")
     open_rows = shared(_grid(_cut(placed.join(mixed, "run", "left_semi"), piece, weight)).select("run", "lo", "hi", "side", "c", "comp"))
 
@@ -258,10 +263,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE, tre
 
 
 def _runs(nodes: DataFrame, trees: int, depth: int, base: int, longest: int) -> DataFrame:
-    """run (number of a tree's prefix), c, m (classes in the run), w (their shingles), first (lowest class): runs of two or more.
+    """run (number of a tree's prefix), c, m (classes in the run), w (their shingles), first (lowest class), at_base: runs of two or more.
 
-    A run of more than `longest` classes is replaced by the runs one value deeper, until they are short
-    enough or the label ends: the depth adapts to how crowded a region of the sorted order is.
+    Every run of `base` values is kept, whatever its size. Under one of more than `longest` classes come the runs
+    one value deeper, until they are short enough or the label ends: a crowded region's likeliest partners.
     """
     def cut(rows: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
         keyed = rows.withColumn("run", F.xxhash64("tree", F.substring("label", 1, 2 * at))).select("tree", "label", "run", "c", "n")
@@ -275,7 +280,7 @@ def _runs(nodes: DataFrame, trees: int, depth: int, base: int, longest: int) ->
         keyed, sizes = cut(rows, at)
         sizes = shared(sizes)
         crowded = at < depth and sizes.filter(F.col("m") > longest).limit(1).count() > 0
-        done = keyed.join(sizes.filter(F.col("m") <= longest) if crowded else sizes, "run").select("run", "c", "m", "w", "first")
+        done = keyed.join(sizes.filter(F.col("m") <= longest) if crowded and at > base else sizes, "run").select("run", "c", "m", "w", "first", F.lit(at == base).alias("at_base"))
         out = done if out is None else out.unionByName(done)
         if not crowded:
             break

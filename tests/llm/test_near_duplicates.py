@@ -36,6 +36,30 @@ def test_groups_of_edits_equal_all_pairs(spark, percent=80, piece=16):
     assert got == brute_components(list(range(len(texts))), [texts[i] for i in order], percent)
 
 
+def test_crowded_runs_still_meet_at_base_depth(spark):
+    """Four classes share the base value and part below it; two more per run than `longest`."""
+    def label(*values):
+        return b"".join(v.to_bytes(2, "big") for v in values)
+    nodes = spark.createDataFrame([(i, 10, bytearray(label(7, 10 * i, i))) for i in range(4)], "c bigint, n_shingles bigint, sig binary")
+    runs = lsh_forest._runs(nodes, trees=1, depth=3, base=1, longest=2).toPandas()
+    assert any(set(g["c"]) == {0, 1, 2, 3} for _, g in runs.groupby("run"))
+
+
+def test_crowded_chain_equals_all_pairs(spark, percent=80):
+    """A passage moves on from one place to the next, so that neighbouring places are just similar enough; copies crowd each place's runs."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    line = rng.choices(words, k=3000)
+    texts = []
+    for place in range(40):
+        for _ in range(10):
+            edit = line[place * 46:place * 46 + 464]
+            edit[rng.choice([0, -1])] = rng.choice(words)
+            texts.append(" ".join(edit))
+    got = lsh_forest.near_duplicates(documents(spark, texts).repartition(4), percent=percent, piece=64, base=3, longest=4).toPandas()
+    assert got.set_index("doc_id")["component_id"].to_dict() == brute_components(list(range(len(texts))), texts, percent)
+
+
 def test_odd_rows(spark):
     long = "word " * 100_000 + "end"
     texts = [None, "", "  \t", "one", "ONE", "one two", long, long.upper(), "one two", "a b c d e f", "a b c d e f"]
