@@ -318,25 +318,33 @@ def smote_enn(df: DataFrame, key: str, vec: str, target: str, k: int = 5, seed=4
     return edited_nearest(cut_lineage(smote(df, key, vec, target, k, seed=seed)), key, vec, target)
 
 
-def cluster_centroids(df: DataFrame, key: str, vec: str, target: str, steps: int = 5, seed=42) -> DataFrame:
+def cluster_centroids(df: DataFrame, key: str, vec: str, target: str, steps: int = 1000, seed=42) -> DataFrame:
     """Replace the majority by as many K-means centres as there are minority rows.
 
     Lloyd rounds as joins and aggregates: centres start at the majority rows of lowest hash, every row finds
-    its nearest centre by the exact search, and a centre moves to its rows' mean (an empty one stays). The
-    result does not depend on the number of rows or partitions.
+    its nearest centre by the exact search, and a centre moves to its rows' mean (an empty one stays). Rounds
+    end when every centre keeps the rows it had; not to get there within `steps` raises. The result does not depend
+    on the number of rows or partitions.
     """
     minority, majority, rare, small, _ = _sides(df, target)
     dims = len(df.select(vec).first()[0])
     rows = cut_lineage(majority.select(F.concat(F.lit("row/"), F.col(key).cast("string")).alias("_k"), F.col(vec).cast("array<double>").alias(vec), F.col(key).alias("_own")))
     first = hash_rank(rows, "_own", seed, name="_rank").filter(F.col("_rank") <= small)
     # centres and rows have keys of their own kind, as the search leaves out a row's own key
-    centres = cut_lineage(first.select((F.col("_rank") - 1).cast("bigint").alias("_at"), vec))
+    centres = cut_lineage(first.select((F.col("_rank") - 1).cast("bigint").alias("_at"), vec, F.lit(None).cast("string").alias("_rows")))
     for _ in range(steps):
         named = centres.select(F.concat(F.lit("centre/"), F.lpad(F.col("_at").cast("string"), 19, "0")).alias("_k"), vec, "_at")
         near = knn(rows.select("_k", vec), named, 1, "_k", vec, ["_at"])
-        moved = near.select(F.col("nn")[0]["_at"].alias("_at"), vec).groupBy("_at").agg(
-            F.array(*[F.avg(F.col(vec)[i]) for i in range(dims)]).alias("_mean"))
-        centres = cut_lineage(centres.join(moved, "_at", "left").select("_at", F.coalesce("_mean", vec).alias(vec)))
+        moved = near.select(F.col("nn")[0]["_at"].alias("_at"), "_k", vec).groupBy("_at").agg(
+            F.array(*[F.avg(F.col(vec)[i]) for i in range(dims)]).alias("_mean"),
+            F.concat_ws("/", F.count(F.lit(1)), F.bit_xor(F.xxhash64("_k"))).alias("_now"))
+        # a centre's rows are told by their number and hash, as means of the same rows may differ in the last digit
+        centres = cut_lineage(centres.join(moved, "_at", "left").select("_at", F.coalesce("_mean", vec).alias(vec), F.coalesce("_now", F.lit("none")).alias("_rows"),
+                                                                        F.coalesce(F.col("_rows") == F.coalesce("_now", F.lit("none")), F.lit(False)).alias("_still")))
+        if not centres.filter("not _still").limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"K-means centres still moved after {steps} rounds")
     base = minority.select(key, F.col(vec).cast("array<double>").alias(vec), F.col(target).cast("int").alias(target), F.lit(False).alias("synthetic"))
     made = centres.select(_new_key(df, key, F.col("_at")).alias(key), vec, F.lit(1 - rare).alias(target), F.lit(True).alias("synthetic"))
     return base.unionByName(made)

@@ -139,6 +139,16 @@ def test_kmeans_smote_and_centroids_sizes(spark):
     assert centres(one) == centres(again)
 
 
+def test_centroids_are_the_means_of_their_rows(spark):
+    """A line of evenly spaced rows, on which three centres take seven rounds to settle."""
+    x = np.arange(16.0)
+    df = frame(spark, np.r_[x, [-50.0] * 3], [0] * len(x) + [1] * 3)
+    got = np.array([r["vec"][0] for r in R.cluster_centroids(df, "key", "vec", "target").filter("synthetic").orderBy("key").collect()])
+    own = np.abs(x[:, None] - got[None, :]).argmin(axis=1)
+    assert len(got) == 3
+    assert [x[own == i].mean() for i in range(3)] == pytest.approx(got.tolist(), abs=1e-9)
+
+
 def test_categorical_smote_uses_known_values(spark):
     rows = [(i, "ab"[i % 2], "xyz"[i % 3], int(i < 8)) for i in range(40)]
     df = spark.createDataFrame(rows, "key long, c string, d string, target int")
