@@ -378,10 +378,11 @@ def mean_and_covariance(df: DataFrame, vec: str, centred: bool = False) -> tuple
     return mean, np.array([r["o"] for r in rows]) / n - np.outer(mean, mean)
 
 
-def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 5, support: float | None = None, assume_centered: bool = False) -> DataFrame:
+def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, support: float | None = None, assume_centered: bool = False) -> DataFrame:
     """Squared Mahalanobis distance under a covariance refitted on the closest rows.
 
-    Every step reads the base rows with the last centre and inverse as constants.
+    Every step reads the base rows with the last centre and inverse as constants. Steps end when the determinant
+    stops falling; not to get there within `steps` raises.
     """
     base = df.select(key, F.col(vec).cast("array<double>").alias("x"))
     n, dims = base.count(), len(df.select(vec).first()[0])
@@ -407,6 +408,8 @@ def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 5, suppo
         if last - size < 1e-9:
             break
         last = size
+    else:
+        raise RuntimeError(f"the determinant still fell after {steps} steps")
     return now.select(key, "score")
 
 

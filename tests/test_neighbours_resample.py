@@ -214,5 +214,15 @@ def test_detectors_rank_the_planted_row_high(spark, name):
     assert 0 in [r["key"] for r in rows[:8]]
 
 
+def test_robust_covariance_steps_until_the_determinant_stays(spark):
+    """Two fifths of the rows are another group; ten steps are needed from all rows' covariance."""
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(120, 3)), rng.normal(size=(80, 3)) * 1.5 + 2.5]
+    got = np.array([r["score"] for r in O.mcd(frame(spark, x)).orderBy("key").collect()])
+    kept = x[got <= np.sort(got)[101]]
+    d = x - kept.mean(axis=0)
+    assert ((d @ np.linalg.pinv(np.cov(kept.T, bias=True))) * d).sum(axis=1) == pytest.approx(got, abs=1e-6)
+
+
 def test_isolation_path_constant():
     assert O.average_path(2) == 1.0 and O.average_path(256) == pytest.approx(10.2448, abs=1e-3)
