@@ -112,7 +112,7 @@ def mcd(spark, sf):
 
 @query("projection_histogram_outliers")
 def loda(spark, sf):
-    return out(O.loda(vecs(spark, sf), cuts=50))
+    return out(O.loda(vecs(spark, sf)))
 
 
 @query("random_order_variance_outliers", f"""with {VECS}, b as (select key, 64.0::double as m, list_sum(vec) as s1, list_sum(list_transform(vec, lambda x: x * x)) as s2 from vecs), o as (select *, unnest(range(3)) as it from b),
@@ -124,9 +124,9 @@ def lmdd(spark, sf):
 
 @query("isolation_forest")
 def isolation_forest(spark, sf):
-    return out(O.isolation_forest(vecs(spark, sf), n_estimators=20))
+    return out(O.isolation_forest(vecs(spark, sf)))
 
 
 @query("feature_bagged_outliers")
 def feature_bagging(spark, sf):
-    return out(O.feature_bagging(vecs(spark, sf), n_estimators=2))
+    return out(O.feature_bagging(vecs(spark, sf)))

@@ -224,5 +224,16 @@ def test_robust_covariance_steps_until_the_determinant_stays(spark):
     assert ((d @ np.linalg.pinv(np.cov(kept.T, bias=True))) * d).sum(axis=1) == pytest.approx(got, abs=1e-6)
 
 
+@pytest.mark.parametrize("query,operator", [("loda", "loda"), ("isolation_forest", "isolation_forest"), ("feature_bagging", "feature_bagging")])
+def test_detector_queries_use_the_operators_defaults(monkeypatch, query, operator):
+    from raregrain.catalog import anomalies as A
+    asked = []
+    monkeypatch.setattr(A, "vecs", lambda spark, sf: "rows")
+    monkeypatch.setattr(A, "out", lambda scores: scores)
+    monkeypatch.setattr(A.O, operator, lambda df, **how: asked.append(how))
+    getattr(A, query)(None, "")
+    assert asked == [{}]
+
+
 def test_isolation_path_constant():
     assert O.average_path(2) == 1.0 and O.average_path(256) == pytest.approx(10.2448, abs=1e-3)
