@@ -1,10 +1,9 @@
 """Near-duplicate components by an LSH forest over MinHash signatures, links confirmed on full shingle sets.
 
 1. Documents with equal shingle sets are one class. Its signature has `TREES` labels of `DEPTH` values.
-2. Every tree sorts all classes by label. Neighbours in that order that share at least `BASE` leading
-   values are candidates; where many classes share a prefix the sort reads on to greater depth for first
-   links, so a class meets those with the longest common prefix first. Each class keeps the partner with the most shared
-   depth over all trees and its lowest partner; these are verified and joined to components.
+2. In every tree the classes that share the first `BASE` values of their labels are one run, by a hash of that
+   prefix; nothing is sorted and no common prefix is computed. Within crowded runs first links come from runs at
+   greater depth. Each class is compared in one of its runs, and the links are verified and joined to components.
 3. What those links did not connect: within each prefix, classes of different components meet each other, all of
    them, if their sizes and full signatures allow the similarity, and are verified as well.
 
@@ -25,7 +24,7 @@ travels(__name__)
 
 SHINGLE = 5
 TREES, DEPTH, BASE = 16, 8, 4
-#: Rows of a sorted prefix that are compared in one piece.
+#: Rows of a run that are compared in one piece.
 PIECE = 1024
 
 
