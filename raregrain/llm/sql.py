@@ -105,3 +105,18 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars
 from f group by conv_id
 """
+
+OP12 = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as u, b.vec_id as v from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(u, v) as (
+  select vec_id, vec_id from embeddings union select r.u, l.v from reach r join links l on r.v = l.u),
+lowest as (select u, min(v) as m from reach group by u),
+counts as (select u, count(distinct v) as n from links group by u)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, m as component_id, coalesce(e.vec_id = m, true) as kept
+from embeddings e left join lowest l on e.vec_id = l.u left join counts c on e.vec_id = c.u
+"""

@@ -31,7 +31,7 @@ def rows_of(df):
 
 def duck(sql, sf_dir=None, **frames):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         if t in frames:
             con.register(f"_{t}", frames[t].toArrow())  # keeps nulls among ids
             con.sql(f"create view {t} as select * from _{t}")
