@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregrain.llm import chat_tree, decontam, host_reputation, host_rules, importance, lang_bloom, lsh_forest, mix_schedule, nb_toxicity, random_battery, sign_hashing, sql, token_cuts
+from raregrain.llm import chat_tree, collocations, decontam, host_reputation, host_rules, importance, lang_bloom, lsh_forest, mix_schedule, nb_toxicity, random_battery, sign_hashing, sql, token_cuts
 from raregrain.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -78,8 +78,13 @@ def op12_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sign_hashing.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_prefix_tree, op2_language_bloom, op3_mix_sources, op4_lsh_forest, op5_importance_resampling, op6_secret_battery, op7_toxicity,
-    op8_decontaminate, op9_url_reputation, op10_host_rules, op11_token_cuts, op12_sign_hashing)}
+    op8_decontaminate, op9_url_reputation, op10_host_rules, op11_token_cuts, op12_sign_hashing,
+    op13_collocations)}
 ORACLES = {"op1_prefix_tree": sql.OP1, "op3_mix_sources": sql.OP3, "op8_decontaminate": sql.OP8, "op9_url_reputation": sql.OP9, "op10_host_rules": sql.OP10,
-           "op12_sign_hashing": sql.OP12}
+           "op12_sign_hashing": sql.OP12, "op13_collocations": sql.OP13}

@@ -120,3 +120,32 @@ counts as (select u, count(distinct v) as n from links group by u)
 select e.vec_id, coalesce(n, 0)::bigint as n_links, m as component_id, coalesce(e.vec_id = m, true) as kept
 from embeddings e left join lowest l on e.vec_id = l.u left join counts c on e.vec_id = c.u
 """
+
+OP13 = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+sizes as (select unnest(range(1, 6)) as size),
+grams as (
+  select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+  from words, sizes where len(w) >= size),
+f as (select lang, size, phrase, count(*) as a from grams group by all having count(*) >= 100),
+cand as (select *, string_split(phrase, ' ') as w from f where size > 1),
+cuts as (
+  select lang, phrase, a, size, w, unnest(range(1, size)) as k from cand),
+scored as (
+  select c.lang, c.phrase, c.a, c.k, x.a as l, y.a as r, t.n, (1000::hugeint * c.a * t.n) // (x.a::hugeint * y.a) as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.k], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1:], ' ') join totals t on t.lang = c.lang),
+weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select o.lang, array_to_string(o.w[s.i:s.i + s.m - 1], ' ') as phrase, max(o.a) as outer_a
+  from cand o, (select i, m from range(1, 6) a(i), range(2, 6) b(m)) s where s.m < o.size and s.i + s.m - 1 <= o.size group by all),
+kept as (
+  select w.* from weakest w left join inside i on i.lang = w.lang and i.phrase = w.phrase where i.phrase is null or 100 * i.outer_a < 100 * w.a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) where rank <= 2000
+"""
