@@ -1,13 +1,14 @@
 """Collocations: frequent phrases by Rabin-Karp fingerprints, scored at their weakest cut.
 
 1. Prefix polynomials modulo 2^64 hash every word of a portion of text at once, and prefix polynomials over the words'
-   hashes every n-gram. A task merges equal fingerprints and hands on (fingerprint, count, pointer to one occurrence).
-2. Sizes are counted one after the other. A phrase is frequent only if both phrases that lack its first or its last
-   word are, so from the second size on only such n-grams are shuffled. The fingerprints of frequent phrases are
-   broadcast within a bound; beyond it every n-gram of the next size is shuffled, with the same result.
+   hashes every n-gram. Leading bits of the fingerprints are counted in buckets, packed by range: a frequent phrase
+   has a full bucket. The map of full buckets has a fixed size, whatever the data; where data outgrow it, more
+   n-grams pass and are counted than need be.
+2. N-grams in full buckets are counted by fingerprint: tasks merge equal ones and hand on (fingerprint, count, pointer
+   to one occurrence), which the shuffle adds up. What is found often enough is frequent.
 3. Only frequent phrases become text, cut out of the documents that their pointers name. Then every occurrence of
-   their fingerprints is compared with the text: a task compares all of its own with one of them, byte by byte, and
-   those it compared with meet the phrases in a join. A collision starts the counting again with another base.
+   their fingerprints in the corpus is compared with that text byte by byte, in as many passes as the phrases fill
+   broadcasts of bounded size. A collision starts the counting again with another base.
 4. Scores, nested phrases and ranks are joins and aggregates over the frequent phrases.
 
 Defined cases: null and empty texts have no words; a null language is `und`; repeated rows count each; null ids are
@@ -25,14 +26,12 @@ from raregrain.llm.common import byte_view, mix, portions, shared, sized, travel
 travels(__name__)
 
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
-#: Fingerprints up to which a size's frequent phrases are broadcast (8 bytes each).
-BROADCAST_PHRASES = 4_000_000
-#: Fingerprints that a task gathers before it hands them on, and bytes of text it reads at a time.
+#: Bits of a fingerprint that name its bucket, those of them within a range, and how many blobs of a range meet in one group.
+MAP_BITS, RANGE_BITS, FAN = 27, 20, 64
+#: Bytes of phrases that are broadcast at once to be compared.
+SLICE = 1 << 26
+#: Entries that a task gathers before it hands them on, and bytes of text it reads at a time.
 FLUSH, PORTION = 1 << 20, 1 << 21
-#: Bits (as a power of two) of the map that stands in beyond that.
-MAP_BITS = 27
-#: Phrases that a task keeps to compare later portions with.
-KEEP = 200_000
 CHUNK = 1 << 20
 ATTEMPTS = 8
 
@@ -136,27 +135,22 @@ def _salt(langs: list, seed: int) -> np.ndarray:
     return np.array([known[x] for x in langs], np.uint64)
 
 
-def _member(sieve: tuple[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Which fingerprints the sieve lets pass: those among its keys, or those whose leading bits are set in its map."""
-    what, held = sieve
-    if what == "bits":
-        return (held[x >> np.uint64(64 - MAP_BITS + 6)] >> (x >> np.uint64(64 - MAP_BITS) & np.uint64(63)) & np.uint64(1)).astype(bool)
-    if not len(held):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(held, x)
-    at[at == len(held)] = 0
-    return held[at] == x
+def _full(held: dict[int, bytes]) -> np.ndarray:
+    """The map of full buckets, a bit each, from its ranges: lists of buckets or bits."""
+    bits = np.zeros((1 << MAP_BITS - RANGE_BITS, 1 << RANGE_BITS - 3), np.uint8)
+    for k, blob in held.items():
+        if len(blob) == bits.shape[1]:
+            bits[k] = np.frombuffer(blob, np.uint8)
+        else:
+            some = np.zeros(1 << RANGE_BITS, bool)
+            some[np.frombuffer(blob, np.uint32)] = True
+            bits[k] = np.packbits(some, bitorder="little")
+    return bits.ravel()
 
 
-def sieve_of(found: DataFrame, bound: int) -> tuple[str, np.ndarray]:
-    """Sorted fingerprints of `found` up to `bound` of them, else a map of 2^MAP_BITS bits."""
-    if found.count() <= bound:
-        return "keys", np.sort(found.select("f").toArrow().column("f").to_numpy().view(np.uint64))
-    bit = F.shiftrightunsigned("f", 64 - MAP_BITS)
-    words = found.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("b")).toArrow()
-    held = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    held[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return "bits", held
+def _passes(full: np.ndarray, f: np.ndarray) -> np.ndarray:
+    b = f >> np.uint64(64 - MAP_BITS)
+    return (full[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
 def _portions(batches):
@@ -168,75 +162,160 @@ def _portions(batches):
 
 def _own(docs: DataFrame) -> DataFrame:
     text, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("und"))
-    return docs.select(F.xxhash64(text, lang).alias("doc"), lang.alias("lang"), text.alias("text"))
+    return docs.select(F.shiftrightunsigned(F.xxhash64(text, lang), 32).alias("doc"), lang.alias("lang"), text.alias("text"))
+
+
+def _pack(b: np.ndarray) -> bytes:
+    """Rising buckets of one range in two bytes each: how many there are under each of the leading bits, then the others."""
+    lead = (b & np.uint32((1 << RANGE_BITS) - 1)) >> np.uint32(16)
+    return np.bincount(lead, minlength=1 << RANGE_BITS - 16).astype(np.uint32).tobytes() + (b & np.uint32(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    n = 1 << RANGE_BITS - 16
+    return np.repeat(np.arange(n) << 16, np.frombuffer(blob, np.uint32, n)) + np.frombuffer(blob, np.uint16, offset=4 * n)
+
+
+def bucket_counts(docs: DataFrame, longest: int, least: int, seed: int, flush: int = 4 * FLUSH, bits: int = 64) -> DataFrame:
+    """size, range, task, low, n: buckets of n-grams that a task found and how often, up to `least`, a blob for each range."""
+    import pyarrow as pa
+
+    narrow = np.uint8 if least <= 255 else np.uint32
+
+    def count(batches):
+        from pyspark import TaskContext
+
+        hasher, task = Hasher(seed, bits), TaskContext.get().partitionId()
+        held = {size: [] for size in range(1, longest + 1)}
+
+        def blobs(size):
+            b = np.concatenate(held[size])
+            held[size] = []
+            b.sort()
+            at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            n = np.minimum(np.diff(np.concatenate([at, [len(b)]])), least).astype(narrow)
+            b = b[at]
+            ranges = np.arange(1 << MAP_BITS - RANGE_BITS)
+            cut = np.searchsorted(b >> np.uint32(RANGE_BITS), np.append(ranges, len(ranges)))
+            some = np.flatnonzero(cut[1:] > cut[:-1])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), size, np.int32)), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), task, np.int32)),
+                 pa.array([_pack(b[cut[k]:cut[k + 1]]) for k in some], pa.binary()), pa.array([n[cut[k]:cut[k + 1]].tobytes() for k in some], pa.binary())],
+                names=["size", "range", "task", "low", "n"])
+
+        for _, raw, offsets, lang in _portions(batches):
+            h, s, _, run = hasher.words(raw, offsets)
+            salt = _salt(lang, seed)[np.searchsorted(offsets, s, "right") - 1]
+            for size, some in held.items():
+                f, good = hasher.grams(h, run, size)
+                some.append(((f[good] ^ salt[:len(f)][good]) >> np.uint64(64 - MAP_BITS)).astype(np.uint32))
+                if sum(map(len, some)) > flush:
+                    yield blobs(size)
+        for size, some in held.items():
+            if sum(map(len, some)):
+                yield blobs(size)
+
+    return _own(docs).mapInArrow(count, "size int, range int, task int, low binary, n binary")
+
+
+def full_buckets(parts: DataFrame, least: int) -> dict[int, dict[int, bytes]]:
+    """For each size and range, the buckets counted `least` times or more: a list if few, else a bit each."""
+    import pandas as pd
+
+    narrow = np.uint8 if least <= 255 else np.uint32
+
+    def total(pdf):
+        n = np.zeros(1 << RANGE_BITS, np.int64)
+        for low, k in zip(pdf["low"], pdf["n"], strict=True):
+            n[_unpack(low)] += np.frombuffer(k, narrow)
+        return n
+
+    def added(key, pdf):
+        n = np.minimum(total(pdf), least)
+        low = np.flatnonzero(n)
+        return pd.DataFrame({"size": [key[0]], "range": [key[1]], "task": [key[2]], "low": [_pack(low.astype(np.uint32))], "n": [n[low].astype(narrow).tobytes()]})
+
+    def full(key, pdf):
+        some = total(pdf) >= least
+        few = some.sum() * 4 < len(some) // 8
+        return pd.DataFrame({"size": [key[0]], "range": [key[1]], "held": [np.flatnonzero(some).astype(np.uint32).tobytes() if few else np.packbits(some, bitorder="little").tobytes()]})
+
+    groups = parts.rdd.getNumPartitions() // FAN + 1
+    while groups > 1:  # many tasks: their blobs are added up in steps
+        parts = parts.withColumn("task", F.pmod("task", F.lit(groups))).groupBy("size", "range", "task").applyInPandas(added, parts.schema)
+        groups = groups // FAN + 1 if groups > FAN else 1
+    out = {}
+    for r in parts.groupBy("size", "range").applyInPandas(full, "size int, range int, held binary").filter(F.length("held") > 0).toLocalIterator():
+        out.setdefault(r["size"], {})[r["range"]] = bytes(r["held"])
+    return out
 
 
 def _merge(held):
-    f, n, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    f, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(f, kind="stable")
     f = f[order]
     first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, int)
-    return f[first], np.add.reduceat(n[order], first) if len(first) else n, doc[order[first]], at[order[first]]
+    return f[first], np.add.reduceat(n[order], first) if len(first) else n, p[order[first]]
 
 
-def counted(docs: DataFrame, size: int, seed: int, shorter=None, flush: int = FLUSH, bits: int = 64) -> DataFrame:
-    """f (fingerprint), n, doc, at (a text's hash and the byte where an occurrence begins), one row for each fingerprint and task flush;
-    of the first size also the number of words by language (f null). `shorter`: broadcast sieve of the frequent phrases one word shorter."""
+def counted(docs: DataFrame, longest: int, seed: int, full, flush: int = FLUSH, bits: int = 64) -> DataFrame:
+    """size, f (fingerprint), n, p (pointer: 32 bits of a text's hash, then the byte where an occurrence begins), a row for each
+    n-gram in a full bucket and task flush; and the words of each language (size 0). `full`: broadcast buckets of each size."""
     import pyarrow as pa
 
+    names = ["size", "f", "n", "p", "lang"]
+
     def count(batches):
-        hasher, held, rows, total = Hasher(seed, bits), [], 0, {}
+        hasher, total = Hasher(seed, bits), {}
+        maps = {size: _full(held) for size, held in sorted(full.value.items())}
+        held, rows = {size: [] for size in maps}, 0
 
-        def batch_of(f, n, doc, at):
-            k = len(f)
-            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n), pa.array(doc), pa.array(at), pa.nulls(k, pa.string())], names=["f", "n", "doc", "at", "lang"])
+        def batches_of():
+            for size, some in held.items():
+                if some:
+                    f, n, p = _merge(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), size, np.int32)), pa.array(f.view(np.int64)), pa.array(n), pa.array(p), pa.nulls(len(f), pa.string())], names=names)
+                    held[size] = []
 
         for batch, raw, offsets, lang in _portions(batches):
             h, s, _, run = hasher.words(raw, offsets)
             row = np.searchsorted(offsets, s, "right") - 1
-            if size == 1:
-                for x, k in zip(lang, np.bincount(row, minlength=len(lang)).tolist(), strict=True):
-                    total[x] = total.get(x, 0) + k
-            f, good = hasher.grams(h, run, size)
-            salt = _salt(lang, seed)
-            where = np.flatnonzero(good)
-            if shorter is not None:
-                part, _ = hasher.grams(h, run, size - 1)
-                known = _member(shorter.value, part ^ salt[row[:len(part)]])
-                where = where[known[where] & known[where + 1]]
-            f = f[where] ^ salt[row[where]]
-            f, first, n = np.unique(f, return_index=True, return_counts=True)
-            first = where[first]
-            doc = np.asarray(batch.column("doc"))
-            held.append((f, n, doc[row[first]], s[first] - offsets[row[first]]))
-            rows += len(f)
+            for x, k in zip(lang, np.bincount(row, minlength=len(lang)).tolist(), strict=True):
+                total[x] = total.get(x, 0) + k
+            salt = _salt(lang, seed)[row]
+            pointer = np.asarray(batch.column("doc"))[row] << 32 | s - offsets[row]
+            passed = np.ones(len(h) + 1, bool)
+            for size, bucket in maps.items():
+                f, good = hasher.grams(h, run, size)
+                f = f ^ salt[:len(f)]
+                # both phrases one word shorter passed, and this one does
+                where = np.flatnonzero(good & passed[:len(f)] & passed[1:len(f) + 1])
+                where = where[_passes(bucket, f[where])]
+                passed = np.zeros(len(h) + 1, bool)
+                passed[where] = True
+                f, first, n = np.unique(f[where], return_index=True, return_counts=True)
+                held[size].append((f, n, pointer[where[first]]))
+                rows += len(f)
             if rows > flush:
-                held = [_merge(held)]
-                rows = len(held[0][0])
+                held = {size: [_merge(some)] for size, some in held.items()}
+                rows = sum(len(some[0][0]) for some in held.values())
                 if rows > flush // 2:
-                    yield batch_of(*held[0])
-                    held, rows = [], 0
-        if rows:
-            yield batch_of(*_merge(held))
+                    yield from batches_of()
+                    rows = 0
+        yield from batches_of()
         if total:
             k = len(total)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(list(total.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(total), pa.string())],
-                                             names=["f", "n", "doc", "at", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(list(total.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(total), pa.string())], names=names)
 
-    return _own(docs).mapInArrow(count, "f bigint, n bigint, doc bigint, at bigint, lang string")
-
-
-def frequent(parts: DataFrame, least: int) -> DataFrame:
-    """Fingerprints found at least `least` times with one of their pointers, and the totals by language."""
-    grams = parts.groupBy("f", "lang").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.min_by("at", "doc").alias("at"))
-    return grams.filter((F.col("n") >= least) | F.col("f").isNull())
+    return _own(docs).mapInArrow(count, "size int, f bigint, n bigint, p bigint, lang string")
 
 
 def phrases_at(docs: DataFrame, found: DataFrame, seed: int, bits: int = 64) -> DataFrame:
-    """f, lang, phrase: the text at the pointers (f, size, doc, at), its words joined by blanks."""
+    """f, lang, phrase: the text at the pointers (f, size, p), its words joined by blanks."""
     import pyarrow as pa
 
-    wanted = shared(found.groupBy("doc").agg(F.collect_list(F.struct("f", "size", "at")).alias("marks")))
+    wanted = shared(found.groupBy(F.shiftrightunsigned("p", 32).alias("doc")).agg(
+        F.collect_list(F.struct("f", "size", F.col("p").bitwiseAND(0xFFFFFFFF).alias("at"))).alias("marks")))
     bodies = _own(docs).join(sized(wanted), "doc").select("lang", "text", "marks")
 
     def cut(batches):
@@ -258,18 +337,16 @@ def phrases_at(docs: DataFrame, found: DataFrame, seed: int, bits: int = 64) ->
     return bodies.mapInArrow(cut, "f bigint, lang string, phrase string").distinct()
 
 
-def _same_bytes(text: np.ndarray, s: np.ndarray, e: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """Whether text[s:e] equals text[s[like]:e[like]], for every row of s and e."""
-    width = e - s
-    same = width == width[like]
-    k = np.flatnonzero(same & (like != np.arange(len(s))))
-    for lo in range(0, len(k), 1 << 18):
-        part = k[lo:lo + (1 << 18)]
+def _same_bytes(text: np.ndarray, s: np.ndarray, width: np.ndarray, other: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Whether text[s:s+width] equals other[o:o+width], for every row of s, o and width."""
+    same = np.ones(len(s), bool)
+    for lo in range(0, len(s), 1 << 17):
+        part = slice(lo, lo + (1 << 17))
         n = width[part]
         stop = np.cumsum(n)
-        step = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - n, n)
-        differ = text[np.repeat(s[part], n) + step] != text[np.repeat(s[like[part]], n) + step]
-        same[part[np.repeat(np.arange(len(part)), n)[differ]]] = False
+        step = np.arange(stop[-1]) - np.repeat(stop - n, n)
+        differ = text[np.repeat(s[part], n) + step] != other[np.repeat(o[part], n) + step]
+        same[part] = ~np.logical_or.reduceat(differ, stop - n)
     return same
 
 
@@ -288,74 +365,82 @@ def _joined(raw, s, e, lower) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, begin, stop - 1
 
 
-def compared(docs: DataFrame, sieves, seed: int, keep: int = KEEP, bits: int = 64) -> DataFrame:
-    """f, lang, phrase, same: phrases that a task found under the frequent fingerprints, and whether all their occurrences had the same words.
+def mismatches(docs: DataFrame, phrases, full, seed: int, bits: int = 64) -> DataFrame:
+    """f, phrase: occurrences in the corpus whose fingerprint is one of the phrases' but whose words or language differ.
 
-    `sieves`: broadcast sieve of each size. A task that meets a phrase again compares it with what it keeps and reports it once.
+    `phrases`: broadcast (size -> sorted fingerprints, language, begin and length of their texts; the texts' bytes).
     """
     import pyarrow as pa
 
     def compare(batches):
-        hasher, seen = Hasher(seed, bits), {}
+        hasher = Hasher(seed, bits)
+        sizes, pool = phrases.value
+        maps = {size: _full(full.value[size]) for size in sizes}
+        pool = np.frombuffer(pool, np.uint8)
         for _, raw, offsets, lang in _portions(batches):
             h, s, e, run = hasher.words(raw, offsets)
             row = np.searchsorted(offsets, s, "right") - 1
-            salt, tongue = _salt(lang, seed), np.unique(lang, return_inverse=True)[1]
+            salt, tongue = _salt(lang, seed)[row], np.array(lang, object)[row]
             flat, begin, stop = _joined(raw, s, e, hasher.lower)
-            out = []
-            for size, sieve in sieves.value.items():
+            for size, (keys, tongues, at, width) in sizes.items():
                 f, good = hasher.grams(h, run, size)
-                f = f ^ salt[row[:len(f)]]
-                where = np.flatnonzero(good & _member(sieve, f))
-                some, first, group = np.unique(f[where], return_index=True, return_inverse=True)
-                like = first[group]
-                same = _same_bytes(flat, begin[where], stop[where + size - 1], like) & (tongue[row[where]] == tongue[row[where[like]]])
-                bad = set(group[~same].tolist())
-                for k, (x, w) in enumerate(zip(some.view(np.int64).tolist(), where[first].tolist(), strict=True)):
-                    mine = lang[row[w]], flat[begin[w]:stop[w + size - 1]].tobytes()
-                    if k in bad or seen.get(x) != mine:
-                        out.append((x, mine[0], mine[1].decode(), k not in bad))
-                        seen[x] = mine
-            if len(seen) > keep:
-                seen.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)],
-                                                 names=["f", "lang", "phrase", "same"])
-
-    return _own(docs).mapInArrow(compare, "f bigint, lang string, phrase string, same boolean")
-
-
-def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, seed: int = 1, bound: int = BROADCAST_PHRASES, flush: int = FLUSH,
+                f = f ^ salt[:len(f)]
+                where = np.flatnonzero(good & _passes(maps[size], f))
+                k = np.searchsorted(keys, f[where])
+                k[k == len(keys)] = 0
+                known = keys[k] == f[where]
+                where, k = where[known], k[known]
+                same = (stop[where + size - 1] - begin[where] == width[k]) & (tongue[where] == tongues[k])
+                alike = np.flatnonzero(same)
+                same[alike] = _same_bytes(flat, begin[where[alike]], width[k[alike]], pool, at[k[alike]])
+                if not same.all():
+                    bad = where[~same]
+                    yield pa.RecordBatch.from_arrays([pa.array(f[bad].view(np.int64)), pa.array([flat[begin[w]:stop[w + size - 1]].tobytes().decode() for w in bad], pa.string())], names=["f", "phrase"])
+
+    return _own(docs).mapInArrow(compare, "f bigint, phrase string")
+
+
+def _packed(rows) -> tuple[dict, bytes]:
+    """The phrases of a slice in the form that `mismatches` reads."""
+    texts = [x.encode() for x in rows.column("phrase").to_pylist()]
+    width = np.array([len(x) for x in texts], np.int64)
+    at = np.cumsum(width) - width
+    f, size, lang = rows.column("f").to_numpy().view(np.uint64), rows.column("size").to_numpy(), np.array(rows.column("lang").to_pylist(), object)
+    out = {}
+    for k in np.unique(size).tolist():
+        mine = np.flatnonzero(size == k)
+        mine = mine[np.argsort(f[mine])]
+        out[k] = f[mine], lang[mine], at[mine], width[mine]
+    return out, b"".join(texts)
+
+
+def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, seed: int = 1, slice_bytes: int = SLICE, flush: int = FLUSH,
                      bits: int = 64, attempts: int = ATTEMPTS) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, n of every phrase of 1 to `longest` words found `least` times or more; lang, total words)."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     for attempt in range(seed, seed + attempts):
-        sieves, tables, totals, shorter = {}, [], None, None
-        for size in range(1, longest + 1):
-            table = shared(frequent(counted(docs, size, attempt, shorter, flush, bits), least))
-            if size == 1:
-                totals = table.filter("f is null").select("lang", F.col("n").alias("total"))
-            tables.append(table.filter("f is not null").select("f", F.lit(size).alias("size"), "n", "doc", "at"))
-            sieves[size] = sieve_of(tables[-1], bound)
-            if sieves[size][0] == "keys" and not len(sieves[size][1]):
-                break
-            shorter = spark.sparkContext.broadcast(sieves[size])
-        found = tables[0]
-        for more in tables[1:]:
-            found = found.unionByName(more)
-        named = shared(phrases_at(docs, found, attempt, bits))
-        met = compared(docs, spark.sparkContext.broadcast(sieves), attempt, bits=bits).join(found.select("f"), "f", "left_semi")
-        named_as = named.select("f", F.col("lang").alias("_l"), F.col("phrase").alias("_p"))
-        other = met.join(named_as, "f", "left").filter(~F.col("same") | F.col("_p").isNull() | (F.col("lang") != F.col("_l")) | (F.col("phrase") != F.col("_p")))
-        if other.limit(1).count() == 0:
-            return found.join(named, "f").select("lang", "size", "phrase", "n"), totals
+        full = context.broadcast(full_buckets(bucket_counts(docs, longest, least, attempt, 4 * flush, bits), least))
+        sums = counted(docs, longest, attempt, full, flush, bits).groupBy("size", "f", "lang").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
+        table = shared(sums.filter((F.col("n") >= least) | (F.col("size") == 0)))
+        found = table.filter("size > 0").select("size", "f", "n", "p")
+        named = shared(found.join(phrases_at(docs, found, attempt, bits), "f").select("size", "f", "n", "lang", "phrase"))
+        held = named.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("f").alias("f"), F.coalesce(F.sum(F.length("phrase") + 40), F.lit(0)).alias("b")).first()
+        if held["n"] != held["f"] or held["n"] != found.count():
+            continue
+        slices = int(held["b"]) // slice_bytes + 1
+        clean = True
+        for k in range(slices):
+            part = named.filter(F.pmod(F.xxhash64("f"), F.lit(slices)) == k).select("size", "f", "lang", "phrase").toArrow()
+            if clean and part.num_rows:
+                clean = not mismatches(docs, context.broadcast(_packed(part)), full, attempt, bits).limit(1).count()
+        if clean:
+            return named.select("lang", "size", "phrase", "n"), table.filter("size = 0").select("lang", F.col("n").alias("total"))
     raise RuntimeError(f"fingerprints collided under {attempts} bases")
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, percent: int = PERCENT, **how) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to `longest` words."""
     phrases, totals = frequent_phrases(docs, longest, least, **how)
-    phrases = shared(phrases)
     words = F.split("phrase", " ")
     longer = phrases.filter("size > 1").withColumn("w", words)
     # the weakest cut

@@ -56,9 +56,9 @@ def some_rows(n=60, seed=1):
     return rows + [(None, "en"), ("", None), ("  ", "fr"), ("...", "fr"), (rows[0][0], rows[0][1]), (rows[0][0], rows[0][1])]
 
 
-@pytest.mark.parametrize("how", [{}, {"flush": 5}, {"bound": 0}, {"bound": 3, "top": 4}])
+@pytest.mark.parametrize("how", [{}, {"flush": 5}, {"slice_bytes": 700}, {"top": 4}])
 def test_equal_to_plain_version(spark, how):
-    """Counts handed on in pieces; all sizes by the bit map."""
+    """Counts handed on in pieces; phrases compared in several passes."""
     rows = some_rows()
     want = brute(rows, least=12, top=how.get("top", 2000))
     assert len(want) > (5 if how.get("top") else 15)
@@ -117,6 +117,23 @@ def test_collisions_start_again(spark):
     assert False not in results and True in results
 
 
+def test_bucket_maps(spark, monkeypatch):
+    """Ranges with few and with many full buckets, counts above one byte, and blobs added up in steps."""
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(C, "FAN", 2)
+    wide = 1 << C.RANGE_BITS
+    n = rng.integers(0, 400, (9, 2, wide)) * (rng.random((9, 2, wide)) < np.array([0.001, 0.9])[:, None])
+    rows = [(1, r, t, C._pack(np.flatnonzero(n[t, r]).astype(np.uint32)), np.minimum(n[t, r][n[t, r] > 0], 300).astype(np.uint32).tobytes()) for t in range(9) for r in range(2)]
+    parts = spark.createDataFrame(rows, "size int, range int, task int, low binary, n binary").repartition(9)
+    held = C.full_buckets(parts, 300)[1]
+    want = np.minimum(n, 300).sum(0) >= 300
+    got = np.unpackbits(C._full(held), bitorder="little").astype(bool)
+    assert np.array_equal(got[:2 * wide].reshape(2, -1), want) and not got[2 * wide:].any()
+    f = np.arange(2 * wide, dtype=np.uint64) << np.uint64(64 - C.MAP_BITS)
+    assert np.array_equal(C._passes(C._full(held), f), want.ravel())
+    assert len(held[1]) == wide // 8 > len(held[0])
+
+
 def test_exact_scores_and_ties(spark):
     """Products beyond 64 bits, and ranks by count and then by bytes."""
     rows = [("b b. é z. z é. a a. " * 30, "en"), ("c d. d c " * 30, "en")]
