@@ -4,8 +4,9 @@
    hashes every n-gram. Leading bits of the fingerprints are counted in buckets, packed by range: a frequent phrase
    has a full bucket. The map of full buckets has a fixed size, whatever the data; where data outgrow it, more
    n-grams pass and are counted than need be.
-2. N-grams in full buckets are counted by fingerprint: tasks merge equal ones and hand on (fingerprint, count, pointer
-   to one occurrence), which the shuffle adds up. What is found often enough is frequent.
+2. N-grams in full buckets are counted by fingerprint: tasks merge equal ones and hand on sorted blocks of
+   (fingerprint, count, pointer to one occurrence), a block for each range of fingerprints, whose blocks the shuffle
+   brings together to be added up. What is found often enough is frequent.
 3. Only frequent phrases become text, cut out of the documents that their pointers name. Then every occurrence of
    their fingerprints in the corpus is compared with that text byte by byte, in as many passes as the phrases fill
    broadcasts of bounded size. A collision starts the counting again with another base.
@@ -218,6 +219,15 @@ def bucket_counts(docs: DataFrame, longest: int, least: int, seed: int, flush: i
     return _own(docs).mapInArrow(count, "size int, range int, task int, low binary, n binary")
 
 
+def _stepped(parts: DataFrame, tasks: int, added) -> DataFrame:
+    """Blobs of a range, one for each task, until at most FAN of them are left: many are added up in steps."""
+    groups = tasks // FAN + 1
+    while groups > 1:
+        parts = parts.withColumn("task", F.pmod("task", F.lit(groups))).groupBy("size", "range", "task").applyInPandas(added, parts.schema)
+        groups = groups // FAN + 1 if groups > FAN else 1
+    return parts
+
+
 def full_buckets(parts: DataFrame, least: int) -> dict[int, dict[int, bytes]]:
     """For each size and range, the buckets counted `least` times or more: a list if few, else a bit each."""
     import pandas as pd
@@ -240,11 +250,8 @@ def full_buckets(parts: DataFrame, least: int) -> dict[int, dict[int, bytes]]:
         few = some.sum() * 4 < len(some) // 8
         return pd.DataFrame({"size": [key[0]], "range": [key[1]], "held": [np.flatnonzero(some).astype(np.uint32).tobytes() if few else np.packbits(some, bitorder="little").tobytes()]})
 
-    groups = parts.rdd.getNumPartitions() // FAN + 1
-    while groups > 1:  # many tasks: their blobs are added up in steps
-        parts = parts.withColumn("task", F.pmod("task", F.lit(groups))).groupBy("size", "range", "task").applyInPandas(added, parts.schema)
-        groups = groups // FAN + 1 if groups > FAN else 1
     out = {}
+    parts = _stepped(parts, parts.rdd.getNumPartitions(), added)
     for r in parts.groupBy("size", "range").applyInPandas(full, "size int, range int, held binary").filter(F.length("held") > 0).toLocalIterator():
         out.setdefault(r["size"], {})[r["range"]] = bytes(r["held"])
     return out
@@ -255,26 +262,41 @@ def _merge(held):
     order = np.argsort(f, kind="stable")
     f = f[order]
     first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, int)
-    return f[first], np.add.reduceat(n[order], first) if len(first) else n, p[order[first]]
+    if not len(first):
+        return f, n, p
+    return f[first], np.add.reduceat(n[order], first), np.minimum.reduceat(p[order], first)
+
+
+#: Ranges that fingerprints are dealt to, as a power of two.
+PRINT_RANGES = 8
 
 
 def counted(docs: DataFrame, longest: int, seed: int, full, flush: int = FLUSH, bits: int = 64) -> DataFrame:
-    """size, f (fingerprint), n, p (pointer: 32 bits of a text's hash, then the byte where an occurrence begins), a row for each
-    n-gram in a full bucket and task flush; and the words of each language (size 0). `full`: broadcast buckets of each size."""
+    """size, range, task, f, n, p: fingerprints of n-grams in full buckets, rising, how often a task found them, and a pointer
+    to each (32 bits of a text's hash, then the byte where it begins), a blob for each range; size 0: words of a language.
+    `full`: broadcast buckets of each size."""
     import pyarrow as pa
 
-    names = ["size", "f", "n", "p", "lang"]
+    names = ["size", "range", "task", "f", "n", "p", "lang", "total"]
 
     def count(batches):
-        hasher, total = Hasher(seed, bits), {}
+        from pyspark import TaskContext
+
+        hasher, total, task = Hasher(seed, bits), {}, TaskContext.get().partitionId()
         maps = {size: _full(held) for size, held in sorted(full.value.items())}
         held, rows = {size: [] for size in maps}, 0
 
         def batches_of():
             for size, some in held.items():
                 if some:
-                    f, n, p = _merge(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), size, np.int32)), pa.array(f.view(np.int64)), pa.array(n), pa.array(p), pa.nulls(len(f), pa.string())], names=names)
+                    f, *others = _merge(some)
+                    ranges = np.arange(1 << PRINT_RANGES)
+                    cut = np.searchsorted(f >> np.uint64(64 - PRINT_RANGES), np.append(ranges, len(ranges)).astype(np.uint64))
+                    mine = np.flatnonzero(cut[1:] > cut[:-1])
+                    k = len(mine)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(k, size, np.int32)), pa.array(mine.astype(np.int32)), pa.array(np.full(k, task, np.int32)),
+                         *(pa.array([c[cut[x]:cut[x + 1]].tobytes() for x in mine], pa.binary()) for c in (f, *others)), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names=names)
                     held[size] = []
 
         for batch, raw, offsets, lang in _portions(batches):
@@ -305,9 +327,31 @@ def counted(docs: DataFrame, longest: int, seed: int, full, flush: int = FLUSH,
         yield from batches_of()
         if total:
             k = len(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(list(total.values()), pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(total), pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(k, x, np.int32)) for x in (0, 0, task)), *(pa.nulls(k, pa.binary()) for _ in range(3)),
+                                              pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=names)
+
+    return _own(docs).mapInArrow(count, "size int, range int, task int, f binary, n binary, p binary, lang string, total bigint")
+
+
+def frequent(parts: DataFrame, least: int) -> DataFrame:
+    """size, f, n, p of the fingerprints counted `least` times or more; the lowest pointer stays."""
+    import pandas as pd
+
+    def merged(pdf):
+        return _merge([(np.frombuffer(f, np.uint64), np.frombuffer(n, np.int64), np.frombuffer(p, np.int64)) for f, n, p in zip(pdf["f"], pdf["n"], pdf["p"], strict=True)])
+
+    def added(key, pdf):
+        f, n, p = merged(pdf)
+        return pd.DataFrame({"size": [key[0]], "range": [key[1]], "task": [key[2]], "f": [f.tobytes()], "n": [n.tobytes()], "p": [p.tobytes()]})
+
+    def kept(key, pdf):
+        f, n, p = merged(pdf)
+        often = n >= least
+        return pd.DataFrame({"size": np.int32(key[0]), "f": f[often].view(np.int64), "n": n[often], "p": p[often]})
 
-    return _own(docs).mapInArrow(count, "size int, f bigint, n bigint, p bigint, lang string")
+    tasks = parts.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0] + 1
+    parts = _stepped(parts.filter("size > 0").select("size", "range", "task", "f", "n", "p"), tasks, added)
+    return parts.groupBy("size", "range").applyInPandas(kept, "size int, f bigint, n bigint, p bigint")
 
 
 def phrases_at(docs: DataFrame, found: DataFrame, seed: int, bits: int = 64) -> DataFrame:
@@ -420,9 +464,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     context = docs.sparkSession.sparkContext
     for attempt in range(seed, seed + attempts):
         full = context.broadcast(full_buckets(bucket_counts(docs, longest, least, attempt, 4 * flush, bits), least))
-        sums = counted(docs, longest, attempt, full, flush, bits).groupBy("size", "f", "lang").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
-        table = shared(sums.filter((F.col("n") >= least) | (F.col("size") == 0)))
-        found = table.filter("size > 0").select("size", "f", "n", "p")
+        parts = shared(counted(docs, longest, attempt, full, flush, bits))
+        found = shared(frequent(parts, least))
         named = shared(found.join(phrases_at(docs, found, attempt, bits), "f").select("size", "f", "n", "lang", "phrase"))
         held = named.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("f").alias("f"), F.coalesce(F.sum(F.length("phrase") + 40), F.lit(0)).alias("b")).first()
         if held["n"] != held["f"] or held["n"] != found.count():
@@ -434,7 +477,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
             if clean and part.num_rows:
                 clean = not mismatches(docs, context.broadcast(_packed(part)), full, attempt, bits).limit(1).count()
         if clean:
-            return named.select("lang", "size", "phrase", "n"), table.filter("size = 0").select("lang", F.col("n").alias("total"))
+            return named.select("lang", "size", "phrase", "n"), parts.filter("size = 0").groupBy("lang").agg(F.sum("total").alias("total"))
     raise RuntimeError(f"fingerprints collided under {attempts} bases")
 
 

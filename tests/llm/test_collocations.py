@@ -134,6 +134,12 @@ def test_bucket_maps(spark, monkeypatch):
     assert len(held[1]) == wide // 8 > len(held[0])
 
 
+def test_blocks_are_added_up_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(C, "FAN", 2)
+    rows = some_rows(30, seed=5)
+    assert result(C.collocations(table(spark, rows).repartition(9), least=9)) == brute(rows, least=9)
+
+
 def test_exact_scores_and_ties(spark):
     """Products beyond 64 bits, and ranks by count and then by bytes."""
     rows = [("b b. é z. z é. a a. " * 30, "en"), ("c d. d c " * 30, "en")]
