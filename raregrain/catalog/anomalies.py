@@ -115,11 +115,11 @@ def loda(spark, sf):
     return out(O.loda(vecs(spark, sf)))
 
 
-@query("random_order_variance_outliers", f"""with {VECS}, b as (select key, 64.0::double as m, list_sum(vec) as s1, list_sum(list_transform(vec, lambda x: x * x)) as s2 from vecs), o as (select *, unnest(range(3)) as it from b),
+@query("random_order_variance_outliers", f"""with {VECS}, b as (select key, 64.0::double as m, list_sum(vec) as s1, list_sum(list_transform(vec, lambda x: x * x)) as s2 from vecs), o as (select *, unnest(range(50)) as it from b),
   c as (select *, sum(m) over w as c, sum(s1) over w as t1, sum(s2) over w as t2 from o window w as (partition by it order by {h32("'0'", 'it', 'key')}, key rows between unbounded preceding and current row))
   select key, {r6('greatest(max(case when c - m < 0.5 then 0 else (t2 / c - power(t1 / c, 2)) - ((t2 - s2) / (c - m) - power((t1 - s1) / (c - m), 2)) end), 0)')} as score from c group by key""")
 def lmdd(spark, sf):
-    return out(O.lmdd(vecs(spark, sf), n_iter=3))
+    return out(O.lmdd(vecs(spark, sf)))
 
 
 @query("isolation_forest")

@@ -41,25 +41,25 @@ def preset(name, **params):
 
 
 for _query, _name, _params in (
-    ("model_random_forest", "random_forest", {"n_estimators": 5, "max_depth": 50}),
-    ("model_weighted_random_forest", "weighted_random_forest", {"n_estimators": 5, "max_depth": 6}),
-    ("model_weighted_svc", "weighted_svc", {"max_iter": 10}),
-    ("model_boosted_trees", "boosted_trees", {"n_estimators": 4, "scale_pos_weight": 3.0, "subsample": 0.8}),
-    ("model_adaboost", "adaboost", {"n_estimators": 4}),
-    ("model_adaboost_real", "adaboost", {"n_estimators": 3, "algorithm": "SAMME.R", "learning_rate": 0.5}),
-    ("model_rusboost", "rusboost", {"n_estimators": 3}),
-    ("model_easy_ensemble", "easy_ensemble", {"n_estimators": 3, "rounds": 3}),
-    ("model_balanced_random_forest", "balanced_random_forest", {"n_estimators": 4, "max_depth": 5}),
-    ("model_balanced_bagging", "balanced_bagging", {"n_estimators": 3, "depth": 5}),
-    ("model_underbagging", "imbalanced_ensemble_underbagging", {"n_estimators": 3, "depth": 5}),
-    ("model_smote_bagging", "imbalanced_ensemble_smote_bagging", {"n_estimators": 2, "depth": 5}),
-    ("model_balance_cascade", "imbalanced_ensemble_balanced_cascade", {"n_estimators": 3, "depth": 5}),
-    ("model_self_paced", "imbalanced_ensemble_self_paced", {"n_estimators": 3, "depth": 5}),
-    ("model_overboost", "imbalanced_ensemble_overboost", {"n_estimators": 3}),
-    ("model_smote_boost", "imbalanced_ensemble_smote_boost", {"n_estimators": 3}),
-    ("model_kmeans_smote_boost", "imbalanced_ensemble_kmeans_smote_boost", {"n_estimators": 2, "clusters": 3}),
-    ("model_adacost", "imbalanced_ensemble_adacost", {"n_estimators": 3}),
-    ("model_adauboost", "imbalanced_ensemble_adauboost", {"n_estimators": 3}),
+    ("model_random_forest", "random_forest", {"n_estimators": 100, "max_depth": 50}),
+    ("model_weighted_random_forest", "weighted_random_forest", {"n_estimators": 100, "max_depth": 6}),
+    ("model_weighted_svc", "weighted_svc", {}),
+    ("model_boosted_trees", "boosted_trees", {"n_estimators": 20, "scale_pos_weight": 3.0, "subsample": 0.8}),
+    ("model_adaboost", "adaboost", {"n_estimators": 10}),
+    ("model_adaboost_real", "adaboost", {"n_estimators": 10, "algorithm": "SAMME.R", "learning_rate": 0.5}),
+    ("model_rusboost", "rusboost", {"n_estimators": 10}),
+    ("model_easy_ensemble", "easy_ensemble", {"n_estimators": 10, "rounds": 10}),
+    ("model_balanced_random_forest", "balanced_random_forest", {"n_estimators": 10, "max_depth": 10}),
+    ("model_balanced_bagging", "balanced_bagging", {"n_estimators": 10, "depth": 10}),
+    ("model_underbagging", "imbalanced_ensemble_underbagging", {"n_estimators": 10, "depth": 10}),
+    ("model_smote_bagging", "imbalanced_ensemble_smote_bagging", {"n_estimators": 10, "depth": 10}),
+    ("model_balance_cascade", "imbalanced_ensemble_balanced_cascade", {"n_estimators": 10, "depth": 10}),
+    ("model_self_paced", "imbalanced_ensemble_self_paced", {"n_estimators": 10, "depth": 10}),
+    ("model_overboost", "imbalanced_ensemble_overboost", {"n_estimators": 10}),
+    ("model_smote_boost", "imbalanced_ensemble_smote_boost", {"n_estimators": 10}),
+    ("model_kmeans_smote_boost", "imbalanced_ensemble_kmeans_smote_boost", {"n_estimators": 10}),
+    ("model_adacost", "imbalanced_ensemble_adacost", {"n_estimators": 10}),
+    ("model_adauboost", "imbalanced_ensemble_adauboost", {"n_estimators": 10}),
 ):
     query(_query)(preset(_name, **_params))
 
@@ -67,7 +67,7 @@ for _query, _name, _params in (
 @query("model_detector_features")
 def xgbod(spark, sf):
     rows = cut_lineage(vecs(spark, sf))
-    return summary(build("pyod_xgbod", {"n_estimators": 3}).fit(rows).score(rows))
+    return summary(build("pyod_xgbod", {"n_estimators": 20}).fit(rows).score(rows))
 
 
 def _sampled(name, **params):
@@ -77,12 +77,12 @@ def _sampled(name, **params):
     return run
 
 
-query("model_smote_svc")(_sampled("sampling_smote_svc", max_iter=10))
-query("model_adasyn_boosted_trees")(_sampled("sampling_adasyn_xgboost", n_estimators=2))
-query("model_borderline_svc")(_sampled("sampling_borderlinesmote_svc", max_iter=5))
-query("model_near_miss_svc")(_sampled("sampling_near_miss", max_iter=5))
-query("model_centroids_boosted_trees")(_sampled("sampling_cluster_centroids_xgboost", n_estimators=2))
-query("model_tomek_boosted_trees")(_sampled("sampling_tomek_links_xgboost", n_estimators=3))
+query("model_smote_svc")(_sampled("sampling_smote_svc"))
+query("model_adasyn_boosted_trees")(_sampled("sampling_adasyn_xgboost", n_estimators=20))
+query("model_borderline_svc")(_sampled("sampling_borderlinesmote_svc"))
+query("model_near_miss_svc")(_sampled("sampling_near_miss"))
+query("model_centroids_boosted_trees")(_sampled("sampling_cluster_centroids_xgboost", n_estimators=20))
+query("model_tomek_boosted_trees")(_sampled("sampling_tomek_links_xgboost", n_estimators=20))
 query("model_detector_as_classifier")(_sampled("pyod_hbos"))
 
 
@@ -91,13 +91,13 @@ def late_fusion(spark, sf):
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("image"), (F.col("label") == 0).cast("int").alias("target"))
     meta = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), (F.col("n_chars") / F.lit(1000.0)).alias("size"), (F.col("lang") == "en").cast("double").alias("is_en"))
     rows = cut_lineage(L.fuse(emb, meta, "key", "image", ["size", "is_en"]).select("key", F.col("features").alias("vec"), "target"))
-    return summary(L.late_fusion(rows, max_iter=20).score(rows))
+    return summary(L.late_fusion(rows).score(rows))
 
 
 @query("model_soft_vote")
 def soft_vote(spark, sf):
     rows = prepared(spark, sf)
-    members = [build(n, p).fit(rows) for n, p in (("random_forest", {"n_estimators": 3}), ("boosted_trees", {"n_estimators": 3}))]
+    members = [build(n, p).fit(rows) for n, p in (("random_forest", {"n_estimators": 10}), ("boosted_trees", {"n_estimators": 10}))]
     return summary(L.Voted(members).score(rows))
 
 
@@ -108,26 +108,26 @@ def folds_of(spark, sf, k=5):
 
 @query("cross_validated_score")
 def cross_validated(spark, sf):
-    values, mean = X.cross_score(build("random_forest", {"n_estimators": 3, "max_depth": 5}), folds_of(spark, sf, 3))
+    values, mean = X.cross_score(build("random_forest", {"n_estimators": 10, "max_depth": 10}), folds_of(spark, sf))
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, mean)], "fold int, pauc_score double")
 
 
 @query("trial_search_leaderboard")
 def trial_search(spark, sf):
-    trials = X.expand_trials("random_forest", {"n_estimators": [2, 4], "max_depth": [3]})
-    _, board, _ = X.run_trials(folds_of(spark, sf, 3), trials)
+    trials = X.expand_trials("random_forest", {"n_estimators": [10, 20], "max_depth": [5]})
+    _, board, _ = X.run_trials(folds_of(spark, sf), trials)
     return board.select("trial", "metric", C.round6("mean_score").alias("mean_score"), C.round6("std_score").alias("std_score"), "place")
 
 
 @query("candidate_fitness")
 def candidate(spark, sf):
-    members = [{"n_estimators": 2, "learning_rate": 0.1}, {"n_estimators": 3, "learning_rate": 0.3}]
-    return X.voted_candidate(folds_of(spark, sf, 2), members, over=0.02, under=0.1)
+    members = [{"n_estimators": 10, "learning_rate": 0.1}, {"n_estimators": 20, "learning_rate": 0.3}]
+    return X.voted_candidate(folds_of(spark, sf), members, over=0.02, under=0.1)
 
 
 @query("classifier_batch_summary")
 def batch(spark, sf):
-    scores = cut_lineage(X.run_batch(folds_of(spark, sf, 2), [("random_forest", {"n_estimators": [2], "max_depth": [3, 5]}), ("adaboost", {"n_estimators": [2]})]))
+    scores = cut_lineage(X.run_batch(folds_of(spark, sf), [("random_forest", {"n_estimators": [10], "max_depth": [5, 10]}), ("adaboost", {"n_estimators": [10]})]))
     return T.summarise(scores, ["classifier"]).select("classifier", "trial", *[C.round6(c).alias(c) for c in ("best", "related", "miss_rate")], "best_text", "miss_text")
 
 

@@ -19,13 +19,13 @@ from raregrain.functions.columns import sigmoid
 from raregrain.operators import resample as R
 from raregrain.operators.learners import FEATURES, Voted, random_forest, tree, with_features
 from raregrain.operators.neighbours import knn
+from raregrain.operators.packed import TINY, Group, pack
 from raregrain.operators.ranking import hash_rank
 from raregrain.operators.weights import class_sizes
 from raregrain.session import cut_lineage
 
 THREADS = 4
 REWRITE_EVERY = 5
-TINY = 2.220446049250313e-16
 
 
 def in_parallel(jobs: list[Callable], threads: int = THREADS) -> list:
@@ -54,7 +54,17 @@ class Boosted:
             total = total + (F.log(p) - F.log(F.lit(1.0) - p) if self.real else F.lit(a) * F.when(F.col(f"{name}_{i}") > 0.5, 1.0).otherwise(-1.0))
         return out, total / (len(self.members) if self.real else max(sum(self.alphas), TINY))
 
+    def groups(self, cols: list | None = None) -> list[Group] | None:
+        parts = [m.groups(cols) for m in self.members]
+        if any(p is None or len(p) != 1 or p[0].rule != "mean" for p in parts):
+            return None
+        return [Group("odds" if self.real else "votes", [m for p in parts for m in p[0].members], self.alphas)]
+
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
+        forest = pack(self.groups())
+        return self.chained(df, name) if forest is None else forest.score(df, name)
+
+    def chained(self, df: DataFrame, name: str = "prob") -> DataFrame:
         out, margin = self.decision(df, name)
         return out.select(*df.columns, sigmoid(margin).alias(name))
 
@@ -193,6 +203,9 @@ class Projected:
     member: object
     cols: list
 
+    def groups(self, cols: list | None = None) -> list[Group] | None:
+        return self.member.groups(self.cols if cols is None else [cols[i] for i in self.cols])
+
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
         out = self.member.score(_narrow(df, self.cols), name)
         return out.withColumn("vec", F.col("_whole")).select(*[c for c in df.columns if c != FEATURES], name)

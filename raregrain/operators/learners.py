@@ -10,13 +10,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LinearSVC,
+                                       LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raregrain.functions.columns import sigmoid
+from raregrain.operators.packed import Group, pack
 from raregrain.operators.trials import best_trial
 from raregrain.operators.weights import with_weight
 
@@ -48,6 +49,12 @@ class Fitted:
     model: object
     vec: str = "vec"
     prepare: object = None
+    trees: list | None = field(default=None, repr=False)
+
+    def groups(self, cols: list | None = None) -> list[Group] | None:
+        """What a packed ensemble takes from this member; None if it is no tree model. `cols`: the columns it was fitted on."""
+        rule = {DecisionTreeClassificationModel: "mean", RandomForestClassificationModel: "mean", GBTClassificationModel: "margin"}.get(type(self.model))
+        return [Group(rule, [(self, cols)], [1.0])] if rule and self.prepare is None else None
 
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
         rows = self.prepare(df) if self.prepare is not None else with_features(df, self.vec)
@@ -58,11 +65,21 @@ class Fitted:
 
 @dataclass
 class Voted:
-    """Mean of member probabilities, scored in one pass over the rows."""
+    """Mean of member probabilities. Tree members are packed and scored in one pass; with others among them, member by member."""
 
     members: list = field(default_factory=list)
 
+    def groups(self, cols: list | None = None) -> list[Group] | None:
+        parts = [m.groups(cols) if hasattr(m, "groups") else None for m in self.members]
+        if any(p is None for p in parts):
+            return None
+        return [Group(g.rule, g.members, g.weights, g.share / sum(x.share for x in p)) for p in parts for g in p]
+
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
+        forest = pack(self.groups())
+        return self.chained(df, name) if forest is None else forest.score(df, name)
+
+    def chained(self, df: DataFrame, name: str = "prob") -> DataFrame:
         out = with_features(df)
         for i, m in enumerate(self.members):
             out = m.score(out, f"{name}_{i}")
