@@ -82,7 +82,7 @@ def shared_reference(spark, sf):
 
 @query("affinity_outliers")
 def sos(spark, sf):
-    return out(O.sos(O.neighbour_lists(vecs(spark, sf), "key", "vec", 20)))
+    return out(O.sos(vecs(spark, sf)))
 
 
 @query("correlation_integral_outliers", f"""with {VECS}, {PAIRS}, dd as (select a, b, d from pairs union all select key, key, 0 from vecs), md as (select sum(d) / count(*) as m from pairs),

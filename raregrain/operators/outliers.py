@@ -226,31 +226,143 @@ def sod(df: DataFrame, near: DataFrame, key: str = "key", vec: str = "vec", size
     return both.select(F.col("key").alias(key), F.coalesce(F.try_divide(F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x)), n.cast("double")), F.lit(0.0)).alias("score"))
 
 
-def sos(near: DataFrame, key: str = "key", perplexity: float = 4.5, eps: float = 1e-5, tries: int = 100) -> DataFrame:
-    """Probability that no row binds to this one; affinities reach the k nearest rows."""
+#: Bisection steps that one pass over all pairs looks ahead.
+AHEAD = 3
 
-    @F.pandas_udf("array<double>")
-    def binding(d2: pd.Series) -> pd.Series:
-        out = []
-        for row in d2:
-            d, beta, lo, hi = np.asarray(row, dtype=float), 1.0, 0.0, np.inf
-            goal = math.log(min(perplexity, len(d) - 1e-3)) if perplexity > 0 else 0.0
-            for _ in range(tries):
-                a = np.exp(-(d - d.min()) * beta)
-                b = a / a.sum()
-                h = -(b * np.log(np.maximum(b, 1e-300))).sum()
-                if abs(h - goal) < eps:
-                    break
-                lo, hi = (beta, hi) if h > goal else (lo, beta)
-                beta = beta * 2 if math.isinf(hi) else (lo + hi) / 2
-            out.append(b)
-        return pd.Series(out)
 
-    bound = near.select(key, "nn", binding(F.transform("nn", lambda x: x["distance"] * x["distance"])).alias("b"))
-    pairs = bound.select(F.explode(F.arrays_zip(F.transform("nn", lambda x: x["key"]).alias("k"), F.col("b"))).alias("p")).select(
-        F.col("p.k").alias(key), F.col("p.b").alias("b"))
-    missed = pairs.groupBy(key).agg(F.exp(F.sum(F.log1p(-F.least("b", F.lit(1 - 1e-15))))).alias("score"))
-    return near.select(key).join(missed, key, "left").select(key, F.coalesce("score", F.lit(1.0)).alias("score"))
+def _children(beta: np.ndarray, lo: np.ndarray, hi: np.ndarray, high: np.ndarray):
+    """One bisection step: where the entropy was too high the affinity must fall off faster."""
+    lo, hi = np.where(high, beta, lo), np.where(high, hi, beta)
+    return np.where(np.isinf(hi), beta * 2, (lo + np.where(np.isinf(hi), 0.0, hi)) / 2), lo, hi
+
+
+def _ahead(beta: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """rows x (2^AHEAD - 1): every beta that the next steps may ask for, in heap order."""
+    states = [(beta, lo, hi)]
+    for i in range(2 ** (AHEAD - 1) - 1):
+        states += [_children(*states[i], np.full(len(beta), high)) for high in (True, False)]
+    return np.stack([x[0] for x in states], axis=1)
+
+
+def _row_sums(blocks: DataFrame, others: DataFrame, parts: int, run, width: int) -> DataFrame:
+    """part, sums: run(block, other) gives rows x width; added up over all other blocks that stream past a block.
+
+    A block's sums leave the task once for each run of its rows.
+    """
+    names = [c for c in blocks.columns if c != "part"]
+    right = others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns if c != "part"], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    other_names = [c for c in others.columns if c != "part"]
+
+    def loop(batches):
+        at, held = None, None
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                new = run({c: r[c] for c in names}, {c: r[f"o_{c}"] for c in other_names})
+                if r["part"] != at and held is not None:
+                    yield pd.DataFrame({"part": [at], "sums": [held.ravel()]})
+                    held = None
+                at, held = r["part"], new if held is None else held + new
+        if held is not None:
+            yield pd.DataFrame({"part": [at], "sums": [held.ravel()]})
+
+    return blocks.join(right, "part").mapInPandas(loop, "part int, sums array<double>").groupBy("part").agg(F.collect_list("sums").alias("sums"))
+
+
+def sos(df: DataFrame, key: str = "key", vec: str = "vec", perplexity: float = 4.5, eps: float = 1e-5, tries: int = 100, rows_per_block: int = 1024) -> DataFrame:
+    """Probability that no other row binds to this one; every row has an affinity to all others.
+
+    A row's fall-off is bisected until the entropy of its affinities is the log of the perplexity. All rows take their
+    steps together: a pass over the block pairs sums weights and weighted distances at every fall-off that the next
+    steps may ask for, and rows that are done drop out. The last pass adds up log(1 - binding probability) of each row.
+    Equal rows have a distance of 0 and bind to each other like any; a row alone scores 1.
+    """
+    kind = dict(df.dtypes)[key]
+    rows = df.select(key, F.col(vec).cast("array<double>").alias("v"))
+    n = rows.count()
+    goal = math.log(min(perplexity, n - 1 - 1e-3)) if n > 1 and perplexity > 0 else 0.0
+    if n < 2:
+        return df.select(key, F.lit(1.0).alias("score"))
+    blocks, parts = pack_rows(rows, key, ["v"], rows_per_block)
+    blocks = cut_lineage(blocks)
+
+    def squares(left, right, live):
+        a, b = (np.asarray(s["v"], dtype=float).reshape(len(s["keys"]), -1) for s in (left, right))
+        d = distances(a[live], b) ** 2
+        d[np.asarray(left["keys"])[live][:, None] == np.asarray(right["keys"])[None, :]] = np.inf
+        return d
+
+    # nearest distance first: weights are taken relative to it, so that none of them vanishes
+    def nearest(left, right):
+        return pd.DataFrame({"part": [left["part"]], "low": [squares(left, right, np.arange(len(left["keys"]))).min(1)]})
+
+    low = each_block_pair(blocks.withColumn("p", F.col("part")).withColumnRenamed("p", "at"), parts, lambda a, b: nearest(a | {"part": a["at"]}, b), "part int, low array<double>")
+    lows = low.groupBy("part").agg(F.collect_list("low").alias("lows"))
+    arrays = "m array<double>, beta array<double>, lo array<double>, hi array<double>, total array<double>, left int"
+
+    def start(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                m = np.min([np.asarray(x) for x in r.lows], axis=0)
+                one = np.ones(len(m))
+                yield pd.DataFrame({"part": [r.part], "m": [m], "beta": [one], "lo": [one * 0], "hi": [one * np.inf], "total": [one * 0], "left": [len(m)]})
+
+    state = cut_lineage(lows.mapInPandas(start, f"part int, {arrays}"))
+    width = 2 * (2 ** AHEAD - 1)
+
+    def weigh(left, right):
+        m, beta, lo, hi, total = (np.asarray(left[c], dtype=float) for c in ("m", "beta", "lo", "hi", "total"))
+        out, live = np.zeros((len(m), width)), np.flatnonzero(total == 0)
+        d = squares(left, right, live) - m[live, None]
+        far = np.isinf(d)
+        b = _ahead(beta[live], lo[live], hi[live])
+        for k in range(width // 2):
+            a = np.exp(-d * b[:, k, None])
+            out[live, 2 * k], out[live, 2 * k + 1] = a.sum(1), np.where(far, 0.0, np.where(far, 0.0, d) * a).sum(1)
+        return out
+
+    def step(last: bool):
+        def walk(batches):
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    beta, lo, hi, total = (np.array(getattr(r, c), dtype=float) for c in ("beta", "lo", "hi", "total"))
+                    sums = np.sum([np.asarray(x) for x in r.sums], axis=0).reshape(len(beta), -1)
+                    live, at = np.flatnonzero(total == 0), np.zeros(len(beta), int)
+                    for depth in range(AHEAD):
+                        s, t = sums[live, 2 * at[live]], sums[live, 2 * at[live] + 1]
+                        entropy = np.log(s) + beta[live] * t / s
+                        done = np.abs(entropy - goal) < eps
+                        if last and depth == AHEAD - 1:
+                            done[:] = True
+                        total[live[done]] = s[done]
+                        live, high = live[~done], (entropy > goal)[~done]
+                        beta[live], lo[live], hi[live] = _children(beta[live], lo[live], hi[live], high)
+                        at[live] = 2 * at[live] + np.where(high, 1, 2)
+                    yield pd.DataFrame({"part": [r.part], "m": [r.m], "beta": [beta], "lo": [lo], "hi": [hi], "total": [total], "left": [int((total == 0).sum())]})
+        return walk
+
+    passes = math.ceil(tries / AHEAD)
+    for i in range(passes):
+        asked = blocks.join(state.filter(F.col("left") > 0), "part")
+        sums = _row_sums(asked.select("part", "keys", "v", "m", "beta", "lo", "hi", "total"), blocks, parts, weigh, width)
+        new = sums.join(state, "part").mapInPandas(step(i == passes - 1), f"part int, {arrays}")
+        state = cut_lineage(new.unionByName(state.filter(F.col("left") == 0)))
+        if state.filter(F.col("left") > 0).limit(1).count() == 0:
+            break
+
+    def miss(left, right):
+        """Sums for the rows of the left block over the binding rows of the right one."""
+        d = squares(right, left, np.arange(len(right["keys"])))
+        m, beta, total = (np.asarray(right[c], dtype=float)[:, None] for c in ("m", "beta", "total"))
+        return np.log1p(-np.minimum(np.exp(-(d - m) * beta) / total, 1 - 1e-15)).sum(0)[:, None]
+
+    missed = _row_sums(blocks, blocks.join(state.drop("left"), "part"), parts, miss, 1)
+
+    def scored(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                yield pd.DataFrame({key: r.keys, "score": np.exp(np.sum([np.asarray(x) for x in r.sums], axis=0))})
+
+    return missed.join(blocks.select("part", "keys"), "part").mapInPandas(scored, f"{key} {kind}, score double")
 
 
 def loci(df: DataFrame, key: str = "key", vec: str = "vec", alpha: float = 0.5, radii: list[float] | None = None,
@@ -378,17 +490,105 @@ def mean_and_covariance(df: DataFrame, vec: str, centred: bool = False) -> tuple
     return mean, np.array([r["o"] for r in rows]) / n - np.outer(mean, mean)
 
 
-def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, support: float | None = None, assume_centered: bool = False) -> DataFrame:
-    """Squared Mahalanobis distance under a covariance refitted on the closest rows.
+def chi2_quantile(p: float, dims: int) -> float:
+    """Quantile of the chi-squared distribution: bisection of the incomplete gamma series."""
+    a = dims / 2
+
+    def below(x: float) -> float:
+        term = total = 1.0
+        for k in range(1, 100_000):
+            term *= x / (a + k)
+            total += term
+            if term < total * 1e-16:
+                break
+        return math.exp(a * math.log(x) - x - math.lgamma(a + 1)) * total
+    lo, hi = 0.0, 1.0
+    while below(hi) < p:
+        hi *= 2
+    for _ in range(80):
+        lo, hi = ((lo + hi) / 2, hi) if below((lo + hi) / 2) < p else (lo, (lo + hi) / 2)
+    return 2 * lo
+
+
+def _moments(x: np.ndarray, centred: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, covariance and log determinant of some rows (minus infinity where they span no volume)."""
+    mean = np.zeros(x.shape[1]) if centred else x.mean(0)
+    cov = (x - mean).T @ (x - mean) / len(x)
+    sign, size = np.linalg.slogdet(cov)
+    return mean, cov, float(size) if sign > 0 else -math.inf
 
-    Every step reads the base rows with the last centre and inverse as constants. Steps end when the determinant
-    stops falling; not to get there within `steps` raises.
+
+def _concentrate(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, h: int, steps: int, centred: bool):
+    for _ in range(steps):
+        d = x - mean
+        near = np.argpartition(((d @ np.linalg.pinv(cov)) * d).sum(1), h - 1)[:h]
+        mean, cov, size = _moments(x[near], centred)
+    return mean, cov, size
+
+
+def _starts(x: np.ndarray, starts: int, best: int, share: float, centred: bool, seed: list[int]) -> list[tuple]:
+    """Best of many elemental starts: dims + 1 rows, more until they span a volume, then two concentration steps."""
+    rng = np.random.default_rng(seed)
+    h = min(len(x), max(x.shape[1] + 1, int(math.ceil(share * len(x)))))
+    found = []
+    for _ in range(starts):
+        order = rng.permutation(len(x))
+        k = min(len(x), x.shape[1] + 1)
+        mean, cov, size = _moments(x[order[:k]], centred)
+        while math.isinf(size) and k < len(x):
+            k += 1
+            mean, cov, size = _moments(x[order[:k]], centred)
+        found.append(_concentrate(x, mean, cov, h, 2, centred))
+    return sorted(found, key=lambda f: f[2])[:best]
+
+
+def nested_starts(base: DataFrame, key: str, share: float, centred: bool, subsets: int = 5, rows: int = 300, starts: int = 100, best: int = 10,
+                  seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Up to `best` centres and covariances: the best of many starts on disjoint hashed subsets, taken on within their union.
+
+    The union has at most `subsets` x `rows` rows, chosen by hash; it is one task's input, the subsets one task's each.
+    """
+    quota = base.sparkSession.createDataFrame([(0, subsets * rows)], "_all int, quota bigint")
+    pool = cut_lineage(hash_rank(take_hashed(base.withColumn("_all", F.lit(0)), key, seed, quota, ["_all"]).drop("_all"), key, seed, name="_r").select(
+        (F.col("_r") % subsets).cast("int").alias("part"), "_r", "x"))
+    dims = len(pool.select("x").first()[0])
+    kind = "part int, mean array<double>, cov array<double>, size double"
+
+    def frame(part: int, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"part": part, "mean": [f[0] for f in found], "cov": [f[1].ravel() for f in found], "size": [f[2] for f in found]})
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        return frame(part, _starts(np.stack(pdf.sort_values("_r")["x"].to_numpy()), starts, best, share, centred, [seed, part]))
+
+    def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(left.sort_values("_r")["x"].to_numpy())
+        h = min(len(x), max(dims + 1, int(math.ceil(share * len(x)))))
+        found = [_concentrate(x, np.asarray(r.mean_), np.asarray(r.cov).reshape(dims, dims), h, 2, centred) for r in right.rename(columns={"mean": "mean_"}).itertuples()]
+        return frame(0, sorted(found, key=lambda f: f[2])[:best])
+
+    one = lambda d: d.withColumn("one", F.lit(0)).groupBy("one")
+    begun = pool.groupBy("part").applyInPandas(begin, kind)
+    return [(np.array(r["mean"]), np.array(r["cov"]).reshape(dims, dims))
+            for r in one(pool).cogroup(one(begun)).applyInPandas(merge, kind).orderBy("size").collect()]
+
+
+def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, support: float | None = None, assume_centered: bool = False,
+        finalists: int = 3, seed: int = 0) -> DataFrame:
+    """Squared Mahalanobis distance under the covariance of the rows that lie closest together.
+
+    The best of many starts (see `nested_starts`) take two concentration steps over all rows; the one of least determinant
+    goes on until it stops falling (not to get there within `steps` raises). The covariance is scaled to be consistent for
+    normal rows, and estimated again from the rows within its 97.5 % bound. A step reads the base rows once for distances,
+    once for the covariance, with the last centre and inverse as constants.
     """
     base = df.select(key, F.col(vec).cast("array<double>").alias("x"))
     n, dims = base.count(), len(df.select(vec).first()[0])
     h = int(support * n) if support else (n + dims + 1) // 2
 
-    def scored(mean: np.ndarray, inverse: np.ndarray) -> DataFrame:
+    def scored(mean: np.ndarray, cov: np.ndarray) -> DataFrame:
+        inverse = np.linalg.pinv(cov)
+
         @F.pandas_udf("double")
         def gap(v: pd.Series) -> pd.Series:
             if not len(v):
@@ -397,20 +597,28 @@ def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, sup
             return pd.Series(((d @ inverse) * d).sum(axis=1))
         return base.withColumn("score", gap("x"))
 
-    mean, cov = mean_and_covariance(base, "x", assume_centered)
-    now = scored(mean, np.linalg.pinv(cov))
-    last = math.inf
+    def concentrated(mean, cov):
+        now = scored(mean, cov)
+        mean, cov = mean_and_covariance(now.filter(F.col("score") <= order_statistic(now, "score", h - 1)), "x", assume_centered)
+        return mean, cov, float(np.linalg.slogdet(cov + 1e-12 * np.eye(dims))[1])
+
+    tried = []
+    for mean, cov in nested_starts(base, key, h / n, assume_centered, seed=seed)[:finalists]:
+        mean, cov, _ = concentrated(mean, cov)
+        tried.append(concentrated(mean, cov))
+    mean, cov, last = min(tried, key=lambda t: t[2])
     for _ in range(steps):
-        cut = order_statistic(now, "score", h - 1)
-        mean, cov = mean_and_covariance(now.filter(F.col("score") <= cut), "x", assume_centered)
-        now = scored(mean, np.linalg.pinv(cov))
-        size = float(np.linalg.slogdet(cov + 1e-12 * np.eye(dims))[1])
+        mean, cov, size = concentrated(mean, cov)
         if last - size < 1e-9:
             break
         last = size
     else:
         raise RuntimeError(f"the determinant still fell after {steps} steps")
-    return now.select(key, "score")
+    now = scored(mean, cov)
+    cov = cov * order_statistic(now, "score", (n - 1) // 2) / chi2_quantile(0.5, dims)
+    within = scored(mean, cov).filter(F.col("score") < chi2_quantile(0.975, dims))
+    mean, cov = mean_and_covariance(within, "x", assume_centered)
+    return scored(mean, cov).select(key, "score")
 
 
 # ---- random orders and trees -----------------------------------------------------------

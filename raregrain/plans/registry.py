@@ -41,7 +41,7 @@ DETECTORS: dict[str, Callable[..., DataFrame]] = {
     "pyod_lof": _near(20, lambda df, near: O.lof(near)),
     "pyod_cof": _near(20, lambda df, near: O.cof(near), True),
     "pyod_sod": _near(20, lambda df, near, alpha=0.8: O.sod(df, near, alpha=alpha)),
-    "pyod_sos": _near(30, lambda df, near, perplexity=4.5, eps=1e-5: O.sos(near, "key", perplexity, eps)),
+    "pyod_sos": O.sos,
 }
 
 SAMPLERS: dict[str, Callable[[DataFrame, int], DataFrame]] = {

@@ -206,7 +206,7 @@ def near(df, vec=False):
 def test_detectors_rank_the_planted_row_high(spark, name):
     df = planted(spark)
     run = {"knn": lambda: O.knn_distance(near(df)), "lof": lambda: O.lof(near(df)), "cof": lambda: O.cof(near(df, True)), "sod": lambda: O.sod(df, near(df)),
-           "sos": lambda: O.sos(near(df)), "isolation_forest": lambda: O.isolation_forest(df, n_estimators=20), "lmdd": lambda: O.lmdd(df, n_iter=5),
+           "sos": lambda: O.sos(df), "isolation_forest": lambda: O.isolation_forest(df, n_estimators=20), "lmdd": lambda: O.lmdd(df, n_iter=5),
            "cblof": lambda: O.cblof(df, n_clusters=3), "loci": lambda: O.loci(df, radii=[3.0, 6.0, 30.0], rows_per_block=40),
            "feature_bagging": lambda: O.feature_bagging(df, n_estimators=2), "loda": lambda: O.loda(df, cuts=30)}.get(name, lambda: getattr(O, name)(df))
     rows = run().orderBy(F.col("score").desc(), "key").collect()
