@@ -107,7 +107,7 @@ def pca(spark, sf):
 
 @query("robust_covariance_outliers")
 def mcd(spark, sf):
-    return out(O.mcd(vecs(spark, sf)))
+    return out(O.mcd(vecs(spark, sf), reweighted=True))
 
 
 @query("projection_histogram_outliers")

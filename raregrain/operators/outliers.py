@@ -574,13 +574,13 @@ def nested_starts(base: DataFrame, key: str, share: float, centred: bool, subset
 
 
 def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, support: float | None = None, assume_centered: bool = False,
-        finalists: int = 3, seed: int = 0) -> DataFrame:
+        finalists: int = 3, reweighted: bool = False, seed: int = 0) -> DataFrame:
     """Squared Mahalanobis distance under the covariance of the rows that lie closest together.
 
     The best of many starts (see `nested_starts`) take two concentration steps over all rows; the one of least determinant
-    goes on until it stops falling (not to get there within `steps` raises). The covariance is scaled to be consistent for
-    normal rows, and estimated again from the rows within its 97.5 % bound. A step reads the base rows once for distances,
-    once for the covariance, with the last centre and inverse as constants.
+    goes on until it stops falling (not to get there within `steps` raises). `reweighted`: the covariance is scaled to be
+    consistent for normal rows, and estimated again from the rows within its 97.5 % bound. A step reads the base rows once
+    for distances, once for the covariance, with the last centre and inverse as constants.
     """
     base = df.select(key, F.col(vec).cast("array<double>").alias("x"))
     n, dims = base.count(), len(df.select(vec).first()[0])
@@ -615,6 +615,8 @@ def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, sup
     else:
         raise RuntimeError(f"the determinant still fell after {steps} steps")
     now = scored(mean, cov)
+    if not reweighted:
+        return now.select(key, "score")
     cov = cov * order_statistic(now, "score", (n - 1) // 2) / chi2_quantile(0.5, dims)
     within = scored(mean, cov).filter(F.col("score") < chi2_quantile(0.975, dims))
     mean, cov = mean_and_covariance(within, "x", assume_centered)

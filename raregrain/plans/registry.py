@@ -35,7 +35,7 @@ def _near(k_default: int, run, with_vec: bool = False):
 
 DETECTORS: dict[str, Callable[..., DataFrame]] = {
     "pyod_isolation_forest": O.isolation_forest, "isolation_forest": O.isolation_forest, "pyod_cblof": O.cblof, "pyod_copod": O.copod,
-    "pyod_hbos": O.hbos, "pyod_lmdd": O.lmdd, "pyod_loda": O.loda, "pyod_loci": O.loci, "pyod_mcd": O.mcd, "pyod_pca": O.pca_score,
+    "pyod_hbos": O.hbos, "pyod_lmdd": O.lmdd, "pyod_loda": O.loda, "pyod_loci": O.loci, "pyod_mcd": lambda df, **p: O.mcd(df, **{"reweighted": True, **p}), "pyod_pca": O.pca_score,
     "pyod_feature_bagging": O.feature_bagging,
     "pyod_knn": _near(5, lambda df, near, method="largest": O.knn_distance(near, "key", method)),
     "pyod_lof": _near(20, lambda df, near: O.lof(near)),

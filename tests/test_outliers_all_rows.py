@@ -72,7 +72,7 @@ def test_covariance_rejects_a_planted_cluster(spark):
     d = x - mean
     kept = ((d @ np.linalg.inv(cov)) * d).sum(1)
     assert np.median(kept[600:]) < np.quantile(kept[:600], 0.9)
-    got = dict(O.mcd(frame(spark, x)).collect())
+    got = dict(O.mcd(frame(spark, x), reweighted=True).collect())
     score = np.array([got[i] for i in range(1000)])
     assert score[600:].min() > np.quantile(score[:600], 0.97)
     # distances of ordinary rows follow the chi-squared distribution they should
@@ -83,7 +83,7 @@ def test_covariance_equals_plain_version_on_clean_rows(spark):
     """Without outliers: the raw covariance of the best half, scaled, then estimated again from the rows within the bound."""
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 3)) @ np.diag([1.0, 2.0, 0.5])
-    got = dict(O.mcd(frame(spark, x)).collect())
+    got = dict(O.mcd(frame(spark, x), reweighted=True).collect())
     best = min((O._concentrate(x, *O._moments(x[rng.permutation(400)[:4]], False)[:2], 202, 60, False) for _ in range(300)), key=lambda f: f[2])
     d = x - best[0]
     raw = ((d @ np.linalg.inv(best[1])) * d).sum(1)
