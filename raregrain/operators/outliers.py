@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raregrain.functions.columns import doubles, hash32
+from raregrain.operators.level_trees import path_sums
 from raregrain.operators.neighbours import distances, each_block_pair, edges, knn, pack_rows, pair_sums, pack
 from raregrain.operators.ranking import exact_quantile, hash_bucket, hash_rank, order_statistic, running_sums, take_hashed, value_borders, value_bucket
 from raregrain.session import cut_lineage, join_by_key
@@ -668,18 +669,30 @@ def _grow(x: np.ndarray, rng, limit: int, cols: np.ndarray) -> dict[str, list]:
 
 
 def isolation_forest(df: DataFrame, key: str = "key", vec: str = "vec", n_estimators: int = 100, max_samples: int | float | str = 256,
-                     max_features: float = 1.0, seed: int = 0) -> DataFrame:
-    """2^(-mean path / c(sample)). Trees grow in parallel on bounded hashed samples, then score in batches."""
+                     max_features: float = 1.0, seed: int = 0, whole: int = 4096) -> DataFrame:
+    """2^(-mean path / c(sample)). Samples are drawn without replacement.
+
+    A tree of at most `whole` sampled rows grows in one task and all of them score in batches; trees of
+    larger samples grow level by level (`level_trees`), where no task holds a whole sample.
+    """
     rows = df.select(key, F.col(vec).cast("array<double>").alias("x"))
     n, dims = rows.count(), len(df.select(vec).first()[0])
     size = min(256, n) if max_samples == "auto" else max(1, int(max_samples * n)) if isinstance(max_samples, float) else min(max_samples, n)
+    if size > whole:
+        depth = F.col("path") / F.lit(float(n_estimators)) / F.lit(average_path(size))
+        return path_sums(rows, key, n_estimators, size, max_features, seed).select(key, F.pow(F.lit(2.0), -depth).alias("score"))
     # trees draw from a pool of at most n_estimators * max_samples hashed rows; other rows never move
     pool_size = min(n, n_estimators * size)
     quota = df.sparkSession.createDataFrame([(0, pool_size)], "_all int, quota bigint")
     pool = cut_lineage(take_hashed(rows.withColumn("_all", F.lit(0)), key, seed, quota, ["_all"]).drop("_all"))
     ranked = hash_rank(pool, key, seed, name="_rank")
-    picks = df.sparkSession.range(n_estimators * size).select(
-        (F.col("id") / size).cast("int").alias("tree"), (hash32(seed, F.lit("if"), "id") % pool_size + 1).alias("_rank")).dropDuplicates(["tree", "_rank"])
+    # a tree takes the ranks that equal steps from a place of its own meet; a step without a common divisor with the pool meets none twice
+    draws = np.random.default_rng([seed, n_estimators])
+    starts, steps = draws.integers(0, pool_size, n_estimators), draws.integers(1, max(pool_size, 2), n_estimators)
+    steps = [next(s for s in range(int(step), int(step) + pool_size + 1) if math.gcd(s, pool_size) == 1) for step in steps]
+    ways = df.sparkSession.createDataFrame([(t, int(a), int(s)) for t, (a, s) in enumerate(zip(starts, steps))], "tree int, start bigint, step bigint")
+    picks = ways.select("tree", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"), "start", "step").select(
+        "tree", ((F.col("start") + F.col("i").cast("bigint") * F.col("step")) % pool_size + 1).alias("_rank"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
