@@ -1,7 +1,10 @@
 """Trials over folds: fit on the training side, score the held-out side, rank the trials."""
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,7 +19,7 @@ from raregrain.operators.resample import random_over, random_under
 from raregrain.operators.splits import fold_sides
 from raregrain.operators.weights import class_sizes
 from raregrain.plans.registry import Builder, build
-from raregrain.session import cut_lineage
+from raregrain.session import cut_lineage, ensure_checkpoint_dir
 
 Scorer = Callable[[DataFrame, list[str]], DataFrame]
 
@@ -40,22 +43,61 @@ def expand_trials(name: str, grid: dict[str, list]) -> list[Builder]:
     return [build(name, dict(zip(keys, values))) for values in itertools.product(*grid.values())]
 
 
-def score_trials(folds: list[tuple[DataFrame, DataFrame]], trials: list[Builder], threshold: float = 0.5, threads: int = 4) -> DataFrame:
-    """Held-out rows of every (trial, fold): (trial, fold, key, target, score, pred)."""
-    def one(t: int, f: int) -> DataFrame:
+def _rows_seen(df: DataFrame) -> str:
+    """Short text that changes when the rows do, whatever their order."""
+    h = F.xxhash64("key", "target", "vec")
+    return "/".join(str(v) for v in df.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+
+
+def part_names(folds: list[tuple[DataFrame, DataFrame]], trials: list[Builder], threshold: float) -> dict[tuple[int, int], str]:
+    """(trial, fold) -> a name that follows from the preset, its parameters, the threshold and the fold's rows."""
+    rows = [f"{_rows_seen(train)} {_rows_seen(test)}" for train, test in folds]
+    asked = [json.dumps([b.name, b.params, b.k_neighbors, threshold], sort_keys=True, default=str) for b in trials]
+    return {(t, f): hashlib.md5(f"{what} {seen}".encode()).hexdigest() for t, what in enumerate(asked) for f, seen in enumerate(rows)}
+
+
+def score_trials(folds: list[tuple[DataFrame, DataFrame]], trials: list[Builder], threshold: float = 0.5, threads: int = 4,
+                 store: str | None = None) -> DataFrame:
+    """Held-out rows of every (trial, fold): (trial, fold, key, target, score, pred).
+
+    Each part is written as soon as it is scored, then marked as done, so the result is one scan
+    however many parts there are. With `store`, a folder all executors reach, a later call takes the
+    parts that are done from there: a stopped search goes on, a longer grid adds its new trials, and
+    other rows or parameters are scored afresh. Only one search at a time may write to a store.
+    """
+    spark = folds[0][0].sparkSession
+    if store is None:
+        ensure_checkpoint_dir(spark)
+        store = f"{spark.sparkContext.getCheckpointDir()}/search-{uuid.uuid4().hex}"
+        names = {(t, f): f"{t}-{f}" for t in range(len(trials)) for f in range(len(folds))}
+    else:
+        names = part_names(folds, trials, threshold)
+    spark.range(1).select(F.col("id").alias("rows")).write.mode("overwrite").parquet(f"{store}/done/part=none")
+    done = {r["part"] for r in spark.read.schema("rows bigint, part string").parquet(f"{store}/done").select("part").distinct().collect()}
+    # trials that ask for the same share a part
+    todo = {name: at for at, name in names.items() if name not in done}
+
+    def one(name: str, t: int, f: int) -> None:
         train, test = folds[f]
-        rows = trials[t].fit(train).score(test, "score")
-        return rows.select(F.lit(t).alias("trial"), F.lit(f).alias("fold"), "key", "target", "score", (F.col("score") > threshold).cast("int").alias("pred"))
-    parts = in_parallel([lambda t=t, f=f: one(t, f) for t in range(len(trials)) for f in range(len(folds))], threads)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return cut_lineage(out)
-
-
-def run_trials(folds: list[tuple[DataFrame, DataFrame]], trials: list[Builder], refit_metric: str = "pauc_score") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scores, leaderboard, best trial) for a list of builders."""
-    scores = cut_lineage(M.all_metrics(score_trials(folds, trials), ["trial", "fold"]))
+        rows = trials[t].fit(train).score(test, "score").select("key", "target", "score", (F.col("score") > threshold).cast("int").alias("pred"))
+        rows.write.mode("overwrite").parquet(f"{store}/parts/part={name}")
+        part = spark.read.schema(rows.schema).parquet(f"{store}/parts/part={name}")
+        # the mark follows the rows: a part without one is scored again
+        part.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{store}/done/part={name}")
+
+    if todo:
+        in_parallel([lambda name=name, at=at: one(name, *at) for name, at in todo.items()], threads)
+    scored = spark.read.parquet(f"{store}/parts/part={next(iter(names.values()))}")
+    parts = spark.read.schema(scored.schema.add("part", "string")).parquet(f"{store}/parts").filter(F.col("part").isin(sorted(set(names.values()))))
+    # one short row per (trial, fold)
+    wanted = spark.createDataFrame([(t, f, name) for (t, f), name in names.items()], "trial int, fold int, part string")
+    return parts.join(F.broadcast(wanted), "part").select("trial", "fold", "key", "target", "score", "pred")
+
+
+def run_trials(folds: list[tuple[DataFrame, DataFrame]], trials: list[Builder], refit_metric: str = "pauc_score",
+               store: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, leaderboard, best trial) for a list of builders; `store` as in `score_trials`."""
+    scores = cut_lineage(M.all_metrics(score_trials(folds, trials, store=store), ["trial", "fold"]))
     board = T.leaderboard(scores)
     return scores, board, T.best_trial(board, refit_metric)
 
@@ -97,13 +139,13 @@ def voted_candidate(folds: list[tuple[DataFrame, DataFrame]], members: list[dict
     return M.pauc(cut_lineage(scored), ["fold"])
 
 
-def run_batch(folds: list[tuple[DataFrame, DataFrame]], specs: list[tuple[str, dict[str, list]]]) -> DataFrame:
-    """Many classifiers over the same prepared folds: scores with the classifier's name."""
+def run_batch(folds: list[tuple[DataFrame, DataFrame]], specs: list[tuple[str, dict[str, list]]], store: str | None = None) -> DataFrame:
+    """Many classifiers over the same prepared folds: scores with the classifier's name; `store` as in `score_trials`."""
     builders, names = [], []
     for name, grid in specs:
         for b in expand_trials(name, grid):
             builders.append(b)
             names.append(name)
-    scored = score_trials(folds, builders)
+    scored = score_trials(folds, builders, store=store)
     lookup = F.get(F.array(*[F.lit(n) for n in names]), F.col("trial"))
     return M.all_metrics(scored, ["trial", "fold"]).withColumn("classifier", lookup)
