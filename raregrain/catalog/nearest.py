@@ -284,18 +284,21 @@ def kmeans_smote(spark, sf):
     return _resampled(R.kmeans_smote(vecs(spark, sf), "key", "vec", "target", k=3, clusters=3, threshold=0.01))
 
 
-def _lloyd(i: int) -> str:
-    """One round: every majority row to its nearest centre, every centre to its rows' mean."""
-    return f"""r{i} as (select m.key, c.num, m.vec from maj m, c{i - 1} c qualify row_number() over (partition by m.key
+# one round: every majority row to its nearest centre, every centre to its rows' mean; rounds end when all centres keep their rows
+LLOYD = """near as (select m.key, c.num, m.vec from maj m, lloyd c where c.moved qualify row_number() over (partition by m.key
     order by list_sum(list_transform(list_zip(m.vec, c.vec), lambda z: (z[1]-z[2])*(z[1]-z[2]))), c.num) = 1),
-  m{i} as (select num, list(x order by d) as vec from (select num, d, avg(vec[d]) as x from r{i}, range(1, 65) t(d) group by num, d) group by num),
-  c{i} as (select c.num, coalesce(m.vec, c.vec) as vec from c{i - 1} c left join m{i} m using (num))"""
+  means as (select num, list(x order by d) as vec from (select num, d, avg(vec[d]) as x from near, range(1, 65) t(d) group by num, d) group by num),
+  held as (select num, string_agg(key::varchar, ',' order by key) as keys from near group by num),
+  next as (select c.i, c.num, coalesce(means.vec, c.vec) as vec, coalesce(held.keys, 'none') as keys, c.keys as before
+    from lloyd c left join means using (num) left join held using (num) where c.moved)
+  select i + 1, num, vec, keys, bool_or(keys <> before) over () from next"""
 
 
-@query("cluster_centroids", f"""with {VECS}, maj as (select key, vec, row_number() over (order by {h32("'42'", 'key')}, key) - 1 as num from vecs where target = 0),
-  c0 as (select num, vec from maj where num < (select count(*) from vecs where target = 1)), {', '.join(_lloyd(i) for i in range(1, 6))}
+@query("cluster_centroids", f"""with recursive {VECS}, maj as (select key, vec, row_number() over (order by {h32("'42'", 'key')}, key) - 1 as num from vecs where target = 0),
+  lloyd(i, num, vec, keys, moved) as (select 0, num, vec, '', true from maj where num < (select count(*) from vecs where target = 1) union all (with {LLOYD})),
+  last as (select * from lloyd where i = (select max(i) from lloyd))
   select key, target, false as synthetic, {r6('list_sum(vec)')} as total, {r6('vec[1]')} as first from vecs where target = 1 union all
-  select num + (select max(key) + 1 from vecs), 0, true, {r6('list_sum(vec)')}, {r6('vec[1]')} from c5""")
+  select num + (select max(key) + 1 from vecs), 0, true, {r6('list_sum(vec)')}, {r6('vec[1]')} from last""")
 def cluster_centroids(spark, sf):
     return _resampled(R.cluster_centroids(vecs(spark, sf), "key", "vec", "target"))
 
