@@ -83,6 +83,12 @@ query("model_borderline_svc")(_sampled("sampling_borderlinesmote_svc"))
 query("model_near_miss_svc")(_sampled("sampling_near_miss"))
 query("model_centroids_boosted_trees")(_sampled("sampling_cluster_centroids_xgboost", n_estimators=20))
 query("model_tomek_boosted_trees")(_sampled("sampling_tomek_links_xgboost", n_estimators=20))
+for _query, _name in (
+    ("model_smote_boosted_trees", "sampling_smote_xgboost"), ("model_adasyn_svc", "sampling_adasyn_svc"),
+    ("model_borderline_boosted_trees", "sampling_borderlinesmote_xgboost"), ("model_near_miss_boosted_trees", "sampling_near_miss_xgboost"),
+    ("model_tomek_svc", "sampling_tomek_links_svc"), ("model_smoten_svc", "sampling_smoten_svc"),
+):
+    query(_query)(_sampled(_name, **({"n_estimators": 20} if _name.endswith("xgboost") else {})))
 query("model_detector_as_classifier")(_sampled("pyod_hbos"))
 
 

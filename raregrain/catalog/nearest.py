@@ -75,20 +75,27 @@ WIDE = f"""{VECS}, wl as (select key, target, 'x' || (i - 1) as f, floor(vec[i]
     from (select x.f, y.f as g, x.a, y.a as b, count(*)::double as n from wl x join wl y on x.key = y.key and x.f <> y.f group by all)) group by f, g)"""
 
 
-def _greedy_picks(score: str, k: int) -> str:
-    steps = ["c1 as materialized (select f, rel as score, 1 as place from relt order by rel desc limit 1)"]
+def _greedy_picks(score: str, k: int, relevance: str = "relt") -> str:
+    steps = [f"c1 as materialized (select f, rel as score, 1 as place from {relevance} order by rel desc limit 1)"]
     for i in range(2, k + 1):
-        steps.append(f"""c{i} as materialized (select * from c{i - 1} union all (select f, {score} as score, {i} from (select r.f, rel, avg(red) as red from relt r join redt p on p.f = r.f
+        steps.append(f"""c{i} as materialized (select * from c{i - 1} union all (select f, {score} as score, {i} from (select r.f, rel, avg(red) as red from {relevance} r join redt p on p.f = r.f
           where p.g in (select f from c{i - 1}) and r.f not in (select f from c{i - 1}) group by all) order by 2 desc, rel desc limit 1))""")
     return f"{', '.join(steps)} select place, f as feature, {r6('score')} as score from c{k}"
 
 
 for _m, _e, _k in (("MID", "rel - red", 10), ("MIQ", "rel / (red + 0.0001::double)", 20)):
-    def _mrmr_wide(spark, sf, method=_m, k=_k):
+    def _mrmr_wide(spark, sf, method=_m, k=_k, pool=None):
         wide = vecs(spark, sf).select("key", "target", *[F.floor(F.col("vec")[i] * 4).cast("int").alias(c) for i, c in enumerate(WIDE_COLS)])
-        return K.mrmr(wide, WIDE_COLS, "target", method, k).select("place", "feature", C.round6("score").alias("score"))
+        return K.mrmr(wide, WIDE_COLS, "target", method, k, pool).select("place", "feature", C.round6("score").alias("score"))
     query(f"mrmr_{'difference' if _m == 'MID' else 'quotient'}_of_64", f"with {WIDE}, {_greedy_picks(_e, _k)}")(_mrmr_wide)
 
+
+@query("mrmr_quotient_within_pool", f"""with {WIDE}, pooled as materialized (select * from relt order by rel desc limit 16),
+  {_greedy_picks("rel / (red + 0.0001::double)", 10, "pooled")}""")
+def mrmr_pool(spark, sf):
+    return _mrmr_wide(spark, sf, "MIQ", 10, 16)
+
+
 NUM_COLS = ["value", "k", "hr"]
 ANOVA = """lf as (select target, 'value' as f, value as x from cases union all select target, 'k', k from cases union all select target, 'hr', hr from cases),
   g as (select f, target, count(*)::double as n, avg(x) as m, var_pop(x) as v from lf group by all), gm as (select *, sum(n*m) over (partition by f) / sum(n) over (partition by f) as mm from g),
