@@ -4,12 +4,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from raregrain.catalog.fixtures import PAIRS, VECS, cases, query, r6, table, vecs
+from raregrain.catalog.fixtures import CASES, PAIRS, VECS, cases, query, r6, table, vecs
 from raregrain.functions import columns as C
 from raregrain.operators import learners as L
 from raregrain.operators import metrics as M
 from raregrain.operators import trials as T
 from raregrain.operators.neighbours import pack
+from raregrain.operators.newton import first_cuts
 from raregrain.operators.prep import fit_prep
 from raregrain.operators.splits import group_folds
 from raregrain.operators.wknn import WeightedKnnSelector
@@ -45,6 +46,8 @@ for _query, _name, _params in (
     ("model_weighted_random_forest", "weighted_random_forest", {"n_estimators": 100, "max_depth": 6}),
     ("model_weighted_svc", "weighted_svc", {}),
     ("model_boosted_trees", "boosted_trees", {"n_estimators": 20, "scale_pos_weight": 3.0, "subsample": 0.8}),
+    ("model_newton_trees", "newton_trees", {"n_estimators": 10, "max_depth": 6, "learning_rate": 0.085, "reg_lambda": 8.88, "reg_alpha": 0.678, "subsample": 0.6,
+                                            "colsample_bytree": 0.85, "colsample_bylevel": 0.55, "scale_pos_weight": 3.3}),
     ("model_adaboost", "adaboost", {"n_estimators": 10}),
     ("model_adaboost_real", "adaboost", {"n_estimators": 10, "algorithm": "SAMME.R", "learning_rate": 0.5}),
     ("model_rusboost", "rusboost", {"n_estimators": 10}),
@@ -64,6 +67,30 @@ for _query, _name, _params in (
     query(_query)(preset(_name, **_params))
 
 
+def _part(g: str, h: str) -> str:
+    return f"(power(sign({g}) * greatest(abs({g}) - 0.5, 0), 2) / ({h} + 2))"
+
+
+def _leaf(g: str, h: str) -> str:
+    return f"(-sign({g}) * greatest(abs({g}) - 0.5, 0) / ({h} + 2))"
+
+
+@query("newton_first_cuts", f"""with {CASES}, r as (select (0.5 - target) * case target when 1 then 100 else 1 end as g, 0.25 * case target when 1 then 100 else 1 end as h, k, hr, code from cases),
+  l as (select 0 as f, case when hr <> 7 then hr end as x, g, h from r union all select 1, code::double, g, h from r),
+  t as (select f, sum(g) as tg, sum(h) as th, count(*) as tn, coalesce(sum(g) filter (x is null), 0) as mg, coalesce(sum(h) filter (x is null), 0) as mh, count(*) filter (x is null) as mn from l group by f),
+  v as (select f, x, sum(g) as g, sum(h) as h, count(*) as n from l where x is not null group by f, x),
+  c as (select f, lead(x) over w as threshold, sum(g) over w as g, sum(h) over w as h, sum(n) over w as n from v window w as (partition by f order by x)),
+  s as (select f, threshold, m as missing_left, tg, th, tn, g + if(m, mg, 0) as lg, h + if(m, mh, 0) as lh, (n + if(m, mn, 0))::bigint as left_n
+    from c join t using (f) cross join (values (true), (false)) as ways(m) where m or mn > 0),
+  p as (select *, 0.5 * ({_part('lg', 'lh')} + {_part('tg - lg', 'th - lh')} - {_part('tg', 'th')}) as gain, (tn - left_n)::bigint as right_n from s where lh >= 1 and th - lh >= 1 and left_n < tn)
+  select f, threshold, missing_left, {r6('gain')} as gain, {r6(_leaf('lg', 'lh'))} as "left", {r6(_leaf('tg - lg', 'th - lh'))} as "right", left_n, right_n from p where gain > 0""")
+def newton_first_cuts(spark, sf):
+    # hour 7 counts as missing, so that both sides are tried for it
+    rows = cases(spark, sf).select(F.col("event_id").alias("key"), F.array(F.when(F.col("hr") != 7, F.col("hr")), F.col("code").cast("double")).alias("vec"), "target")
+    found = first_cuts(rows, 2, scale_pos_weight=100.0, reg_alpha=0.5, reg_lambda=2.0)
+    return found.select("f", "threshold", "missing_left", *[C.round6(c).alias(c) for c in ("gain", "left", "right")], "left_n", "right_n")
+
+
 @query("model_detector_features")
 def xgbod(spark, sf):
     rows = cut_lineage(vecs(spark, sf))

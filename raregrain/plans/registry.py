@@ -11,6 +11,7 @@ from raregrain.operators import ensembles as E
 from raregrain.operators import learners as L
 from raregrain.operators import outliers as O
 from raregrain.operators import resample as R
+from raregrain.operators.newton import newton_trees
 from raregrain.session import cut_lineage
 
 
@@ -95,7 +96,7 @@ class _Widened:
 CLASSIFIERS: dict[str, Callable] = {
     "adaboost": E.adaboost, "random_forest": L.random_forest, "rusboost": E.rusboost, "easy_ensemble": E.easy_ensemble,
     "balanced_random_forest": E.balanced_random_forest, "balanced_bagging": E.balanced_bagging, "boosted_trees": L.boosted_trees,
-    "svc": L.svc, "weighted_svc": lambda d, **p: L.svc(d, **{"class_weight": "balanced", **p}),
+    "newton_trees": newton_trees, "svc": L.svc, "weighted_svc": lambda d, **p: L.svc(d, **{"class_weight": "balanced", **p}),
     "weighted_random_forest": lambda d, **p: L.random_forest(d, **{"class_weight": "balanced", **p}),
     "pyod_xgbod": xgbod, "late_fusion": L.late_fusion,
     "imbalanced_ensemble_balanced_cascade": E.balance_cascade, "imbalanced_ensemble_self_paced": E.self_paced_ensemble,
