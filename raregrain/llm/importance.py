@@ -3,11 +3,11 @@
 Words and pairs of words are hashed into `BUCKETS`. The target model counts the texts labelled good, the
 raw model counts all texts; a text's log weight is the sum over its n-grams of the log ratio of the two. Adding
 standard Gumbel noise and keeping the `k` largest keys draws `k` texts without replacement, in
-proportion to their weights. Noise comes from a hash of the id, so reruns agree.
+proportion to their weights. Noise comes from a hash of the id (of the text where the id is null), so reruns agree.
 
 Defined cases: null or empty texts have no n-grams and log weight 0; without good texts all weights are 0;
-texts with equal keys at the cut are all kept; repeated rows and null ids share a draw; an empty
-table gives an empty result.
+rows of one id share a draw, and so do equal texts without an id; of rows with equal keys at the cut as many are
+kept as make `k`, picked by a hash of the row's place; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raregrain.llm.common import byte_view, mix, portions, shared, sized, travels, word_hashes
-from raregrain.operators.ranking import order_statistic
+from raregrain.operators.ranking import order_statistic, take_hashed
 
 travels(__name__)
 
@@ -72,16 +72,23 @@ def resample(docs: DataFrame, good: DataFrame, k: int | None = None, fraction: f
         for batch in portions(batches):
             b, owner = buckets_of(batch.column("text"))
             sums = np.bincount(owner, ratio[b], batch.num_rows).astype(np.float64)  # whole numbers where no text has a word
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums)],
-                                             names=["doc_id", "log_weight"])
-
-    rows = docs.select("doc_id", "text")
-    weighed = rows.mapInArrow(weigh, f"doc_id {dict(rows.dtypes)['doc_id']}, log_weight double")
-    unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
-    keyed = shared(weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(unit))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("draw"), pa.array(sums)], names=["doc_id", "draw", "log_weight"])
+
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    rows = docs.select("doc_id", named.alias("draw"), "text")
+    weighed = rows.mapInArrow(weigh, f"doc_id {dict(rows.dtypes)['doc_id']}, draw string, log_weight double")
+    unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+    keyed = shared(weighed.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(unit))).alias("key"), F.monotonically_increasing_id().alias("place")))
+    cols = ["doc_id", "log_weight", "key", "selected"]
     n = keyed.count()
     k = round(fraction * n) if k is None else min(k, n)
     if not k:
-        return keyed.withColumn("selected", F.lit(False))
+        return keyed.withColumn("selected", F.lit(False)).select(cols)
     cut = order_statistic(keyed, "key", n - k)
-    return keyed.withColumn("selected", F.col("key") >= F.lit(cut))
+    marked = keyed.withColumn("selected", F.col("key") >= F.lit(cut))
+    met = marked.agg(F.count_if("selected").alias("n"), F.count_if(F.col("key") == F.lit(cut)).alias("tied")).first()
+    if met["n"] == k:
+        return marked.select(cols)
+    quota = docs.sparkSession.createDataFrame([(0, k - (met["n"] - met["tied"]))], "_all int, quota bigint")
+    tied = take_hashed(keyed.filter(F.col("key") == F.lit(cut)).withColumn("_all", F.lit(0)), "place", seed, quota, ["_all"], flag="selected")
+    return marked.filter(F.col("key") != F.lit(cut)).select(cols).unionByName(tied.select(cols))

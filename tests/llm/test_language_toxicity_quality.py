@@ -118,3 +118,15 @@ def test_importance_weights_equal_brute_force(spark):
     assert len(b) == sum(2 * len((t or "").split()) - 1 for t in texts if t)
     assert importance.resample(docs.limit(0), good).count() == 0
     assert (importance.resample(docs, good.limit(0)).toPandas()["log_weight"] == 0).all()
+
+
+def test_importance_keeps_exactly_k_of_tied_rows(spark):
+    docs = documents(spark, ["same words"] * 1000 + ["other words", None, None], ids=[None] * 1000 + [1, 2, None])
+    good = spark.createDataFrame([(1,)], "doc_id bigint")
+    for k in (0, 1, 10, 1001, 1003, 5000):
+        got = importance.resample(docs, good, k=k).toPandas()
+        assert len(got) == 1003 and got["selected"].sum() == min(k, 1003)
+        if 0 < k < 1003:
+            assert got[got["selected"]]["key"].min() >= got[~got["selected"]]["key"].max()
+    # equal texts without an id share a draw, a null text has one of its own
+    assert importance.resample(docs, good, k=10).filter("doc_id is null").select("key").distinct().count() == 2
