@@ -620,14 +620,114 @@ def nested_starts(base: DataFrame, key: str, share: float, centred: bool, subset
             for r in one(pool).cogroup(one(begun)).applyInPandas(merge, kind).orderBy("size").collect()]
 
 
+#: Rows around a cut that a concentration step reads to find it; more are counted in finer bins first.
+AT_CUT = 20_000
+
+
+class _Blocks:
+    """Rows as written blocks of bytes, for loops that pass over all of them by their distance from a centre."""
+
+    def __init__(self, base: DataFrame, key: str, dims: int):
+        def pack_batch(batches):
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({"flat": [np.stack(b["x"].to_numpy()).astype(float).tobytes()]})
+
+        self.rows, self.dims = cut_lineage(_spread(base.select(key, "x"), key).select("x").mapInPandas(pack_batch, "flat binary")), dims
+
+    def _each(self, mean: np.ndarray, inverse: np.ndarray):
+        """A task's blocks with the squared distances of their rows."""
+        dims = self.dims
+
+        def walk(batches):
+            for b in batches:
+                for flat in b["flat"]:
+                    x = np.frombuffer(flat).reshape(-1, dims)
+                    d = x - mean
+                    yield x, ((d @ inverse) * d).sum(axis=1)
+        return walk
+
+    def _counts(self, walk, borders: np.ndarray) -> np.ndarray:
+        """Rows between the borders: bin i holds distances from border i - 1 (included) to border i."""
+        def count(batches):
+            total = np.zeros(len(borders) + 1, int)
+            for _, d in walk(batches):
+                total += np.bincount(np.searchsorted(borders, d, "right"), minlength=len(total))
+            yield pd.DataFrame({"i": np.flatnonzero(total), "n": total[total > 0]})
+
+        out = np.zeros(len(borders) + 1, int)
+        for r in self.rows.mapInPandas(count, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():  # one row per bin
+            out[r["i"]] = r["n"]
+        return out
+
+    def _sums(self, walk, low: float, high: float) -> tuple[int, np.ndarray, np.ndarray, list | None]:
+        """Number, sum and outer products of the rows nearer than `low`, and the rows from there to `high` (None: too many)."""
+        def add(batches):
+            n, s, o, near = 0, 0.0, 0.0, []
+            for x, d in walk(batches):
+                some = x[d < low]
+                n, s, o = n + len(some), s + some.sum(axis=0), o + some.T @ some
+                at = np.flatnonzero((d >= low) & (d < high))
+                near = None if near is None or len(near) + len(at) > AT_CUT else near + [(float(d[i]), x[i]) for i in at]
+            if n or near is None:
+                yield pd.DataFrame({"n": n, "whole": near is not None, "d": 0.0, "s": [s], "o": [np.ravel(o)]})
+            if near:
+                yield pd.DataFrame({"n": 0, "whole": True, "d": [d for d, _ in near], "s": [x for _, x in near], "o": [None] * len(near)})
+
+        # one row per task and the few at the cut
+        got = self.rows.mapInPandas(add, "n bigint, whole boolean, d double, s array<double>, o array<double>").collect()
+        own = [r for r in got if r["o"] is not None]
+        s = sum((np.array(r["s"]) for r in own), np.zeros(self.dims))
+        o = sum((np.array(r["o"]).reshape(self.dims, -1) for r in own), np.zeros((self.dims, self.dims)))
+        near = sorted(((r["d"], r["s"]) for r in got if r["o"] is None), key=lambda r: r[0])
+        return sum(r["n"] for r in own), s, o, near if all(r["whole"] for r in own) else None
+
+    def _borders(self, walk, h: int, guess: float | None) -> tuple[float, float]:
+        """A range that holds the h-th least distance and few rows; an empty one above it if very many rows are that near."""
+        borders = self.dims * np.logspace(-6, 6, 1025)
+        if guess:
+            borders = np.unique(np.concatenate([borders, guess * np.linspace(0.8, 1.25, 3072)]))
+        while True:
+            n = self._counts(walk, borders)
+            at = int(np.searchsorted(np.cumsum(n), h, "left"))
+            low, high = borders[at - 1] if at else -math.inf, borders[at] if at < len(borders) else math.inf
+            if n[at] <= AT_CUT:
+                return low, high
+            finer = np.unique(np.linspace(low, high, 4097)) if math.isfinite(low) and math.isfinite(high) else []
+            if len(finer) < 3:
+                break
+            borders = finer
+        # very many equal distances, or some beyond all borders
+        scores = self.rows.mapInPandas(lambda batches: (pd.DataFrame({"d": d}) for _, d in walk(batches)), "d double")
+        above = float(np.nextafter(order_statistic(scores, "d", h - 1), math.inf))
+        return above, above
+
+    def nearest(self, mean: np.ndarray, cov: np.ndarray, h: int, guess: float | None, centred: bool, width: float = 0.0):
+        """Mean, covariance and greatest distance of the h rows nearest to a centre, and of those as near as the last one.
+
+        A pass adds up the rows nearer than the cut and reads the few about it, taken to be within `width` of `guess`.
+        Where they are not, one more pass before it finds the cut by counting rows in narrow bins.
+        """
+        walk = self._each(mean, np.linalg.pinv(cov))
+        n, s, o, near = self._sums(walk, guess * (1 - width), guess * (1 + width)) if guess and width else (0, 0, 0, None)
+        if near is None or not n < h <= n + len(near):
+            low, high = self._borders(walk, h, guess)
+            n, s, o, near = self._sums(walk, low, high)
+        cut = near[h - n - 1][0] if n < h else float(np.nextafter(low, -math.inf))
+        x = np.array([r for d, r in near if d <= cut]).reshape(-1, self.dims)
+        n, s, o = n + len(x), s + x.sum(axis=0), o + x.T @ x
+        mean = np.zeros(self.dims) if centred else s / n
+        return mean, o / n - np.outer(mean, mean), cut
+
+
 def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, support: float | None = None, assume_centered: bool = False,
         finalists: int = 3, reweighted: bool = False, seed: int = 0) -> DataFrame:
     """Squared Mahalanobis distance under the covariance of the rows that lie closest together.
 
     The best of many starts (see `nested_starts`) take two concentration steps over all rows; the one of least determinant
     goes on until it stops falling (not to get there within `steps` raises). `reweighted`: the covariance is scaled to be
-    consistent for normal rows, and estimated again from the rows within its 97.5 % bound. A step reads the base rows once
-    for distances, once for the covariance, with the last centre and inverse as constants.
+    consistent for normal rows, and estimated again from the rows within its 97.5 % bound. A step reads the base rows
+    once or twice, from blocks written once (see `_Blocks`), with the last centre and inverse as constants.
     """
     base = df.select(key, F.col(vec).cast("array<double>").alias("x"))
     n, dims = base.count(), len(df.select(vec).first()[0])
@@ -644,9 +744,13 @@ def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, sup
             return pd.Series(((d @ inverse) * d).sum(axis=1))
         return base.withColumn("score", gap("x"))
 
+    blocks, cuts = _Blocks(base, key, dims), []
+
     def concentrated(mean, cov):
-        now = scored(mean, cov)
-        mean, cov = mean_and_covariance(now.filter(F.col("score") <= order_statistic(now, "score", h - 1)), "x", assume_centered)
+        # the cut moves less from step to step
+        width = 4 * abs(cuts[-1] / cuts[-2] - 1) + 1e-6 if len(cuts) > 1 and cuts[-2] > 0 else 0.0
+        mean, cov, cut = blocks.nearest(mean, cov, h, cuts[-1] if cuts else None, assume_centered, min(width, 1e-3))
+        cuts.append(cut)
         return mean, cov, float(np.linalg.slogdet(cov + 1e-12 * np.eye(dims))[1])
 
     tried = []
