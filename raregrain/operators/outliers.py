@@ -747,9 +747,10 @@ def mcd(df: DataFrame, key: str = "key", vec: str = "vec", steps: int = 500, sup
     blocks, cuts = _Blocks(base, key, dims), []
 
     def concentrated(mean, cov):
-        # the cut moves less from step to step
-        width = 4 * abs(cuts[-1] / cuts[-2] - 1) + 1e-6 if len(cuts) > 1 and cuts[-2] > 0 else 0.0
-        mean, cov, cut = blocks.nearest(mean, cov, h, cuts[-1] if cuts else None, assume_centered, min(width, 1e-3))
+        # the cut moves less and less, but by turns more than in the step before
+        moves = [abs(b / a - 1) for a, b in zip(cuts[-5:-1], cuts[-4:]) if a > 0]
+        width = min(max(4 * max(moves), 1e-4), 1e-3) if moves else 0.0
+        mean, cov, cut = blocks.nearest(mean, cov, h, cuts[-1] if cuts else None, assume_centered, width)
         cuts.append(cut)
         return mean, cov, float(np.linalg.slogdet(cov + 1e-12 * np.eye(dims))[1])
 
