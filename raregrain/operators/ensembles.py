@@ -1,7 +1,8 @@
 """Boosting and bagging for rare classes.
 
 Members are ordinary Spark fits. Bagging members are independent and run from a small
-thread pool; boosting keeps one weight column and rewrites it every few rounds.
+thread pool; boosting keeps one weight column, held by the executors for the passes of a
+round and rewritten every few rounds.
 """
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,38 +86,49 @@ def adaboost(df: DataFrame, n_estimators: int = 50, learning_rate: float = 1.0,
     class_cost = min(neg, pos) / max(neg, pos, 1)
     fitted = Boosted(real=algorithm == "SAMME.R")
     rows = cut_lineage(df.select("key", "vec", F.col("target").cast("int").alias("target"), F.lit(1.0 / (neg + pos)).alias("w")))
-    for t in range(n_estimators):
-        part = resample(rows, t) if resample else rows
-        member = tree(part, depth, weight="w", seed=seed + t)
-        y = F.col("target")
-        scored = member.score(rows, "_p")
-        miss = ((F.col("_p") > 0.5).cast("int") != y)
-        # weight held by each (class, missed) cell: at most four numbers per round
-        held = {(r["target"], r["m"]): r["s"] for r in scored.groupBy("target", miss.alias("m")).agg(F.sum("w").alias("s")).collect()}
-        err = sum(v for (_, m), v in held.items() if m) / sum(held.values())
-        if not fitted.real and err >= 0.5:
-            if not fitted.members:
-                fitted.members, fitted.alphas = [member], [1.0]
-            break
-        alpha = 1.0 if fitted.real else learning_rate * math.log((1 - max(err, TINY)) / max(err, TINY))
-        fitted.members.append(member)
-        fitted.alphas.append(alpha)
-        if err <= 0.0 or t == n_estimators - 1:
-            break
-        if fitted.real:
-            p = F.least(F.greatest(F.col("_p"), F.lit(TINY)), F.lit(1 - TINY))
-            right = F.when(y == 1, F.log(p) - F.log(F.lit(1.0) - p)).otherwise(F.log(F.lit(1.0) - p) - F.log(p))
-            rows = cut_lineage(scored.withColumn("w", F.col("w") * F.exp(F.lit(-0.5 * learning_rate) * right)).drop("_p"))
-            rows = rows.withColumn("w", F.col("w") / rows.agg(F.sum("w").alias("s")).scalar())
-            continue
-        factor = {cell: _boost_factor(alpha, *cell, rare, cost, cost_factor, class_cost) for cell in held}
-        total = sum(factor[cell] * held[cell] for cell in held)
-        f = F.lit(1.0)
-        for (label, m), v in factor.items():
-            f = F.when((y == label) & (miss == F.lit(m)), F.lit(v / total)).otherwise(f)
-        rows = scored.withColumn("w", F.col("w") * f).drop("_p")
-        if (t + 1) % REWRITE_EVERY == 0:
-            rows = cut_lineage(rows)
+    kept: list[DataFrame] = []
+    try:
+        for t in range(n_estimators):
+            part = resample(rows, t) if resample else rows
+            member = tree(part, depth, weight="w", seed=seed + t)
+            y = F.col("target")
+            scored = member.score(rows, "_p")
+            miss = ((F.col("_p") > 0.5).cast("int") != y)
+            # weight held by each (class, missed) cell: at most four numbers per round
+            held = {(r["target"], r["m"]): r["s"] for r in scored.groupBy("target", miss.alias("m")).agg(F.sum("w").alias("s")).collect()}
+            # these rows have been read whole, so nothing goes back to those of the round before
+            while len(kept) > 1:
+                kept.pop(0).unpersist()
+            err = sum(v for (_, m), v in held.items() if m) / sum(held.values())
+            if not fitted.real and err >= 0.5:
+                if not fitted.members:
+                    fitted.members, fitted.alphas = [member], [1.0]
+                break
+            alpha = 1.0 if fitted.real else learning_rate * math.log((1 - max(err, TINY)) / max(err, TINY))
+            fitted.members.append(member)
+            fitted.alphas.append(alpha)
+            if err <= 0.0 or t == n_estimators - 1:
+                break
+            if fitted.real:
+                p = F.least(F.greatest(F.col("_p"), F.lit(TINY)), F.lit(1 - TINY))
+                right = F.when(y == 1, F.log(p) - F.log(F.lit(1.0) - p)).otherwise(F.log(F.lit(1.0) - p) - F.log(p))
+                rows = cut_lineage(scored.withColumn("w", F.col("w") * F.exp(F.lit(-0.5 * learning_rate) * right)).drop("_p"))
+                rows = rows.withColumn("w", F.col("w") / rows.agg(F.sum("w").alias("s")).scalar())
+                continue
+            factor = {cell: _boost_factor(alpha, *cell, rare, cost, cost_factor, class_cost) for cell in held}
+            total = sum(factor[cell] * held[cell] for cell in held)
+            f = F.lit(1.0)
+            for (label, m), v in factor.items():
+                f = F.when((y == label) & (miss == F.lit(m)), F.lit(v / total)).otherwise(f)
+            rows = scored.withColumn("w", F.col("w") * f).drop("_p")
+            if (t + 1) % REWRITE_EVERY == 0:
+                rows = cut_lineage(rows)
+            else:
+                # a round reads its rows some five times: without this each pass scores the members since the last rewrite again
+                kept.append(rows := rows.persist(StorageLevel.MEMORY_AND_DISK))
+    finally:
+        for old in kept:
+            old.unpersist()
     return fitted
 
 
