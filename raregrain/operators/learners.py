@@ -17,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raregrain.functions.columns import sigmoid
+from raregrain.operators import binned_forest
 from raregrain.operators.packed import Group, pack
 from raregrain.operators.trials import best_trial
 from raregrain.operators.weights import with_weight
 
 MAX_TREE_DEPTH = 30  # the deepest tree MLlib grows; larger requests are clipped
+#: Draws (rows x trees) from which a forest is grown from counted bins, if there are so many rows to a bin combination; or else on rows spread evenly.
+MANY_DRAWS = 20_000_000
+ROWS_PER_CELL = 8
 
 
 FEATURES = "_fv"
@@ -103,13 +107,25 @@ def tree(df: DataFrame, depth: int = 5, criterion: str = "gini", min_rows: int =
 
 
 def random_forest(df: DataFrame, n_estimators: int = 100, max_depth: int | None = 10, max_features="auto", criterion: str = "gini",
-                  min_rows: int = 1, class_weight=None, bootstrap: bool = True, seed: int = 1000) -> Fitted:
-    """Random forest; `class_weight` is 'balanced' or a {label: weight} map."""
+                  min_rows: int = 1, class_weight=None, bootstrap: bool = True, seed: int = 1000) -> Fitted | binned_forest.BinnedForest:
+    """Random forest; `class_weight` is 'balanced' or a {label: weight} map.
+
+    MLlib looks at every row for every tree in each pass. Of many rows with few features it gets counted bins, which is the
+    same forest by other random draws.
+    """
+    depth = min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH)
     if class_weight is not None:
         df = with_weight(df, scheme=class_weight, name="w")
-    est = RandomForestClassifier(numTrees=n_estimators, maxDepth=min(max_depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH), impurity=criterion,
+    weight = "w" if class_weight is not None else None
+    if n_estimators > 1 and df.count() * n_estimators >= MANY_DRAWS:
+        # a tree's least number of rows cannot be told from cells
+        found = binned_forest.binning(df) if min_rows == 1 else None
+        if found is not None and ROWS_PER_CELL * found.most <= min(found.rows, ROWS_PER_CELL * binned_forest.MOST_CELLS):
+            return binned_forest.fit(df, found, n_estimators, depth, _subset(max_features), criterion, bootstrap, weight, seed)
+        df = df.repartition(max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
+    est = RandomForestClassifier(numTrees=n_estimators, maxDepth=depth, impurity=criterion,
                                  featureSubsetStrategy=_subset(max_features), minInstancesPerNode=min_rows, bootstrap=bootstrap, seed=seed)
-    return _fit(est, df, "w" if class_weight is not None else None)
+    return _fit(est, df, weight)
 
 
 def boosted_trees(df: DataFrame, n_estimators: int = 20, learning_rate: float = 0.1, max_depth: int = 5, subsample: float = 1.0,
