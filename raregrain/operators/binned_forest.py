@@ -59,7 +59,7 @@ class Binning:
 
     def of(self, vec: str) -> Column:
         def place(i: int, splits: list[float]) -> Column:
-            value = F.get(F.col(vec), F.lit(i)).cast("double")
+            value = F.coalesce(F.get(F.col(vec), F.lit(i)).cast("double"), F.raise_error(F.lit("a feature is null")).cast("double"))
             return F.size(F.filter(F.array(*[F.lit(float(x)) for x in splits]).cast("array<double>"), lambda t: t < value))
 
         return F.array(*[place(i, s) for i, s in enumerate(self.splits)])

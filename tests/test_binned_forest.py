@@ -70,6 +70,9 @@ def test_many_rows_have_few_cells_and_unseen_bins_get_a_score(rows, spark, count
     new = rows.unionByName(spark.createDataFrame([(-1, [99.0, 99.0, -5.0], 1)], rows.schema))
     got = model.score(new, "p")
     assert got.columns == [*rows.columns, "p"] and got.count() == 6001 and got.filter("p is null or p < 0 or p > 1").count() == 0
+    # as MLlib does, nulls stop the scoring
+    with pytest.raises(Exception, match="a feature is null"):
+        model.score(spark.createDataFrame([(-1, [1.0, None, 1.0], 1)], rows.schema), "p").collect()
 
 
 def test_thresholds(spark):
