@@ -53,3 +53,21 @@ def test_equal_rows_have_no_slope(spark):
     p = s @ t / s.sum(1)
     slope = np.where(d > 0, -s / (2 * np.where(d > 0, d, 1.0)), 0.0) * (2 * (p - t) / s.sum(1))[:, None] * (t[None] - p[:, None])
     assert list(g) == pytest.approx(list(np.einsum("ij,ijf->f", slope, gaps) / 12), rel=1e-6)
+
+
+@pytest.mark.parametrize("left, right", [(1, 1), (5, 1100), (40, 1025)])
+def test_city_block_sums_in_pieces_equal_direct_differences(left, right):
+    rng = np.random.default_rng(right)
+    a, b, w = 1e6 + rng.normal(size=(left, 7)), 1e6 + rng.normal(size=(right, 7)), np.array([1.0, 0.5, 0.0, 1.5, 2.0, -0.25, 1.0])
+    b[0] = a[0]
+    got, want = N.CityBlock(b, w).to(a), (np.abs(a[:, None] - b[None]) @ w)
+    assert got.shape == want.shape and np.abs(got - np.maximum(want, 0)).max() < 1e-8
+    assert not N.CityBlock(b, np.zeros(7)).to(a).any()
+
+
+def test_city_block_pairs_use_pieces_unless_a_value_is_not_finite(spark, monkeypatch):
+    points = np.random.default_rng(3).normal(size=(20, 2))
+    sides = [N._right_of(points, points, 1.0, np.ones(2))]
+    points[3, 1] = np.inf
+    sides.append(N._right_of(points, points, 1.0, np.ones(2)))
+    assert isinstance(sides[0], N.CityBlock) and sides[1] is None
