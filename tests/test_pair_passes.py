@@ -71,3 +71,34 @@ def test_city_block_pairs_use_pieces_unless_a_value_is_not_finite(spark, monkeyp
     points[3, 1] = np.inf
     sides.append(N._right_of(points, points, 1.0, np.ones(2)))
     assert isinstance(sides[0], N.CityBlock) and sides[1] is None
+
+
+def test_registered_selection_runs_every_round(spark, monkeypatch):
+    from raregrain.catalog import models
+    made = []
+
+    class Seen(WeightedKnnSelector):
+        def _descend(self, df, start, rounds):
+            made.append(rounds)
+            return start
+
+    monkeypatch.setattr(models, "WeightedKnnSelector", Seen)
+    monkeypatch.setattr(models, "vecs", lambda spark, sf: frame(spark, np.random.default_rng(4).normal(size=(8, 5))))
+    rows = models.weighted_selection(spark, "").collect()
+    assert made == [1000, 300] and len(rows) == 8 and {r["width"] for r in rows} == {4}
+
+
+def test_rounds_in_one_task_equal_rounds_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    df = frame(spark, rng.normal(size=(70, 3)))
+    how = dict(kernel="exp", data_type="float64", n_iters=4, apply_weights=True, n_iters_weights=2, lambda0=0.0)
+    one, many = (WeightedKnnSelector(2, rows_per_block=n, **how).fit(df) for n in (1024, 4))
+    assert list(one.weights) == pytest.approx(list(many.weights), rel=1e-9) and one.error == pytest.approx(many.error, rel=1e-9)
+    assert list(one.final_weights) == pytest.approx(list(many.final_weights), rel=1e-9) and one.weights.any()
+
+
+def test_weights_that_all_vanish_leave_empty_vectors(spark):
+    df = frame(spark, np.random.default_rng(6).normal(size=(30, 3)))
+    fitted = WeightedKnnSelector(2, n_iters=60, n_iters_weights=2, kernel="exp", data_type="float64", lambda1=100.0, apply_weights=True).fit(df)
+    assert not fitted.weights.any() and fitted.selected == fitted.final_selected == []
+    assert [r["vec"] for r in fitted.transform(df).select("vec").collect()] == [[]] * 30
