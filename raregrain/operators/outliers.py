@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import doubles, hash32
 from raregrain.operators.level_trees import path_sums
-from raregrain.operators.neighbours import WIDER, _spread, distances, edges, knn, pack, pack_rows, pair_sums, power_sums, stream_past
+from raregrain.operators.neighbours import WIDER, _as_matrix, _right_side, _spread, distances, edges, knn, pack, pack_rows, pair_sums, power_sums, stream_past
 from raregrain.operators.ranking import exact_quantile, hash_bucket, hash_rank, order_statistic, running_sums, take_hashed, value_borders, value_bucket
 from raregrain.session import cut_lineage, join_by_key
 
@@ -275,10 +275,14 @@ def sod(df: DataFrame, near: DataFrame, key: str = "key", vec: str = "vec", size
     return both.select(F.col("key").alias(key), F.coalesce(F.try_divide(F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x)), n.cast("double")), F.lit(0.0)).alias("score"))
 
 
-#: Bisection steps that one pass over all pairs looks ahead.
-AHEAD = 3
-#: Weights below e^-NO_WEIGHT are not added to sums that hold a 1: a trillion of them are less than its rounding.
-NO_WEIGHT = 70.0
+#: Nearest rows from which a fall-off is guessed (at least that many times the perplexity), and moments that a pass adds up around one.
+NEAREST, NEAREST_TIMES, MOMENTS = 32, 4, 8
+#: Weights below e^-NO_WEIGHT / rows are not added to sums that hold a 1: all of them together are less than its rounding.
+NO_WEIGHT = 40.0
+#: Share of a sum that the moments left out may make up, and how far from its centre a series is used at all.
+TOLERANCE, REACH = 1e-12, 0.3
+#: Rounding of a squared distance, as a share of the vectors' squares.
+ROUNDING = 1e-12
 
 
 def _children(beta: np.ndarray, lo: np.ndarray, hi: np.ndarray, high: np.ndarray):
@@ -287,12 +291,108 @@ def _children(beta: np.ndarray, lo: np.ndarray, hi: np.ndarray, high: np.ndarray
     return np.where(np.isinf(hi), beta * 2, (lo + np.where(np.isinf(hi), 0.0, hi)) / 2), lo, hi
 
 
-def _ahead(beta: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """rows x (2^AHEAD - 1): every beta that the next steps may ask for, in heap order."""
-    states = [(beta, lo, hi)]
-    for i in range(2 ** (AHEAD - 1) - 1):
-        states += [_children(*states[i], np.full(len(beta), high)) for high in (True, False)]
-    return np.stack([x[0] for x in states], axis=1)
+def _weights_at(moments: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of weights and their entropy at the fall-off centre * (1 + r), from the moments about the centre (see `_moments_of`)."""
+    s, t = np.zeros(len(r)), np.zeros(len(r))
+    for k in range(MOMENTS - 1, -1, -1):
+        s, t = s * -r + moments[:, k], t * -r + (k + 1) * moments[:, k + 1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return s, np.log(s) + (1 + r) * t / s
+
+
+def _moments_of(y: np.ndarray, cut: float) -> np.ndarray:
+    """Rows x (MOMENTS + 1): sums of e^-y y^k / k! over each row of y, which is written over; terms with y above `cut` may be left out."""
+    out = np.empty((len(y), MOMENTS + 1))
+    # a NaN is let through, so that it shows in the sums
+    near = np.flatnonzero(~(y >= cut))
+    if len(near) * 8 < y.size:
+        i, y = near // y.shape[1], y.ravel()[near]
+        e = np.exp(-y)
+        for k in range(MOMENTS + 1):
+            out[:, k] = np.bincount(i, e, len(out))
+            e *= y
+            e /= k + 1
+        return out
+    np.minimum(y, 1e6, out=y)
+    e = np.exp(-y)
+    for k in range(MOMENTS + 1):
+        e.sum(axis=1, out=out[:, k])
+        e *= y
+        out[:, k] /= math.factorial(k)
+    return out
+
+
+def _first_centres(near: np.ndarray, goal: float, eps: float, last: float) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, low) from each row's sorted nearest squared distances less the first: the fall-off whose entropy among them is the goal.
+
+    Rows with so many equal nearest that no fall-off gets there have `last` and no upper end of `low`, up to which the entropy is too high.
+    """
+    known = np.isfinite(near)
+    x = np.where(known, near, 0.0)
+    far = np.maximum(x.max(axis=1, initial=0.0), 1e-300)
+    x, copies = x / far[:, None], (known & (x == 0)).sum(axis=1)
+    lo, hi = np.full(len(x), -14.0), np.full(len(x), 37.0)
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        b = np.exp(mid)[:, None]
+        a = np.exp(-x * b) * known
+        s = a.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            high = np.log(s) + (a * x * b).sum(axis=1) / s > goal
+        lo, hi = np.where(high, mid, lo), np.where(high, hi, mid)
+    never = np.log(np.maximum(copies, 1)) >= goal + eps
+    with np.errstate(over="ignore"):
+        centre = np.minimum(np.exp(hi) / far, last)
+    return np.where(never, last, centre), np.where(never, np.inf, 0.0)
+
+
+def _walked(state: dict, moments: np.ndarray, goal: float, eps: float, tries: int, late: bool) -> None:
+    """Takes each live row's bisection on as far as the moments about its centre tell, and sets the next centres.
+
+    Entropy falls with the fall-off: what is known to be too high at `low` is so below it, and too low above `high`. Between them a step is taken
+    where the series is exact to `TOLERANCE`. A row stops at its first step within `eps` of the goal, or its last one.
+    """
+    live = np.flatnonzero(state["total"] == 0)
+    m, centre = moments[live], state["centre"][live]
+    # the nearest row alone has a weight of 1
+    broken = ~(m[:, 0] >= 0.5)
+    state["total"][live[broken]] = np.nan
+    live, m, centre = live[~broken], m[~broken], centre[~broken]
+    with np.errstate(divide="ignore"):
+        reach = np.minimum((TOLERANCE * m[:, 0] / (MOMENTS * m[:, -1])) ** (1 / (MOMENTS - 1)), REACH)
+    for r in (-reach, np.zeros(len(live)), reach):
+        at, entropy = centre * (1 + r), _weights_at(m, r)[1]
+        state["low"][live] = np.where(entropy >= goal + eps, np.maximum(state["low"][live], at), state["low"][live])
+        state["high"][live] = np.where(entropy <= goal - eps, np.minimum(state["high"][live], at), state["high"][live])
+    going = np.arange(len(live))
+    while len(going):
+        rows = live[going]
+        beta, tried = state["beta"][rows], state["tried"][rows]
+        r = beta / centre[going] - 1
+        inside = np.abs(r) <= reach[going]
+        s, entropy = _weights_at(m[going], np.where(inside, r, 0.0))
+        end = inside & ((np.abs(entropy - goal) < eps) | (tried == tries - 1))
+        state["total"][rows[end]] = s[end]
+        above, below = beta <= state["low"][rows], beta >= state["high"][rows]
+        on = ~end & (inside | (above | below) & (tried < tries - 1))
+        rows, going, high = rows[on], going[on], np.where(inside, entropy > goal, above)[on]
+        for name, x in zip(("beta", "lo", "hi"), _children(state["beta"][rows], state["lo"][rows], state["hi"][rows], high)):
+            state[name][rows] = x
+        state["tried"][rows] += 1
+    left = state["total"][live] == 0
+    live, m, centre = live[left], m[left], centre[left]
+    # where the series puts the goal; it only has to come close
+    a, b = np.full(len(live), -REACH), np.full(len(live), REACH)
+    for _ in range(30):
+        mid = (a + b) / 2
+        above = _weights_at(m, mid)[1] > goal
+        a, b = np.where(above, mid, a), np.where(above, b, mid)
+    next_, low, high = centre * (1 + (a + b) / 2), state["low"][live], state["high"][live]
+    with np.errstate(invalid="ignore"):
+        between = np.where(np.isinf(high), 2 * np.maximum(low, centre), (low + high) / 2)
+    next_ = np.where((next_ > low) & (next_ < high), next_, between)
+    # the step itself, if that takes long or nothing lies between
+    state["centre"][live] = np.where(np.isfinite(next_) & ~late, next_, state["beta"][live])
 
 
 def _in_tiles(block: dict, run, rows: int = 64) -> list:
@@ -316,9 +416,10 @@ def _row_sums(blocks: DataFrame, others: DataFrame, run) -> DataFrame:
 def sos(df: DataFrame, key: str = "key", vec: str = "vec", perplexity: float = 4.5, eps: float = 1e-5, tries: int = 100, rows_per_block: int = 1024) -> DataFrame:
     """Probability that no other row binds to this one; every row has an affinity to all others.
 
-    A row's fall-off is bisected until the entropy of its affinities is the log of the perplexity. All rows take their
-    steps together: a pass over the block pairs sums weights and weighted distances at every fall-off that the next
-    steps may ask for, and rows that are done drop out. The last pass adds up log(1 - binding probability) of each row.
+    A row's fall-off is bisected until the entropy of its affinities is the log of the perplexity. The entropy of its nearest rows
+    tells about where that is; a pass over the block pairs adds up moments of all weights about there, from which the steps follow
+    to rounding. Rows whose steps are not all known get another pass about a better place. The last pass adds up
+    log(1 - binding probability) of each row.
     Equal rows have a distance of 0 and bind to each other like any; a row alone scores 1.
     """
     kind = dict(df.dtypes)[key]
@@ -329,92 +430,107 @@ def sos(df: DataFrame, key: str = "key", vec: str = "vec", perplexity: float = 4
         return df.select(key, F.lit(1.0).alias("score"))
     blocks, parts = pack_rows(rows, key, ["v"], rows_per_block)
 
+    cut, nearest, last = NO_WEIGHT + math.log(n), max(NEAREST, int(NEAREST_TIMES * perplexity)), 2.0 ** (tries - 1)
+
     def squares(left, right, live):
-        a, b = (np.asarray(s["v"], dtype=float).reshape(len(s["keys"]), -1) for s in (left, right))
-        d = power_sums(a[live], b, 2.0, np.ones(a.shape[1]))
+        a, b = (_as_matrix(s["v"], len(s["keys"])) for s in (left, right))
+        if "side" not in right:
+            right["side"] = _right_side(b, np.ones(b.shape[1]))
+        a = a[live]
+        d = power_sums(a, b, 2.0, np.ones(a.shape[1]), right["side"])
+        # what cancels is taken from the differences, so that equal rows are at 0
+        tiny = 1e-10 * (a * a).sum(axis=1).max(initial=0.0)
+        if d.size and d.min() <= tiny:
+            i, j = np.nonzero(d <= tiny)
+            d[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
         if left["part"] == right["part"]:
             d[np.asarray(left["keys"])[live][:, None] == np.asarray(right["keys"])[None, :]] = np.inf
         return d
 
-    # nearest distance first: weights are taken relative to it, so that none of them vanishes
-    low = stream_past(blocks, blocks, lambda l, r, held: np.concatenate(_in_tiles(l, lambda some: squares(some, r, np.arange(len(some["keys"]))).min(1))), np.minimum,
-                      lambda l, held: pd.DataFrame({"part": [l["part"]], "low": [held]}), "part int, low array<double>")
-    lows = low.groupBy("part").agg(F.collect_list("low").alias("lows"))
-    arrays = "m array<double>, beta array<double>, lo array<double>, hi array<double>, total array<double>, left int"
+    def closest(l, r, held):
+        """Each row's nearest squared distances so far, in order."""
+        def of_rows(some, own):
+            d = squares(some, r, np.arange(len(some["keys"])))
+            new = np.flatnonzero(d.min(axis=1) < own[:, -1])
+            d = d[new]
+            if d.shape[1] > nearest:
+                d = np.partition(d, nearest - 1, axis=1)[:, :nearest]
+            own[new] = np.sort(np.concatenate([own[new], d], axis=1), axis=1)[:, :nearest]
+            return own
+        held = np.full((len(l["keys"]), nearest), np.inf) if held is None else held
+        return np.concatenate([of_rows(some, own) for some, own in zip(_in_tiles(l, lambda some: some), np.split(held, range(64, len(held), 64)))])
+
+    # nearest distances first: weights are taken relative to the nearest one, so that none of them vanishes
+    low = stream_past(blocks, blocks, closest, lambda held, new: new, lambda l, held: pd.DataFrame({"part": [l["part"]], "low": [held.ravel()], "size": [(_as_matrix(l["v"], len(held)) ** 2).sum(axis=1)]}),
+                      "part int, low array<double>, size array<double>")
+    lows = low.groupBy("part").agg(F.collect_list("low").alias("lows"), F.first("size").alias("size"))
+    names = ["m", "same", "centre", "low", "high", "beta", "lo", "hi", "tried", "total"]
+    arrays = ", ".join(f"{c} array<double>" for c in names) + ", left int"
+
+    def state_row(part, state: dict) -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], **{c: [state[c]] for c in names}, "left": [int((state["total"] == 0).sum())]})
 
     def start(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                m = np.min([np.asarray(x) for x in r.lows], axis=0)
-                one = np.ones(len(m))
-                yield pd.DataFrame({"part": [r.part], "m": [m], "beta": [one], "lo": [one * 0], "hi": [one * np.inf], "total": [one * 0], "left": [len(m)]})
+                near = np.sort(np.concatenate([np.asarray(x).reshape(-1, nearest) for x in r.lows], axis=1), axis=1)[:, :nearest]
+                one, m = np.ones(len(near)), near[:, 0]
+                # nearer to each other than this two distances are equal but for rounding
+                same = ROUNDING * (np.asarray(r.size) + m)
+                with np.errstate(invalid="ignore"):
+                    x = near - m[:, None]
+                    x[x < same[:, None]] = 0.0
+                    centre, bottom = _first_centres(x, goal, eps, last)
+                yield state_row(r.part, {"m": m, "same": same, "centre": centre, "low": bottom, "high": one * np.inf, "beta": one, "lo": one * 0, "hi": one * np.inf, "tried": one * 0, "total": one * 0})
 
     state = cut_lineage(lows.mapInPandas(start, f"part int, {arrays}"))
-    width = 2 * (2 ** AHEAD - 1)
+
+    def scaled(d, m, beta, same):
+        """Fall-off times distance beyond the nearest; rounding is taken off where a fall-off is so steep that it would show."""
+        d -= m
+        if (beta * same > 1e-6).any():
+            d[d < same] = 0.0
+        d *= beta
+        return d
 
     def weigh(left, right):
-        m, beta, lo, hi, total = (np.asarray(left[c], dtype=float) for c in ("m", "beta", "lo", "hi", "total"))
-        out, live = np.zeros((len(m), width)), np.flatnonzero(total == 0)
-        if not len(live):
-            return out
-        d = squares(left, right, live)
-        d -= m[live, None]
-        b = _ahead(beta[live], lo[live], hi[live])
-        # a row's nearest has weight 1, so all weights below e^-NO_WEIGHT together are lost in its rounding
-        least = b.min(axis=1)
-        i, j = np.nonzero(d * least[:, None] < NO_WEIGHT)
-        if len(i) * 4 < d.size:
-            x = d[i, j]
-            for k in range(width // 2):
-                a = np.exp(-x * b[i, k])
-                out[live, 2 * k], out[live, 2 * k + 1] = np.bincount(i, a, len(live)), np.bincount(i, x * a, len(live))
-            return out
-        finite = np.where(np.isinf(d), 0.0, d)
-        for k in range(width // 2):
-            a = np.exp(-d * b[:, k, None])
-            out[live, 2 * k], out[live, 2 * k + 1] = a.sum(1), np.einsum("ij,ij->i", finite, a)
+        m, same, centre, total = (np.asarray(left[c], dtype=float) for c in ("m", "same", "centre", "total"))
+        out, live = np.zeros((len(m), MOMENTS + 1)), np.flatnonzero(total == 0)
+        if len(live):
+            out[live] = _moments_of(scaled(squares(left, right, live), m[live, None], centre[live, None], same[live, None]), cut)
         return out
 
-    def step(last: bool):
+    def step(late: bool):
         def walk(batches):
             for batch in batches:
                 for r in batch.itertuples(index=False):
-                    beta, lo, hi, total = (np.array(getattr(r, c), dtype=float) for c in ("beta", "lo", "hi", "total"))
-                    sums = np.sum([np.asarray(x) for x in r.sums], axis=0).reshape(len(beta), -1)
-                    live, at = np.flatnonzero(total == 0), np.zeros(len(beta), int)
-                    for depth in range(AHEAD):
-                        s, t = sums[live, 2 * at[live]], sums[live, 2 * at[live] + 1]
-                        entropy = np.log(s) + beta[live] * t / s
-                        done = np.abs(entropy - goal) < eps
-                        if last and depth == AHEAD - 1:
-                            done[:] = True
-                        total[live[done]] = s[done]
-                        live, high = live[~done], (entropy > goal)[~done]
-                        beta[live], lo[live], hi[live] = _children(beta[live], lo[live], hi[live], high)
-                        at[live] = 2 * at[live] + np.where(high, 1, 2)
-                    yield pd.DataFrame({"part": [r.part], "m": [r.m], "beta": [beta], "lo": [lo], "hi": [hi], "total": [total], "left": [int((total == 0).sum())]})
+                    now = {c: np.array(getattr(r, c), dtype=float) for c in names}
+                    _walked(now, np.sum([np.asarray(x) for x in r.sums], axis=0).reshape(len(now["m"]), -1), goal, eps, tries, late)
+                    yield state_row(r.part, now)
         return walk
 
-    passes = math.ceil(tries / AHEAD)
-    for i in range(passes):
-        asked = cut_lineage(_spread(blocks.join(state.filter(F.col("left") > 0), "part").select("part", "keys", "v", "m", "beta", "lo", "hi", "total")))
-        sums = _row_sums(asked, blocks, weigh)
-        new = sums.join(state, "part").mapInPandas(step(i == passes - 1), f"part int, {arrays}")
+    # a late pass takes at least one step of every row
+    passes = 0
+    while state.filter(F.col("left") > 0).limit(1).count():
+        asked = cut_lineage(_spread(blocks.join(state.filter(F.col("left") > 0), "part").select("part", "keys", "v", "m", "same", "centre", "total")))
+        new = _row_sums(asked, blocks, weigh).join(state, "part").mapInPandas(step(passes >= 12), f"part int, {arrays}")
         state = cut_lineage(new.unionByName(state.filter(F.col("left") == 0)))
-        if state.filter(F.col("left") > 0).limit(1).count() == 0:
-            break
+        passes += 1
+        if passes > 12 + tries:
+            raise RuntimeError("the entropies of some rows are not found")
 
     def miss(left, right):
         """Sums for the rows of the left block over the binding rows of the right one."""
-        d = squares(right, left, np.arange(len(right["keys"])))
-        m, beta, total = (np.asarray(right[c], dtype=float)[:, None] for c in ("m", "beta", "total"))
-        i, j = np.nonzero((d - m) * beta < NO_WEIGHT)
-        if len(i) * 4 < d.size:
-            each = np.exp(-(d[i, j] - m[i, 0]) * beta[i, 0]) / total[i, 0]
-            return np.bincount(j, np.log1p(-np.minimum(each, 1 - 1e-15)), d.shape[1])[:, None]
-        return np.log1p(-np.minimum(np.exp(-(d - m) * beta) / total, 1 - 1e-15)).sum(0)[:, None]
-
-    missed = _row_sums(blocks, cut_lineage(_spread(blocks.join(state.drop("left"), "part"))), miss)
+        m, same, beta, total = (np.asarray(right[c], dtype=float) for c in ("m", "same", "beta", "total"))
+        y = scaled(squares(left, right, np.arange(len(left["keys"]))), m, beta, same)
+        near = np.flatnonzero(~(y >= cut))
+        if len(near) * 8 < y.size:
+            i, j = np.divmod(near, y.shape[1])
+            each = np.exp(-y.ravel()[near]) / total[j]
+            return np.bincount(i, np.log1p(-np.minimum(each, 1 - 1e-15)), len(y))[:, None]
+        return np.log1p(-np.minimum(np.exp(-y) / total, 1 - 1e-15)).sum(axis=1)[:, None]
+
+    missed = _row_sums(blocks, cut_lineage(_spread(blocks.join(state.select("part", "m", "same", "beta", "total"), "part"))), miss)
 
     def scored(batches):
         for batch in batches:

@@ -92,3 +92,26 @@ def test_covariance_equals_plain_version_on_clean_rows(spark):
     d = x - mean
     want = ((d @ np.linalg.inv(cov)) * d).sum(1)
     assert np.corrcoef(want, [got[i] for i in range(400)])[0, 1] > 0.999
+
+
+@pytest.mark.parametrize("nearest", [32, 5])
+def test_affinities_take_few_passes_from_any_first_guess(spark, monkeypatch, nearest):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((300, 20))
+    # more equal rows than the perplexity: no fall-off gets down to it
+    x[:7] = x[0]
+    passes, inner = [], O._row_sums
+    monkeypatch.setattr(O, "_row_sums", lambda *a: passes.append(1) or inner(*a))
+    monkeypatch.setattr(O, "NEAREST", nearest)
+    monkeypatch.setattr(O, "NEAREST_TIMES", 1 if nearest == 5 else 4)
+    got = dict(O.sos(frame(spark, x), rows_per_block=8).select("key", "score").collect())
+    want = brute_sos(x)
+    assert max(abs(got[i] - want[i]) for i in range(300)) < 1e-9
+    # five nearest tell little about where to look
+    assert len(passes) <= (4 if nearest == 32 else 10)
+
+
+def test_a_missing_element_shows_in_all_affinities(spark):
+    x = np.random.default_rng(12).standard_normal((9, 2))
+    x[4, 1] = np.nan
+    assert [r["score"] for r in O.sos(frame(spark, x)).collect()] == [None] * 9
