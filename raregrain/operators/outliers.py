@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.columns import doubles, hash32
 from raregrain.operators.level_trees import path_sums
-from raregrain.operators.neighbours import WIDER, _as_matrix, _right_side, _spread, distances, edges, knn, pack, pack_rows, pair_sums, power_sums, stream_past
+from raregrain.operators.neighbours import WIDER, _as_matrix, _right_side, _spread, distances, edges, knn, pack_rows, power_sums, stream_past
 from raregrain.operators.ranking import exact_quantile, hash_bucket, hash_rank, order_statistic, running_sums, take_hashed, value_borders, value_bucket
 from raregrain.session import cut_lineage, join_by_key
 
@@ -540,57 +540,119 @@ def sos(df: DataFrame, key: str = "key", vec: str = "vec", perplexity: float = 4
     return missed.join(blocks.select("part", "keys"), "part").mapInPandas(scored, f"{key} {kind}, score double")
 
 
+def _square_of(x: float) -> float:
+    """The largest number whose square root is x or less, so that distances need no roots to be compared."""
+    if not x >= 0:
+        return -1.0
+    z = x * x
+    while math.isfinite(z) and math.sqrt(np.nextafter(z, math.inf)) <= x:
+        z = float(np.nextafter(z, math.inf))
+    while math.sqrt(z) > x:
+        z = float(np.nextafter(z, -math.inf))
+    return z
+
+
+def _within(d: np.ndarray, bars: list[float], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row and each column of a matrix, sums of the other side's columns over its cells up to each bar: (rows, bars, width) and (columns, bars, width).
+
+    `left` and `right` are (rows or columns, bars or 1, width). Bars with few cells below are added up cell by cell.
+    """
+    low, high, width = d.min(), d.max(), right.shape[2]
+    rows, columns = np.zeros((len(d), len(bars), width)), np.zeros((d.shape[1], len(bars), width))
+    cells = None
+    for at in sorted(range(len(bars)), key=lambda i: bars[i]):
+        bar, mine, theirs = bars[at], left[:, at % left.shape[1]], right[:, at % right.shape[1]]
+        if low > bar:
+            continue
+        if high <= bar:
+            rows[:, at], columns[:, at] = theirs.sum(axis=0), mine.sum(axis=0)
+            continue
+        hit = d <= bar
+        if np.count_nonzero(hit) * 64 < d.size:
+            cells = np.flatnonzero(hit)
+            i, j = np.divmod(cells, d.shape[1])
+            for k in range(width):
+                rows[:, at, k], columns[:, at, k] = np.bincount(i, theirs[j, k], len(d)), np.bincount(j, mine[i, k], d.shape[1])
+            continue
+        hit = hit.astype(float)
+        rows[:, at], columns[:, at] = hit @ theirs, (mine.T @ hit).T
+    return rows, columns
+
+
 def loci(df: DataFrame, key: str = "key", vec: str = "vec", alpha: float = 0.5, radii: list[float] | None = None,
          least: int = 20, rows_per_block: int = 1024) -> DataFrame:
-    """Largest deviation of a row's local count from its neighbourhood's, over several radii."""
+    """Largest deviation of a row's local count from its neighbourhood's, over several radii.
+
+    Two blocks meet once for the rows of both in each of three passes: the mean distance, counts, and sums of the neighbours' counts.
+    """
+    rows = df.select(key, F.col(vec).cast("array<double>").alias("v"))
+    blocks, _ = pack_rows(rows, key, ["v"], rows_per_block, flat="v")
+
+    def tiles(l, r, size: int = 32):
+        """(rows of l, their squared distances to r, which of these are of one key or None)."""
+        a, b = _as_matrix(l["v"], len(l["keys"])), _as_matrix(r["v"], len(r["keys"]))
+        w, lk, rk = np.ones(b.shape[1]), np.asarray(l["keys"]), np.asarray(r["keys"])
+        side = _right_side(b, w)
+        for i in range(0, len(a), size):
+            some = slice(i, i + size)
+            yield some, power_sums(a[some], b, 2.0, w, side), lk[some, None] == rk[None, :] if l["part"] == r["part"] else None
+
     if radii is None:
-        blocks, parts = pack(df.withColumn("_y", F.lit(0.0)), key, vec, "_y", rows_per_block)
-        dims = len(df.select(vec).first()[0])
-        mean = pair_sums(blocks, parts, np.ones(dims)).agg(F.sum("dist") / F.sum("n")).first()[0]
+        def gaps(l, r, held):
+            s = n = 0
+            for _, d, same in tiles(l, r):
+                if same is not None:
+                    d[same] = 0.0
+                s, n = s + np.sqrt(d, out=d).sum(), n + d.size - (0 if same is None else np.count_nonzero(same))
+            # a block with itself has every pair twice
+            twice = 1 if l["part"] == r["part"] else 2
+            return np.array([twice * s, twice * n]), None
+
+        each = stream_past(blocks, blocks, gaps, lambda held, new: held + new, lambda l, held: pd.DataFrame({"s": [held[0]], "n": [held[1]]}),
+                           "s double, n double", mutual=["part"])
+        mean = each.agg(F.sum("s") / F.sum("n")).first()[0]
         radii = [mean * s for s in (0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.4)]
     r = np.array(radii)
     kind = dict(df.dtypes)[key]
     cols = range(len(r))
 
-    def total(frame: DataFrame, names: list[str]) -> DataFrame:
-        return frame.groupBy("key").agg(*[F.array(*[F.sum(F.col(n)[i]) for i in cols]).alias(n) for n in names])
-
-    def over_pairs(blocks: DataFrame, run, schema: str) -> DataFrame:
-        """run(block, other) gives arrays rows x radii by name; added up over all blocks that stream past a block."""
+    def over_pairs(blocks: DataFrame, names: list[str], bars: list[float], columns) -> DataFrame:
+        """Per key, arrays over the bars by name: sums of `columns(block)` (rows x bars or 1 x names) over the rows within each bar."""
         def one(l, r, held):
-            tiles = _in_tiles(l, lambda some: run(some, r))
-            return {n: np.concatenate([t[n] for t in tiles]) for n in tiles[0]}
+            left, right = columns(l), columns(r)
+            own, back = [], np.zeros((len(r["keys"]), len(bars), len(names)))
+            for some, d, same in tiles(l, r):
+                if same is not None:
+                    d[same] = 0.0
+                mine, theirs = _within(d, bars, left[some], right)
+                own.append(mine)
+                back += theirs
+            return np.concatenate(own), None if l["part"] == r["part"] else back
+
+        def done(l, held):
+            return pd.DataFrame({"part": [l["part"]], "sums": [held.ravel()]})
+
+        def by_key(batches):
+            for batch in batches:
+                for block in batch.itertuples(index=False):
+                    # equal keys are in one block
+                    code, found = pd.factorize(pd.Series(list(block.keys)))
+                    sums = np.zeros((len(found), len(bars), len(names)))
+                    np.add.at(sums, code[code >= 0], np.sum([np.asarray(x) for x in block.sums], axis=0).reshape(len(code), len(bars), -1)[code >= 0])
+                    yield pd.DataFrame({"key": found, **{n: list(sums[:, :, k]) for k, n in enumerate(names)}})
 
-        return stream_past(blocks, blocks, one, lambda held, new: {n: x + new[n] for n, x in held.items()},
-                           lambda l, held: pd.DataFrame({"key": l["keys"], **{n: list(x) for n, x in held.items()}}), schema)
+        part = stream_past(blocks, blocks, one, lambda held, new: held + new, done, "part int, sums array<double>", mutual=["part"])
+        added = part.groupBy("part").agg(F.collect_list("sums").alias("sums")).join(blocks.select("part", "keys"), "part")
+        return added.mapInPandas(by_key, f"key {kind}, " + ", ".join(f"{n} array<double>" for n in names))
 
-    def within(left, right):
-        a, b = (np.asarray(s["v"], dtype=float).reshape(len(s["keys"]), -1) for s in (left, right))
-        d = distances(a, b)
-        if left["part"] == right["part"]:
-            d[np.asarray(left["keys"])[:, None] == np.asarray(right["keys"])[None, :]] = 0.0
-        return d
+    counts = cut_lineage(over_pairs(blocks, ["n"], [_square_of(alpha * x) for x in r], lambda b: np.ones((len(b["keys"]), 1, 1))))
 
-    def count_near(left, right):
-        d = within(left, right)
-        return {"n": np.stack([np.count_nonzero(d <= alpha * x, axis=1) for x in r], axis=1).astype(float)}
+    def moments(block):
+        n = np.asarray(block["n"], dtype=float).reshape(len(block["keys"]), -1)
+        return np.stack([np.ones(n.shape), n, n * n], axis=2)
 
-    rows = df.select(key, F.col(vec).cast("array<double>").alias("v"))
-    blocks, parts = pack_rows(rows, key, ["v"], rows_per_block)
-    counts = cut_lineage(total(over_pairs(blocks, count_near, f"key {kind}, n array<double>"), ["n"]))
-
-    def moments(left, right):
-        d, n = within(left, right), np.asarray(right["n"], dtype=float).reshape(len(right["keys"]), -1)
-        c, s, q = [], [], []
-        for i, x in enumerate(r):
-            hit = (d <= x).astype(float)
-            both = hit @ np.stack([np.ones(len(n)), n[:, i], n[:, i] ** 2], axis=1)
-            for name, at in ((c, 0), (s, 1), (q, 2)):
-                name.append(both[:, at])
-        return {"c": np.stack(c, axis=1), "s": np.stack(s, axis=1), "q": np.stack(q, axis=1)}
-
-    blocks, parts = pack_rows(rows.withColumnRenamed(key, "key").join(counts, "key"), "key", ["v", "n"], rows_per_block)
-    m = total(over_pairs(blocks, moments, f"key {kind}, c array<double>, s array<double>, q array<double>"), ["c", "s", "q"])
+    blocks, _ = pack_rows(rows.withColumnRenamed(key, "key").join(counts, "key"), "key", ["v", "n"], rows_per_block, flat="v")
+    m = over_pairs(blocks, ["c", "s", "q"], [_square_of(x) for x in r], moments)
     ratios = []
     for i in cols:
         c, s, q, n = F.col("c")[i], F.col("s")[i], F.col("q")[i], F.col("n")[i]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raregrain.operators import neighbours as N
+from raregrain.operators import outliers as O
 from raregrain.operators import wknn
 from raregrain.operators.wknn import WeightedKnnSelector
 
@@ -102,3 +103,42 @@ def test_weights_that_all_vanish_leave_empty_vectors(spark):
     fitted = WeightedKnnSelector(2, n_iters=60, n_iters_weights=2, kernel="exp", data_type="float64", lambda1=100.0, apply_weights=True).fit(df)
     assert not fitted.weights.any() and fitted.selected == fitted.final_selected == []
     assert [r["vec"] for r in fitted.transform(df).select("vec").collect()] == [[]] * 30
+
+
+def test_sums_within_bars_count_for_rows_and_columns():
+    rng = np.random.default_rng(7)
+    d, left, right = rng.random((40, 300)), rng.normal(size=(40, 1, 2)), rng.normal(size=(300, 1, 2))
+    # none, a few cells, many, all; out of order
+    bars = [0.5, -1.0, 2.0, 0.001]
+    rows, columns = O._within(d, bars, left, right)
+    for k, bar in enumerate(bars):
+        assert np.allclose(rows[:, k], (d <= bar) @ right[:, 0]) and np.allclose(columns[:, k], (d <= bar).T @ left[:, 0])
+
+
+def test_squares_are_compared_as_their_roots():
+    for x in (0.0, 1e-200, 0.1, 0.7, 1.4142135623730951, 3.0, 1e150, -1.0):
+        z = O._square_of(x)
+        assert z == -1.0 if x < 0 else np.sqrt(z) <= x < np.sqrt(np.nextafter(z, np.inf))
+
+
+def test_integral_passes_meet_two_blocks_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, keys = rng.normal(size=(120, 3)), np.arange(120)
+    keys[110:] = keys[:10]
+    seen = []
+    inner = O.stream_past
+    monkeypatch.setattr(O, "stream_past", lambda *a, **k: seen.append(inner(*a, **k)) or seen[-1])
+    got = {}
+    for r in O.loci(frame(spark, x, keys=keys), rows_per_block=2).collect():
+        got[r["key"]] = r["score"]
+    assert len(seen) == 3 and all("l_part" in f._jdf.queryExecution().executedPlan().toString().split("CartesianProduct")[1].split("\n")[0] for f in seen)
+    # as before, rows of one key are at 0 from each other and add up
+    apart, of = keys[:, None] != keys[None], (keys[:, None] == keys[None]).astype(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) * apart
+    mean, best = d.sum() / apart.sum(), np.full(120, -np.inf)
+    for radius in mean * np.array([0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.4]):
+        n, hit = of @ (d <= 0.5 * radius).sum(1), (d <= radius).astype(float)
+        c, s, q = (of @ (hit @ v) for v in (np.ones(120), n, n * n))
+        spread = np.sqrt(np.maximum(q / c - (s / c) ** 2, 0))
+        best = np.where((c >= 20) & (spread > 0), np.maximum(best, (s / c - n) / np.where(spread > 0, spread, 1)), best)
+    assert len(got) == 110 and all(got[k] == pytest.approx(b if np.isfinite(b) else 0.0, abs=1e-9) for k, b in zip(keys, best))
