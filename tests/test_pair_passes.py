@@ -142,3 +142,20 @@ def test_integral_passes_meet_two_blocks_once(spark, monkeypatch):
         spread = np.sqrt(np.maximum(q / c - (s / c) ** 2, 0))
         best = np.where((c >= 20) & (spread > 0), np.maximum(best, (s / c - n) / np.where(spread > 0, spread, 1)), best)
     assert len(got) == 110 and all(got[k] == pytest.approx(b if np.isfinite(b) else 0.0, abs=1e-9) for k, b in zip(keys, best))
+
+
+@pytest.mark.parametrize("metric, p", [("euclidean", 2.0), ("cityblock", 1.0)])
+def test_search_starts_from_bounds_of_the_own_block(spark, monkeypatch, metric, p):
+    points = np.random.default_rng(9).normal(size=(160, 3)).round(1)
+    seen = []
+    inner = N.stream_past
+    monkeypatch.setattr(N, "stream_past", lambda left, *a, **k: seen.append(left) or inner(left, *a, **k))
+    got = {r["key"]: r["nn"] for r in N.knn(frame(spark, points), None, 3, metric=metric, p=p, rows_per_block=4, pivots=3).collect()}
+    d = np.stack([N._exact(np.tile(x, (160, 1)), points, metric, p) for x in points])
+    for i in range(160):
+        assert [n["key"] for n in got[i]] == [j for _, j in sorted((d[i, j], j) for j in range(160) if j != i)[:3]]
+    # a bound is no nearer than the fourth of the different rows, the row itself among them
+    different = np.unique(points, axis=0)
+    rows = [(x, b) for r in seen[0].collect() for x, b in zip(np.frombuffer(r["flat"]).reshape(-1, 3), r["bar"])]
+    assert len(rows) == len(different) and sum(np.isfinite(b) for _, b in rows) > 100
+    assert all(b >= np.sort(N._exact(np.tile(x, (len(different), 1)), different, metric, p))[3] for x, b in rows)
